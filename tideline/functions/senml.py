@@ -94,27 +94,30 @@ def reject_unreadable(df: DataFrame, pack: str = "pack") -> tuple[DataFrame, Dat
     return df.filter(~bad), df.filter(bad)
 
 
-def _record_of(f: Field, keep_null: bool) -> Column:
+def _record_of(f: Field, keep_null: bool, quoted: bool) -> Column:
     """Record struct of one wide column. to_json leaves the unused value key out."""
     value = F.col(f.name).cast("string")
     none = F.lit(None).cast("string")
+    number = value if f.kind == NUMBER else none
     built = F.struct(
         F.lit(f.unit).alias("u"),
         F.lit(f.name).alias("n"),
-        (value if f.kind == NUMBER else none).alias("v"),
+        (number if quoted else number.cast("double")).alias("v"),
         (value if f.kind == TEXT else none).alias("vs"),
     )
     return built if keep_null else F.when(value.isNotNull(), built)
 
 
-def to_pack(spec: Dataset, annotated: bool = False, keep_null: bool = True) -> Column:
-    """Wide row -> pack text, fields in fixed order, values as JSON strings.
+def to_pack(
+    spec: Dataset, annotated: bool = False, keep_null: bool = True, quoted: bool = True
+) -> Column:
+    """Wide row -> pack text, fields in fixed order, numbers as JSON strings if ``quoted``.
 
     A null value leaves a record with name and unit only, or with
     ``keep_null=False`` no record.
     """
     fields = spec.fields + (spec.annotations if annotated else ())
-    built = F.array(*[_record_of(f, keep_null) for f in fields])
+    built = F.array(*[_record_of(f, keep_null, quoted) for f in fields])
     return F.to_json(built if keep_null else F.array_compact(built))
 
 
