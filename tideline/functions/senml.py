@@ -13,32 +13,26 @@ from pyspark.sql import functions as F
 
 from tideline.specs import CSV_POSITIONS, NUMBER, TEXT, Dataset, Field
 
-RECORD = "bn string, n string, u string, v string, vs string, sv string, t bigint"
-PACK = f"array<struct<{RECORD.replace(' ', ':').replace(',:', ',')}>>"
+RECORD = "struct<bn:string,n:string,u:string,v:string,vs:string,sv:string,t:bigint>"
+PACK = f"array<{RECORD}>"
+# What a wide row needs of a record; the JSON reader skips the rest.
+VALUES = "array<struct<n:string,v:string,vs:string,sv:string>>"
 ENVELOPE = f"struct<e:{PACK},bt:string,bn:string,bu:string>"
 
 
-def _record_struct(r: Column, base: Column) -> Column:
-    return F.struct(
-        base.alias("bn"),
-        r["n"].alias("n"),
-        r["u"].alias("u"),
-        r["v"].alias("v"),
-        F.coalesce(r["vs"], r["sv"]).alias("vs"),
-        r["t"].alias("t"),
-    )
-
+def with_parsed(df: DataFrame, text: str, schema: str, out: str = "__parsed") -> DataFrame:
+    """Replace a JSON column by its parsed form, as a step of its own.
 
-def records(pack: Column) -> Column:
-    """Pack text -> array of records; the first base name fills the missing ones."""
-    parsed = F.from_json(pack, PACK)
-    base = F.get(parsed, 0)["bn"]
-    return F.transform(parsed, lambda r: _record_struct(r, F.coalesce(r["bn"], base)))
+    A parsed column that later expressions use many times must be a column: written
+    inline, and above all inside a lambda, it would be parsed again for every use.
+    """
+    others = [c for c in df.columns if c != text]
+    return df.select(*others, F.from_json(F.col(text), schema).alias(out))
 
 
 def record(text: Column) -> Column:
     """One record object -> struct with ``value`` (double), ``text`` and ``time``."""
-    r = F.from_json(text, f"struct<{RECORD.replace(' ', ':').replace(',:', ',')}>")
+    r = F.from_json(text, RECORD)
     return F.struct(
         r["bn"].alias("bn"),
         r["n"].alias("n"),
@@ -56,7 +50,19 @@ def full_name(base: Column, name: Column) -> Column:
 def record_set(df: DataFrame, pack: str) -> DataFrame:
     """One output row per different record of a pack, keeping the other columns."""
     others = [c for c in df.columns if c != pack]
-    exploded = df.select(*others, F.explode(F.array_distinct(records(F.col(pack)))).alias("r"))
+    based = with_parsed(df, pack, PACK).withColumn("__base", F.get("__parsed", 0)["bn"])
+    full = F.transform(
+        "__parsed",
+        lambda r: F.struct(
+            F.coalesce(r["bn"], F.col("__base")).alias("bn"),
+            r["n"].alias("n"),
+            r["u"].alias("u"),
+            r["v"].alias("v"),
+            F.coalesce(r["vs"], r["sv"]).alias("vs"),
+            r["t"].alias("t"),
+        ),
+    )
+    exploded = based.select(*others, F.explode(F.array_distinct(full)).alias("r"))
     return exploded.select(
         *others,
         F.col("r.bn").alias("bn"),
@@ -79,13 +85,18 @@ def parse_pack(df: DataFrame, spec: Dataset, pack: str = "pack", annotated: bool
 
     A name given twice in a pack fails the query (the map does not admit it).
     """
-    by_name = F.map_from_entries(
-        F.transform(records(F.col(pack)), lambda r: F.struct(r["n"], r))
-    )
     others = [c for c in df.columns if c != pack]
     fields = spec.fields + (spec.annotations if annotated else ())
-    parsed = df.select(*others, by_name.alias("__records"))
-    return parsed.select(*others, *[_typed(F.col("__records")[f.name], f) for f in fields])
+    named = F.transform(
+        "__parsed",
+        lambda r: F.struct(
+            r["n"], F.struct(r["v"].alias("v"), F.coalesce(r["vs"], r["sv"]).alias("vs"))
+        ),
+    )
+    by_name = with_parsed(df, pack, VALUES).select(
+        *others, F.map_from_entries(named).alias("__records")
+    )
+    return by_name.select(*others, *[_typed(F.col("__records")[f.name], f) for f in fields])
 
 
 def reject_unreadable(df: DataFrame, pack: str = "pack") -> tuple[DataFrame, DataFrame]:
@@ -125,8 +136,8 @@ def base_time(spec: Dataset, pack: Column) -> Column:
     """Envelope base time as text: pickup time in epoch seconds, or the fixed value."""
     if spec.base_time is not None:
         return F.lit(spec.base_time)
-    pickup = F.element_at(F.filter(records(pack), lambda r: r["n"] == "pickup_datetime"), 1)
-    return epoch_seconds(pickup["vs"]).cast("string")
+    pickup = F.element_at(F.filter(F.from_json(pack, VALUES), lambda r: r["n"] == "pickup_datetime"), 1)
+    return epoch_seconds(F.coalesce(pickup["vs"], pickup["sv"])).cast("string")
 
 
 def epoch_seconds(text: Column) -> Column:
@@ -142,41 +153,49 @@ def wrap_envelope(spec: Dataset, pack: Column) -> Column:
     )
 
 
-def envelope_records(envelope: Column) -> Column:
-    """Envelope text -> array of (n, u, value, t) with base name, unit and time filled in."""
-    env = F.from_json(envelope, ENVELOPE)
-    bt = F.coalesce(env["bt"].try_cast("bigint"), F.lit(0).cast("bigint"))
-    return F.transform(
-        env["e"],
-        lambda r: F.struct(
-            F.coalesce(r["n"], env["bn"]).alias("n"),
-            F.coalesce(r["u"], env["bu"]).alias("u"),
-            F.coalesce(r["v"], r["vs"], r["sv"]).alias("value"),
-            (F.coalesce(r["t"], F.lit(0)) + bt).alias("t"),
-        ),
+def envelope_records(df: DataFrame, envelope: str = "envelope") -> DataFrame:
+    """One row per envelope record: n, u, value, t with base name, unit and time filled in."""
+    others = [c for c in df.columns if c != envelope]
+    exploded = with_parsed(df, envelope, ENVELOPE).select(
+        *others, _base_time("__parsed"), "__parsed.bn", "__parsed.bu", F.explode("__parsed.e").alias("r")
     )
+    return exploded.select(
+        *others,
+        F.coalesce("r.n", "bn").alias("n"),
+        F.coalesce("r.u", "bu").alias("u"),
+        F.coalesce("r.v", "r.vs", "r.sv").alias("value"),
+        (F.coalesce("r.t", F.lit(0)) + F.col("timestamp")).alias("t"),
+    )
+
+
+def _base_time(parsed: str) -> Column:
+    given = F.col(f"{parsed}.bt").try_cast("bigint")
+    return F.coalesce(given, F.lit(0)).alias("timestamp")
 
 
 def parse_envelope(df: DataFrame, names: Iterable[str], envelope: str = "envelope") -> DataFrame:
     """Envelope text -> one text column per name plus ``timestamp`` (the base time).
 
-    Of several records with one name the last counts.
+    Of several records with one name the last counts: names and values are turned
+    round, and the first position of a name is looked up.
     """
     others = [c for c in df.columns if c != envelope]
-    base = F.coalesce(
-        F.from_json(F.col(envelope), "struct<bt:string>")["bt"].try_cast("bigint"), F.lit(0)
-    )
-    parsed = df.select(
+    schema = f"struct<e:{VALUES},bt:string,bn:string>"
+    parsed = with_parsed(df, envelope, schema).withColumn("__bn", F.col("__parsed.bn"))
+    turned = parsed.select(
         *others,
-        base.cast("string").alias("timestamp"),
-        envelope_records(F.col(envelope)).alias("__records"),
+        _base_time("__parsed").cast("string").alias("timestamp"),
+        F.reverse(F.transform("__parsed.e", lambda r: F.coalesce(r["n"], F.col("__bn")))).alias("__n"),
+        F.reverse(
+            F.transform("__parsed.e", lambda r: F.coalesce(r["v"], r["vs"], r["sv"]))
+        ).alias("__v"),
     )
 
     def last(name: str) -> Column:
-        named = F.filter("__records", lambda r: r["n"] == name)
-        return F.get(named, F.size(named) - 1)["value"].alias(name)
+        place = F.array_position("__n", name).cast("int") - 1
+        return F.get("__v", place).alias(name)
 
-    return parsed.select(*others, "timestamp", *[last(n) for n in names if n != "timestamp"])
+    return turned.select(*others, "timestamp", *[last(n) for n in names if n != "timestamp"])
 
 
 def parse_csv(df: DataFrame, spec: Dataset, line: str = "line") -> DataFrame:
