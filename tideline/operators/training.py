@@ -13,9 +13,11 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.operators.joins import lookup_join
 from tideline.operators.sequence import SEQ, sequence
+from tideline.session import materialise
 from tideline.specs import QUARTILE_LABELS, Dataset
 
 
@@ -36,7 +38,7 @@ def quartile_bounds(df: DataFrame, keys: Seq[str], value: str) -> DataFrame:
     if "all_rows" in keys:
         sizes = sizes.withColumn("all_rows", F.lit(0))
     sizes = sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(value).alias("q100"))
-    joined = lookup_join(ranked.rows, sizes, keys, how="inner")
+    joined = lookup_join(ranked.rows, materialise(sizes), keys, how="inner")
 
     def place(p: float) -> Column:
         return F.least(F.greatest((F.col("n") + 1) * p, F.lit(1.0)), F.col("n").cast("double"))
@@ -67,7 +69,8 @@ def quartile_label(value: Column, q50: Column, q75: Column, q100: Column) -> Col
 
 
 def annotate_quartiles(df: DataFrame, keys: Seq[str], value: str, out: str = "result") -> DataFrame:
-    bounds = quartile_bounds(df, keys, value)
+    # One row per key; written, so that checking its size does not rank everything twice.
+    bounds = materialise(quartile_bounds(df, keys, value))
     if not keys:
         df = df.withColumn("all_rows", F.lit(0))
         keys = ["all_rows"]
@@ -77,7 +80,7 @@ def annotate_quartiles(df: DataFrame, keys: Seq[str], value: str, out: str = "re
     return labelled.drop("n", "q25", "q50", "q75", "q100", "all_rows")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve(moments: pd.Series) -> pd.Series:
     """Weights from one request's moments: p² covariances, then p covariances with the target."""
 

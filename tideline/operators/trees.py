@@ -40,6 +40,10 @@ def bin_edges(df: DataFrame, keys: Seq[str], features: Seq[str], bins: int = BIN
     )
 
 
+def _cuts_below(feature: str) -> Column:
+    return F.size(F.filter(f"edges_{feature}", lambda cut: cut < F.col(feature)))
+
+
 def train_trees(
     df: DataFrame,
     keys: Seq[str],
@@ -62,7 +66,7 @@ def train_trees(
     binned = lookup_join(rows, edges, keys, how="inner").select(
         *keys,
         F.col(label).alias("label"),
-        *[F.size(F.filter(f"edges_{f}", lambda e, f=f: e < F.col(f))).alias(f) for f in features],
+        *[_cuts_below(f).alias(f) for f in features],
     )
     binned = binned.groupBy(*keys, "label", *features).agg(F.count(F.lit(1)).alias("weight"))
     binned = materialise(binned)

@@ -37,12 +37,13 @@ def read_fares(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FARE_SCHEMA).csv(path, header=True, ignoreLeadingWhiteSpace=True)
 
 
-def read_fitness_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated logs, one file per subject; the subject number is in the file name."""
-    return spark.read.schema(FIT_SCHEMA).csv(path, sep="\t").withColumn(
-        "subjectId",
-        F.concat(F.lit("subject"), F.regexp_extract(F.input_file_name(), r"(\d+)\.[A-Za-z]+$", 1)),
-    )
+def read_fitness_logs(
+    spark: SparkSession, path: str, subject_in_path: str = r"(\d+)\.[A-Za-z]+$"
+) -> DataFrame:
+    """Tab-separated logs, one file (or folder) per subject, whose number is in the path."""
+    number = F.regexp_extract(F.input_file_name(), subject_in_path, 1)
+    logs = spark.read.schema(FIT_SCHEMA).csv(path, sep="\t", recursiveFileLookup=True)
+    return logs.withColumn("subjectId", F.concat(F.lit("subject"), number))
 
 
 def read_grid(spark: SparkSession, path: str) -> DataFrame:

@@ -147,8 +147,17 @@ taxi AS (
 TAXI_ORDER_SQL = ", ".join(TAXI_ORDER)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for the JSON work when the scan has fewer splits than cores.
+
+    A scan of any size beyond cores x split size is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _packs(rows: DataFrame, spec, keep: list[str]) -> DataFrame:
-    return rows.select(*keep, to_pack(spec).alias("pack"))
+    return spread(rows).select(*keep, to_pack(spec).alias("pack"))
 
 
 def grid_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
