@@ -20,6 +20,9 @@ from tideline.operators.sequence import SEQ, sequence
 from tideline.session import materialise
 from tideline.specs import QUARTILE_LABELS, Dataset
 
+# Candidate cuts per feature; the default of 32 misses cuts that matter.
+TREE_BINS = 256
+
 
 def training_projection(df: DataFrame, spec: Dataset, keep: Seq[str] = ()) -> DataFrame:
     return df.select(*keep, *spec.training_fields)
@@ -144,7 +147,7 @@ def fit_linear(df: DataFrame, features: Seq[str], target: str) -> PipelineModel:
 
 
 def fit_tree(
-    df: DataFrame, features: Seq[str], label: str, depth: int = 5, classes: Seq[str] | None = None
+    df: DataFrame, features: Seq[str], label: str, depth: int = 5
 ) -> PipelineModel:
     """Entropy decision tree over one labelled table."""
     index = StringIndexer(
@@ -152,7 +155,12 @@ def fit_tree(
     )
     assemble = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
     tree = DecisionTreeClassifier(
-        featuresCol="features", labelCol="label_index", impurity="entropy", maxDepth=depth, seed=1
+        featuresCol="features",
+        labelCol="label_index",
+        impurity="entropy",
+        maxDepth=depth,
+        maxBins=TREE_BINS,
+        seed=1,
     )
     return Pipeline(stages=[index, assemble, tree]).fit(df.dropna(subset=[*features, label]))
 

@@ -64,10 +64,16 @@ def write_topic(df: DataFrame, servers: str, topic: str, checkpoint: str, value:
 
 
 def message_ids(df: DataFrame, out: str = "msgid") -> DataFrame:
-    """Unique ids without a shuffle: the offset where there is one, else a row id."""
+    """Ids without a shuffle: the offset where there is one, else a row id.
+
+    A stream without offsets has no stable row id; there it is a hash of the message,
+    so equal messages share it.
+    """
     if "offset" in df.columns and "partition" in df.columns:
         place = F.shiftleft(F.col("partition").cast("bigint"), 40) + F.col("offset")
         return df.withColumn(out, place)
+    if df.isStreaming:
+        return df.withColumn(out, F.xxhash64(*df.columns))
     return df.withColumn(out, F.monotonically_increasing_id())
 
 
