@@ -62,7 +62,10 @@ def record_set(df: DataFrame, pack: str) -> DataFrame:
             r["t"].alias("t"),
         ),
     )
-    exploded = based.select(*others, F.explode(F.array_distinct(full)).alias("r"))
+    # Outer and not-null instead of plain explode, for which the optimizer would add a
+    # filter on the size of the array and build it twice.
+    exploded = based.select(*others, F.explode_outer(F.array_distinct(full)).alias("r"))
+    exploded = exploded.filter(F.col("r").isNotNull())
     return exploded.select(
         *others,
         F.col("r.bn").alias("bn"),
@@ -96,7 +99,20 @@ def parse_pack(df: DataFrame, spec: Dataset, pack: str = "pack", annotated: bool
     by_name = with_parsed(df, pack, VALUES).select(
         *others, F.map_from_entries(named).alias("__records")
     )
-    return by_name.select(*others, *[_typed(F.col("__records")[f.name], f) for f in fields])
+    row = F.struct(*[_typed(F.col("__records")[f.name], f) for f in fields])
+    return by_name.select(*others, _as_row(row)).select(
+        *others, *[F.col(f"__row.{f.name}").alias(f.name) for f in fields]
+    )
+
+
+def _as_row(row: Column) -> Column:
+    """The struct as the only row of a generator.
+
+    Filters and join keys on parsed columns stay above a generator; through a plain
+    projection they would be pushed down and every message parsed once more for them.
+    The outer form keeps the optimizer from adding such a filter itself.
+    """
+    return F.explode_outer(F.array(row)).alias("__row")
 
 
 def reject_unreadable(df: DataFrame, pack: str = "pack") -> tuple[DataFrame, DataFrame]:
@@ -195,7 +211,11 @@ def parse_envelope(df: DataFrame, names: Iterable[str], envelope: str = "envelop
         place = F.array_position("__n", name).cast("int") - 1
         return F.get("__v", place).alias(name)
 
-    return turned.select(*others, "timestamp", *[last(n) for n in names if n != "timestamp"])
+    names = [n for n in names if n != "timestamp"]
+    row = F.struct(*[last(n) for n in names])
+    return turned.select(*others, "timestamp", _as_row(row)).select(
+        *others, "timestamp", *[F.col(f"__row.{n}").alias(n) for n in names]
+    )
 
 
 def parse_csv(df: DataFrame, spec: Dataset, line: str = "line") -> DataFrame:

@@ -38,17 +38,19 @@ def lookup_join(
     a whole heavy key.
     """
     keys = list(keys)
+    # Null-safe equality against non-null keys is plain equality, without the not-null
+    # filter that would be pushed into whatever computes the keys of ``df``.
+    table = table.dropna(subset=keys)
     if fits_broadcast(table):
-        return df.join(F.broadcast(table), keys, how)
+        return null_safe_join(df, table, keys, how, small=True)
     heavy = heavy_keys(df, keys)
     if heavy is None:
-        return df.join(table, keys, how)
-    light = null_safe_join(df, heavy, keys, "left_anti", small=True).join(table, keys, how)
+        return null_safe_join(df, table, keys, how)
+    light = null_safe_join(df, heavy, keys, "left_anti", small=True)
+    light = null_safe_join(light, table, keys, how)
     few = null_safe_join(table, heavy, keys, "left_semi", small=True)
-    dense = null_safe_join(df, heavy, keys, "left_semi", small=True).join(
-        F.broadcast(few), keys, how
-    )
-    return light.unionByName(dense)
+    dense = null_safe_join(df, heavy, keys, "left_semi", small=True)
+    return light.unionByName(null_safe_join(dense, few, keys, how, small=True))
 
 
 def join_trips_fares(

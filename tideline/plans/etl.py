@@ -15,6 +15,7 @@ from tideline.operators.clean import (
     null_out_of_range,
 )
 from tideline.operators.membership import BloomTable, bloom_filter, keep_members
+from tideline.session import materialise
 from tideline.specs import BLOCK_SIZE, Dataset
 
 
@@ -29,7 +30,8 @@ def clean(
 ) -> DataFrame:
     """Cleaned wide rows; the columns beside ``pack`` are kept, ``order`` among them."""
     keys = [spec.id_field] if keys is None else keys
-    rows = before_blocks(packs, spec, members)
+    # The rows are counted per key and then numbered: written once, parsed once.
+    rows = materialise(before_blocks(packs, spec, members))
     filled = interpolate_blocks(rows, spec.interpolated, keys, order, size)
     return add_annotation(filled, spec, dimension)
 

@@ -27,6 +27,7 @@ from tideline.operators.clean import (
 )
 from tideline.operators.membership import bloom_build, bloom_filter, keep_members
 from tideline.plans.etl import clean, packed
+from tideline.session import materialise
 from tideline.specs import FIT, GRID, SYS, TAXI
 from tideline.workload.catalog import query
 from tideline.workload.inputs import (
@@ -488,7 +489,8 @@ def _taxi_filled(df):
     f"WITH {TAXI_BLOCKS_SQL} SELECT l_orderkey, l_linenumber, taxi_identifier, {_TAXI_FILLED} FROM filled",
 )
 def interpolate_taxi(spark, sf_dir):
-    rows = null_out_of_range(parse_pack(taxi_packs(spark, sf_dir), TAXI), TAXI.ranges)
+    rows = parse_pack(taxi_packs(spark, sf_dir), TAXI)
+    rows = materialise(null_out_of_range(rows, TAXI.ranges))
     return _taxi_filled(interpolate_blocks(rows, TAXI.interpolated, ["taxi_identifier"], TAXI_ORDER))
 
 
@@ -520,7 +522,8 @@ filled AS (
     """,
 )
 def interpolate_fit(spark, sf_dir):
-    rows = null_out_of_range(parse_pack(fit_packs(spark, sf_dir), FIT), FIT.ranges)
+    rows = parse_pack(fit_packs(spark, sf_dir), FIT)
+    rows = materialise(null_out_of_range(rows, FIT.ranges))
     filled = interpolate_blocks(rows, FIT.interpolated, ["subjectId"], EVENT_ORDER)
     return rounded(filled.select("event_id", "subjectId", *FIT.interpolated), 8)
 

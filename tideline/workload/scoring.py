@@ -19,6 +19,7 @@ from tideline.operators.scoring import (
 from tideline.operators.sequence import sequence
 from tideline.operators.blocks import latest_block_mean
 from tideline.plans.pred import parse_messages, published, score, with_models
+from tideline.session import materialise
 from tideline.sources.registry import control_messages, latest_models
 from tideline.sources.topics import message_ids
 from tideline.specs import SYS, TAXI
@@ -229,7 +230,7 @@ predicted AS (
     """,
 )
 def error_estimate_query(spark, sf_dir):
-    rows = parse_pack(taxi_packs(spark, sf_dir), TAXI)
+    rows = materialise(parse_pack(taxi_packs(spark, sf_dir), TAXI))
     numbered = sequence(rows, ["taxi_identifier"], TAXI_ORDER)
     averaged = latest_block_mean(numbered, "fare_amount", "average")
     res = linear_score(

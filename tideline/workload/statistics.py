@@ -10,6 +10,7 @@ from tideline.operators.kalman import kalman, kalman_sequenced
 from tideline.operators.regression import PREDICTIONS, horizon_mean, sliding_regression
 from tideline.operators.sequence import SEQ, sequence
 from tideline.plans.stats import averages, distinct_counts, forecasts, report
+from tideline.session import materialise
 from tideline.specs import FIT, GRID, TAXI
 from tideline.workload.catalog import query
 from tideline.workload.inputs import (
@@ -85,7 +86,7 @@ def block_average_grid(spark, sf_dir):
     """,
 )
 def block_average_taxi(spark, sf_dir):
-    rows = parse_pack(taxi_packs(spark, sf_dir), TAXI)
+    rows = materialise(parse_pack(taxi_packs(spark, sf_dir), TAXI))
     means = averages(rows, TAXI, ["taxi_identifier"], TAXI_ORDER)
     return rounded(means.select("taxi_identifier", "block", "rows", "mean"))
 
@@ -104,7 +105,7 @@ def block_average_taxi(spark, sf_dir):
 )
 def block_average_fit(spark, sf_dir):
     """Values out of range are missing and count as 0.0."""
-    rows = parse_pack(fit_packs(spark, sf_dir), FIT)
+    rows = materialise(parse_pack(fit_packs(spark, sf_dir), FIT))
     rows = rows.withColumn(
         "acc_ankle_x", F.when(F.col("acc_ankle_x").between(-2, 30), F.col("acc_ankle_x"))
     )
@@ -141,7 +142,7 @@ def block_distinct_grid(spark, sf_dir):
     """,
 )
 def block_distinct_taxi(spark, sf_dir):
-    rows = parse_pack(taxi_packs(spark, sf_dir), TAXI)
+    rows = materialise(parse_pack(taxi_packs(spark, sf_dir), TAXI))
     counts = distinct_counts(rows, TAXI, ["payment_type"], [*TAXI_ORDER, "taxi_identifier"])
     return counts.select("payment_type", "block", "distinct_values")
 
@@ -161,7 +162,7 @@ def block_distinct_taxi(spark, sf_dir):
 )
 def block_distinct_fit(spark, sf_dir):
     """A missing subject is one more value."""
-    rows = parse_pack(fit_packs(spark, sf_dir), FIT)
+    rows = materialise(parse_pack(fit_packs(spark, sf_dir), FIT))
     rows = rows.withColumn("subjectId", F.when(F.col("label") != 3, F.col("subjectId")))
     counts = distinct_counts(rows, FIT, ["label"], EVENT_ORDER)
     return counts.select("label", "block", "distinct_values")
