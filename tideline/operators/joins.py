@@ -29,11 +29,15 @@ def fits_broadcast(df: DataFrame, rows: int | None = None) -> bool:
 
 
 def lookup_join(
-    df: DataFrame, table: DataFrame, keys: Seq[str], how: str = "left"
+    df: DataFrame,
+    table: DataFrame,
+    keys: Seq[str],
+    how: str = "left",
+    broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Join with a table that has at most one row per key (``left``, ``inner``, ``left_semi``).
 
-    A small table is broadcast. A large one is joined by shuffle for ordinary keys;
+    A small table is broadcast (``broadcast_rows`` lowers the limit for wide rows). A large one is joined by shuffle for ordinary keys;
     rows of heavy keys meet a broadcast of only those keys' entries, so no task gets
     a whole heavy key.
     """
@@ -41,7 +45,7 @@ def lookup_join(
     # Null-safe equality against non-null keys is plain equality, without the not-null
     # filter that would be pushed into whatever computes the keys of ``df``.
     table = table.dropna(subset=keys)
-    if fits_broadcast(table):
+    if fits_broadcast(table, broadcast_rows):
         return null_safe_join(df, table, keys, how, small=True)
     heavy = heavy_keys(df, keys)
     if heavy is None:
@@ -147,10 +151,16 @@ def asof_join(
 
 
 def _asof_broadcast(df, changes, keys, time, columns, since):
-    span = changes.agg(F.min(since).alias("lo"), F.max(since).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    span = changes.agg(
+        F.min(since).alias("lo"),
+        F.max(since).alias("hi"),
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct(F.struct(*keys) if keys else F.lit(0)).alias("series"),
+    ).first()
     if not span["n"]:
         return df.withColumns({c: F.lit(None).cast(dict(changes.dtypes)[c]) for c in columns})
-    bins = max(1, span["n"])
+    # Every series is cut at every bin, so all pieces together are at most 2 n.
+    bins = max(1, span["n"] // span["series"])
     width = max(1, -(-(span["hi"] - span["lo"] + 1) // bins))
     nth = lambda t: F.greatest(F.lit(-1), F.least(F.lit(bins), F.floor((t - F.lit(span["lo"])) / width)))
     # The changes fit a broadcast, so a window over them is small.

@@ -19,6 +19,8 @@ from tideline.session import materialise
 
 BINS = 16
 ROOT = 1
+# Candidate cuts that may be broadcast: 8 bytes each.
+BROADCAST_EDGES = 10_000_000
 
 
 def _entropy(counts: Seq[Column], total: Column) -> Column:
@@ -63,7 +65,8 @@ def train_trees(
     rows = df.dropna(subset=[*features, label]).select(*keys, *features, label)
     edges = materialise(bin_edges(rows, keys, features, bins))
     # The bin of a value is the number of cuts below it: value <= edges[bin].
-    binned = lookup_join(rows, edges, keys, how="inner").select(
+    few = max(1, BROADCAST_EDGES // (bins * len(features)))
+    binned = lookup_join(rows, edges, keys, how="inner", broadcast_rows=few).select(
         *keys,
         F.col(label).alias("label"),
         *[_cuts_below(f).alias(f) for f in features],

@@ -18,6 +18,7 @@ from tideline.functions.times import (
 from tideline.operators.clean import drop_incomplete
 from tideline.operators.joins import join_trips_fares
 from tideline.operators.sequence import SEQ, sequence
+from tideline.session import materialise
 from tideline.sources.files import TRIP_FARE_KEYS
 from tideline.specs import FIT, GRID, SYS, TAXI
 
@@ -33,8 +34,12 @@ def convert_taxi(
     joined = join_trips_fares(trips, fares, TRIP_FARE_KEYS).withColumn(
         "taxi_identifier", F.col("medallion").cast("string")
     )
-    rows = drop_incomplete(joined, TAXI.field_names, observation).withColumn(
-        "time", epoch_millis(F.col("pickup_datetime"))
+    complete = drop_incomplete(joined, TAXI.field_names, observation)
+    # Written once: the first time and the lines would each run the join.
+    rows = materialise(
+        complete.select(
+            *TAXI.field_names, epoch_millis(F.col("pickup_datetime")).alias("time")
+        )
     )
     first = first_of(rows, "time")
     return rows.select(
