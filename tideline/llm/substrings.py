@@ -2,7 +2,7 @@
 
 Every window of ``window`` consecutive words gets a Rabin-Karp hash. A task names each
 window once, with the smallest doc_id it saw, so that a passage in a third of all
-documents reaches its bucket once per Arrow batch and not once per document; the bucket
+documents reaches its bucket once per million windows and not once per document; the bucket
 of a window finds the smallest doc_id of all and names the windows to remove to the
 documents that hold them. Overlapping windows merge into maximal intervals.
 
@@ -18,6 +18,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ BASE_BUCKET = 0x5851F42D4C957F2D
 HASH_BYTES = 7
 #: Bytes of text whose windows meet in one bucket.
 BUCKET_TEXT = 8 << 20
+#: Windows that a task holds before it sends them.
+HELD_WINDOWS = 1 << 20
 
 _SHORT = np.uint64((1 << 8 * HASH_BYTES) - 1)
 _PACKET = pa.schema(
@@ -65,37 +68,45 @@ def _by_run(ids: np.ndarray) -> tuple[bytes, bytes]:
     return ids[cut].tobytes(), np.diff(np.append(cut, len(ids))).astype(np.int32).tobytes()
 
 
+def _packets(found: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
+    """One row per bucket with the windows of ``found``, each once, and one with those already judged."""
+    doc, short, where = (np.concatenate(x) for x in zip(*found, strict=True))
+    bucket = (where % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((doc, short, bucket))
+    doc, short, bucket = doc[order], short[order], bucket[order]
+    new = np.concatenate([[True], (short[1:] != short[:-1]) | (bucket[1:] != bucket[:-1])])
+    least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    known = doc > least  # an earlier document among these has the window
+    for part, done in ((new, False), (known, True)):
+        d, s, b = doc[part], short[part], bucket[part]
+        if not len(b):
+            continue
+        order = np.lexsort((s, d, b))
+        d, s, b = d[order], s[order], b[order]
+        cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+        rows = [
+            (int(b[lo]), *_by_run(d[lo:hi]), _packed(s[lo:hi]), done)
+            for lo, hi in zip(cuts, np.append(cuts[1:], len(b)), strict=True)
+        ]
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PACKET.types, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, schema=_PACKET)
+
+
 def _send(buckets: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            found = [
-                (ids[first + text], short, (where % np.uint64(buckets)).astype(np.int32))
-                for first, _, words in pieces(batch.column(1), NOT_BLANK)
-                for text, short, where in [_windows(words, width)]
-            ]
-            if not found:
-                continue
-            doc, short, bucket = (np.concatenate(x) for x in zip(*found, strict=True))
-            if not len(doc):
-                continue
-            order = np.lexsort((doc, short, bucket))
-            doc, short, bucket = doc[order], short[order], bucket[order]
-            new = np.concatenate([[True], (short[1:] != short[:-1]) | (bucket[1:] != bucket[:-1])])
-            least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-            known = doc > least  # an earlier document of this batch has the window
-            for part, done in ((new, False), (known, True)):
-                d, s, b = doc[part], short[part], bucket[part]
-                order = np.lexsort((s, d, b))
-                d, s, b = d[order], s[order], b[order]
-                cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else []
-                rows = []
-                for lo, hi in zip(cuts, np.append(cuts[1:], len(b)), strict=True) if len(b) else ():
-                    rows.append((int(b[lo]), *_by_run(d[lo:hi]), _packed(s[lo:hi]), done))
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PACKET.types, strict=True)], schema=_PACKET
-                    )
+            for first, _, words in pieces(batch.column(1), NOT_BLANK):
+                text, short, where = _windows(words, width)
+                if len(short):
+                    found.append((ids[first + text], short, where))
+                    held += len(short)
+                if held >= HELD_WINDOWS:
+                    yield from _packets(found, buckets)
+                    found, held = [], 0
+        if found:
+            yield from _packets(found, buckets)
 
     return run
 
