@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.catalog import query, table
+from tideline.llm.leaks import find_leaks, n_hit
 from tideline.llm.substrings import remove_repeats
 
-_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANK = r"[^\x20\x09-\x0D]+"
 
 
@@ -39,3 +40,43 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents"), window=50)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return done.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+_LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+@query(
+    "op10_decontamination",
+    f"""
+    WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_LETTERS}') AS ws FROM documents),
+    b AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_LETTERS}') AS ws FROM benchmark),
+    win AS (
+        SELECT DISTINCT item_id, least(len(ws), 10) AS n,
+               unnest([array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') for i in range(1, greatest(len(ws) - 10, 0) + 2)]) AS seq
+        FROM b WHERE len(ws) > 0
+    ),
+    place AS (
+        SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS seq
+        FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(ws) >= n)
+    ),
+    hit AS (SELECT doc_id, place.n AS n, i, item_id FROM place JOIN win ON place.seq = win.seq AND place.n = win.n),
+    words AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+    items AS (
+        SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids
+        FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hit) GROUP BY doc_id
+    )
+    SELECT d.doc_id, len(ws) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+    FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+)
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return found.select(
+        "row.doc_id",
+        "n_words",
+        n_hit().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
