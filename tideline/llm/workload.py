@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.catalog import query, table
+from tideline.llm.exact import exact_duplicates
 from tideline.llm.leaks import find_leaks, n_hit
+from tideline.llm.ngram_join import near_duplicates
+from tideline.llm.sentence_pieces import decode, encode
 from tideline.llm.substrings import remove_repeats
+from tideline.llm.token_counts import token_counts
+
+#: Where the vocabulary files of the public tokenizers are.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
+
+def tokenizer(name: str) -> str:
+    try:
+        import public_tokenizers
+    except ImportError:
+        return f"{TOKENIZERS}/{name}"
+    return public_tokenizers.path(name)
+
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANK = r"[^\x20\x09-\x0D]+"
@@ -80,3 +98,66 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
     )
+
+
+@query(
+    "op2_exact_dedup",
+    f"""
+    WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents)
+    SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+           doc_id = max(doc_id) OVER w AS kept, text_sha256
+    FROM d WINDOW w AS (PARTITION BY text_sha256)
+    """,
+)
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op8_ngram_join",
+    f"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_BLANK}') AS ws FROM documents),
+    s AS (
+        SELECT DISTINCT doc_id,
+               unnest([array_to_string(ws[i:i + 2], ' ') for i in range(1, greatest(len(ws) - 2, 1) + 1)]) AS gram
+        FROM d WHERE len(ws) > 0
+    ),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    pairs AS (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS same
+        FROM s x JOIN s y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY ALL
+    ),
+    link AS (
+        SELECT a, b FROM pairs JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+        WHERE 100 * same >= 90 * (p.n + q.n - same)
+    ),
+    edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+    reach AS (
+        SELECT doc_id AS a, doc_id AS b FROM d
+        UNION
+        SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a
+    )
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE a = d.doc_id) AS component_id
+    FROM d LEFT JOIN n USING (doc_id)
+    """,
+)
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), n=3, threshold=90)
+
+
+@query("op9_token_counts")
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+@query("op6_sentence_pieces")
+def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer("piece_bpe_32k.model")
+    both = decode(encode(table(spark, sf_dir, "documents"), model), model)
+    return both.select(
+        "row.doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.xxhash64("ids").alias("ids_hash"),
+        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"),
+    )
