@@ -29,7 +29,9 @@ BASE = 0x2545F4914F6CDD1D
 BASE_BUCKET = 0x5851F42D4C957F2D
 HASH_BYTES = 7
 #: Bytes of text whose windows meet in one bucket.
-BUCKET_TEXT = 8 << 20
+BUCKET_TEXT = 16 << 20
+#: Buckets at least, so that the rows per document do not change with the size of small inputs.
+LEAST_BUCKETS = 128
 #: Windows that a task holds before it sends them.
 HELD_WINDOWS = 1 << 20
 
@@ -193,7 +195,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     doc_id do not remove each other's windows. Columns besides doc_id and text are not read.
     """
     texts = docs.select(id_key().alias("_key"), F.col("text").alias("_text"))
-    buckets = max(1, -(-text_bytes(docs) // BUCKET_TEXT))
+    buckets = max(LEAST_BUCKETS, -(-text_bytes(docs) // BUCKET_TEXT))
     sent = texts.mapInArrow(_send(buckets, window), "bucket int, ids binary, counts binary, hashes binary, done boolean")
     flags = sent.groupBy("bucket").applyInArrow(_judge, "_key long, _flags binary")
     per_doc = flags.groupBy("_key").agg(F.collect_list("_flags").alias("_flags"))
