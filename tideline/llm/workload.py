@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tideline.llm.catalog import query, table
 from tideline.llm.exact import exact_duplicates
 from tideline.llm.leaks import find_leaks, n_hit
+from tideline.llm.lines import line_report
 from tideline.llm.ngram_join import near_duplicates
 from tideline.llm.sentence_pieces import decode, encode
 from tideline.llm.substrings import remove_repeats
@@ -161,3 +162,9 @@ def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.xxhash64("ids").alias("ids_hash"),
         (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"),
     )
+
+
+@query("op4_line_dedup")
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_report(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
