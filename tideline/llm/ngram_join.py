@@ -1,16 +1,23 @@
 """N-gram Jaccard join: a prefix tree of globally ordered n-gram sets.
 
-1. Every text becomes a set of hashed n-grams; equal sets form one class.
-2. A class whose set shares too few of its first n-grams in hash order with any other class
-   links with nothing (prefix filter with k common n-grams) and takes no further part.
-3. The sets left are ordered globally, common n-grams last, after a sketch of 2**20 cells
-   whose counts cover all of them. Classes that share one of their first n-grams in this
-   order are candidates; their connected components are the neighbourhoods.
-4. Each neighbourhood's sets go into a prefix tree. The tree is walked once for a block of
-   sets at a time: sets with a common prefix share the partial overlaps, and a subtree is
-   left as soon as overlap plus what remains cannot reach the threshold. A neighbourhood
-   beyond BLOCK_BYTES is dealt in chunks and every two chunks meet in a task.
-5. Only the links that join two parts leave a task, never all pairs of a group; connected
+0. One pass counts the n-grams of all texts in 2**20 cells. Cells above COMMON times the mean
+   are common, in steps of powers of two; the global order is by step, then by hash, so a
+   line or passage that many documents share stands at the end of their sets.
+1. Every text becomes a set of hashed n-grams in this order; equal sets form one class.
+2. Two linked sets have a number of their first n-grams in common that follows from their
+   sizes. A class that shares fewer of them with all other classes together links with
+   nothing and takes no further part.
+3. The classes left are grouped by the n-grams they share: each joins the smallest class
+   that holds enough of its first n-grams. Each group's sets go into a prefix tree.
+4. A class that shares enough n-grams with classes outside its group, first of its first ones
+   and then of all, is compared once more: such classes form neighbourhoods (components of
+   any shared n-gram), and each neighbourhood's sets go into a prefix tree. So no link is
+   lost, whatever the groups are.
+5. The tree is walked once for a block of sets at a time: sets with a common prefix share the
+   partial overlaps, and a subtree is left as soon as overlap plus what remains cannot
+   reach the threshold. A group beyond BLOCK_BYTES is dealt in chunks and every two chunks
+   meet in a task.
+6. Only the links that join two parts leave a task, never all pairs of a group; connected
    components of these links are the result.
 
 N-grams are compared by 64-bit hashes.
@@ -31,9 +38,13 @@ from tideline.llm.words import NOT_BLANK, mix, pieces, rolling
 from tideline.session import materialise
 
 BASE = 0x2545F4914F6CDD1D
-#: Per hundred n-grams, how many more than the least common prefix are compared.
+#: Per hundred n-grams, how many more than the shortest sufficient prefix are compared.
 EXTRA = 5
 CELL_BITS = 20
+#: Times the mean count from which a cell is common.
+COMMON = 4
+#: n-grams that a task counts before it reports its common cells.
+COUNTED = 1 << 22
 #: n-gram bytes of one task of the tree join.
 BLOCK_BYTES = 16 << 20
 #: Bytes of the table (n-gram, set) that the tree's walk looks overlaps up in.
@@ -75,23 +86,67 @@ def _digest(grams: np.ndarray) -> bytes:
     return blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def _sets(n: int, threshold: int):
+def _cell(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _common_cells(n: int):
+    """Cells that are common among the n-grams of a task, with their counts, and the number of n-grams."""
+
+    def report(total: np.ndarray) -> pa.RecordBatch:
+        cells = np.flatnonzero(total > COMMON * max(1.0, total.mean()))
+        return pa.RecordBatch.from_arrays([pa.array(np.append(cells, -1)), pa.array(np.append(total[cells], total.sum()))], names=["cell", "times"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
+        for batch in batches:
+            for _, _, words in pieces(batch.column(0), NOT_BLANK, lower=True):
+                found.append(_cell(_grams(words, n)[1]))
+                held += len(found[-1])
+                if held >= COUNTED:
+                    yield report(np.bincount(np.concatenate(found), minlength=1 << CELL_BITS))
+                    found, held = [], 0
+        if found:
+            yield report(np.bincount(np.concatenate(found), minlength=1 << CELL_BITS))
+
+    return run
+
+
+def _steps(docs: DataFrame, n: int) -> np.ndarray:
+    """Step of every cell: 0 below COMMON times the mean count, one more for each doubling."""
+    counted = docs.select("text").mapInArrow(_common_cells(n), "cell long, times long")
+    counted = counted.groupBy("cell").agg(F.sum("times").alias("times")).toArrow()
+    cells, times = counted["cell"].to_numpy(), counted["times"].to_numpy()
+    steps = np.zeros(1 << CELL_BITS, np.uint8)
+    mean = max(1.0, times[cells < 0].sum() / len(steps)) if len(cells) else 1.0
+    times, cells = times[cells >= 0], cells[cells >= 0]
+    steps[cells] = np.clip(np.floor(np.log2(np.maximum(times / mean / COMMON, 0.5))) + 1, 0, 255)
+    return steps
+
+
+def _in_order(grams: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Places of sorted n-grams in the global order."""
+    return np.argsort(steps[_cell(grams)], kind="stable")
+
+
+def _sets(n: int, threshold: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, words in pieces(batch.column(1), NOT_BLANK, lower=True):
                 text, grams = _grams(words, n)
                 at = np.searchsorted(text, np.arange(end - first + 1))
                 sizes = np.diff(at)
-                digests, shared, heads = [], [], []
+                digests, needs, heads = [], [], []
                 for lo, size in zip(at.tolist(), sizes.tolist(), strict=False):
                     length, need = _first_grams(size, threshold) if size else (0, 0)
                     digests.append(_digest(grams[lo : lo + size]) if size else None)
-                    shared.append(need)
-                    heads.append(grams[lo : lo + length].view(np.int64))
+                    needs.append(need)
+                    own = grams[lo : lo + size]
+                    heads.append(own[_in_order(own, shared.value)[:length]].view(np.int64))
                 offsets = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
                 heads = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(heads)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(shared, pa.int32()), heads],
+                    [batch.column(0).slice(first, end - first), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(needs, pa.int32()), heads],
                     names=["doc", "n", "digest", "need", "head"],
                 )
 
@@ -115,38 +170,23 @@ def _whole_sets(n: int):
                             pa.array([at[i + 1] - at[i] for i in rows], pa.int64()),
                             pa.array([grams[at[i] : at[i + 1]].tobytes() for i in rows], pa.binary()),
                         ],
-                        names=["rep", "n", "grams"],
+                        names=["node", "n", "grams"],
                     )
 
     return run
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << CELL_BITS, np.int64)
-    for batch in batches:
-        grams = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
-        total += np.bincount((grams >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(total))
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "times"])
-
-
-def _ordered(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """n-grams in the global order: by the count of their cell, then by hash."""
-    return grams[np.lexsort((grams, counts[(grams >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))]
-
-
-def _prefixes(shared, threshold: int):
+def _all_grams(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
         for batch in batches:
-            out = []
-            for rep, grams in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                grams = np.frombuffer(grams, np.uint64)
-                head = _ordered(grams, counts)[: len(grams) - _least_common(len(grams), threshold) + 1]
-                out.append((np.full(len(head), rep, np.int64), head.view(np.int64)))
-            if out:
-                reps, grams = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(reps)], names=["gram", "rep"])
+            nodes = batch.column("node").to_numpy()
+            grams = [np.frombuffer(g, np.int64) for g in batch.column("grams").to_pylist()]
+            sizes = np.array([len(g) for g in grams], np.int64)
+            needs = -(-threshold * sizes // 100)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(nodes, sizes)), pa.array(np.repeat(needs, sizes).astype(np.int32)), pa.array(np.concatenate([*grams, np.empty(0, np.int64)]))],
+                names=["node", "need", "gram"],
+            )
 
     return run
 
@@ -169,20 +209,20 @@ class _Parts:
         return x != y
 
 
-def tree_links(sets: list[np.ndarray], counts: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+def tree_links(sets: list[np.ndarray], threshold: int, steps: np.ndarray) -> list[tuple[int, int]]:
     """Links between sets (places in ``sets``) that join two parts; they give the components of all links."""
     sizes = np.array([len(s) for s in sets])
     grams, times = np.unique(np.concatenate(sets), return_counts=True)
+    order = _in_order(grams, steps)
     rank = np.empty(len(grams), np.int64)
-    rank[np.lexsort((grams, counts[(grams >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))] = np.arange(len(grams))
+    rank[order] = np.arange(len(grams))
+    times = times[order]
     paths = [np.sort(rank[np.searchsorted(grams, s)]) for s in sets]
     order = sorted(range(len(sets)), key=lambda i: paths[i].astype(">u4").tobytes())
     paths, sizes = [paths[i] for i in order], sizes[order]
     # n-grams of one set only never add to an overlap
     row = np.full(len(grams), -1, np.int64)
-    by_rank = np.empty(len(grams), np.int64)
-    by_rank[rank] = times
-    common = np.flatnonzero(by_rank > 1)
+    common = np.flatnonzero(times > 1)
     row[common] = np.arange(len(common))
     rows = [row[p] for p in paths]
     same = [0]
@@ -231,72 +271,81 @@ def _walk(lo, hi, table, rows, sizes, same, threshold, parts, links) -> None:
             stack += [(x, y, end, overlap, alive) for x, y in zip(forks, forks[1:], strict=False)]
 
 
-def _join_blocks(shared, threshold: int):
+def _join_blocks(threshold: int, shared):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("part", "ascending"), ("rep", "ascending")])
+        table = table.sort_by([("part", "ascending"), ("node", "ascending")])
         part = table["part"].to_numpy()
-        reps = table["rep"].to_numpy()
+        nodes = table["node"].to_numpy()
         grams = table["grams"]
         cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
         out = []
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if hi - lo > 1:
                 sets = [np.frombuffer(x, np.uint64) for x in grams.slice(lo, hi - lo).to_pylist()]
-                out += [(int(reps[lo + a]), int(reps[lo + b])) for a, b in tree_links(sets, shared.value, threshold)]
+                out += [(int(nodes[lo + a]), int(nodes[lo + b])) for a, b in tree_links(sets, threshold, shared.value)]
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
 
 
-def _shared_by(postings: DataFrame, gram: str, node: str) -> DataFrame:
-    """n-grams of more than one node, with the smallest."""
-    spans = postings.groupBy(gram).agg(F.min(node).alias("center"), F.max(node).alias("last"))
-    return spans.where("center < last").select(gram, "center")
-
-
-def _links(docs: DataFrame, base: DataFrame, classes: DataFrame, n: int, threshold: int) -> DataFrame:
-    spark = docs.sparkSession
-    heads = base.join(classes.select("digest", F.col("rep").alias("doc")), ["digest", "doc"], "left_semi")
-    postings = heads.select("digest", F.col("doc").alias("rep"), "need", F.explode("head").alias("gram"))
-    # a digest stands for its class: two classes may have the same smallest doc_id
-    postings = postings.withColumn("node", F.xxhash64("digest"))
-    near = (
-        postings.join(_shared_by(postings, "gram", "node"), "gram", "left_semi")
-        .groupBy("rep", "digest")
-        .agg(F.count("*").alias("shared"), F.max("need").alias("need"))
-        .where("shared >= need")
-    )
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").alias("_text"))
-    sets = materialise(
-        texts.join(near.select("rep", "digest"), "rep")
-        .select("rep", "_text", "digest")
-        .mapInArrow(_whole_sets(n), "rep long, n long, grams binary")
-    )
-    cells = sets.select("grams").mapInArrow(_cells, "cell long, times long").groupBy("cell").agg(F.sum("times").alias("times"))
-    counts = np.zeros(1 << CELL_BITS, np.int64)
-    cells = cells.toArrow()
-    counts[cells["cell"].to_numpy()] = cells["times"].to_numpy()
-    shared = spark.sparkContext.broadcast(counts)
-    prefixes = sets.select("rep", "grams").mapInArrow(_prefixes(shared, threshold), "gram long, rep long")
-    edges = prefixes.join(_shared_by(prefixes, "gram", "rep"), "gram").select(F.col("rep").alias("a"), F.col("center").alias("b"))
+def _tree_join(sets: DataFrame, edges: DataFrame, threshold: int, shared) -> tuple[DataFrame, DataFrame]:
+    """(links within the components of ``edges``, the components as node, part)."""
     found = components(edges)
-    parts = found.union(found.select(F.col("component").alias("node"), "component").distinct()).toDF("rep", "part")
-    sizes = materialise(sets.join(parts, "rep").select("rep", "part", "n"))
+    parts = found.union(found.select(F.col("component").alias("node"), "component").distinct()).toDF("node", "part")
+    sizes = materialise(sets.select("node", "n").join(parts, "node"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     tasks = max(1, -(-total * 8 // BLOCK_BYTES))
     chunks = sizes.groupBy("part").agg(F.ceil(F.sum("n") * 8 / F.lit(BLOCK_BYTES)).cast("int").alias("chunks"))
-    dealt = sizes.select("rep", "part").distinct().join(chunks, "part")
-    own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = dealt.select("rep", "part", "chunks", own.alias("own"), other.alias("other"))
+    dealt = sizes.join(chunks, "part").select("node", "part", "chunks", own.alias("own"), other.alias("other"))
     one = F.col("chunks") == 1
     block = F.struct(
         F.when(one, F.pmod(F.xxhash64("part"), F.lit(tasks))).otherwise(F.col("part")).alias("of"),
         F.when(one, -1).otherwise(F.least("own", "other")).alias("i"),
         F.when(one, -1).otherwise(F.greatest("own", "other")).alias("j"),
     )
-    blocks = sets.join(dealt.select("rep", "part", block.alias("block")), "rep").select("block", "part", "rep", "grams")
-    return blocks.groupBy("block").applyInArrow(_join_blocks(shared, threshold), "a long, b long")
+    blocks = sets.join(dealt.select("node", "part", block.alias("block")), "node").select("block", "part", "node", "grams")
+    return blocks.groupBy("block").applyInArrow(_join_blocks(threshold, shared), "a long, b long"), parts
+
+
+def _spans(postings: DataFrame, label: str) -> DataFrame:
+    """n-grams that more than one label holds, with the smallest of these."""
+    ends = postings.groupBy("gram").agg(F.min(label).alias("center"), F.max(label).alias("last"))
+    return ends.where("center < last").select("gram", "center")
+
+
+def _enough(postings: DataFrame) -> DataFrame:
+    """Nodes with as many rows as a link takes."""
+    counts = postings.groupBy("node").agg(F.count("*").alias("shared"), F.max("need").alias("need"))
+    return counts.where("shared >= need").select("node")
+
+
+def _links(docs: DataFrame, base: DataFrame, classes: DataFrame, n: int, threshold: int, shared) -> DataFrame:
+    heads = base.join(classes.select("node", F.col("rep").alias("doc")), ["node", "doc"], "left_semi")
+    postings = heads.select("node", "need", F.explode("head").alias("gram"))
+    postings = materialise(postings.join(_spans(postings, "node"), "gram"))
+    near = materialise(_enough(postings))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").alias("_text"))
+    wanted = heads.join(near, "node", "left_semi").select("node", "doc", "digest").distinct()
+    sets = materialise(
+        texts.join(wanted, "doc").select("node", "_text", "digest").mapInArrow(_whole_sets(n), "node long, n long, grams binary")
+    )
+    postings = postings.join(near, "node", "left_semi")
+    strong = postings.groupBy("node", "center").agg(F.count("*").alias("shared"), F.max("need").alias("need"))
+    strong = strong.where("2 * shared >= need").select(F.col("node").alias("a"), F.col("center").alias("b"))
+    strong = strong.join(near.select(F.col("node").alias("b")), "b", "left_semi")
+    inside, parts = _tree_join(sets, strong, threshold, shared)
+    labelled = postings.drop("center").join(parts, "node", "left").withColumn("label", F.coalesce("part", "node")).drop("part")
+    far = _enough(labelled.join(_spans(labelled, "label"), "gram"))
+    # the same with all n-grams of what is left, of which a link takes far more
+    whole = sets.join(far, "node", "left_semi").mapInArrow(_all_grams(threshold), "node long, need int, gram long")
+    whole = materialise(whole.join(parts, "node", "left").withColumn("label", F.coalesce("part", "node")).drop("part"))
+    crossing = whole.join(_spans(whole, "label"), "gram")
+    left = whole.join(_enough(crossing), "node", "left_semi")
+    edges = left.join(_spans(left, "node").withColumnRenamed("center", "least"), "gram")
+    across, _ = _tree_join(sets, edges.select(F.col("node").alias("a"), F.col("least").alias("b")), threshold, shared)
+    return inside.union(across)
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, threshold: int = 90) -> DataFrame:
@@ -309,18 +358,20 @@ def near_duplicates(docs: DataFrame, n: int = 3, threshold: int = 90) -> DataFra
     nothing. A null doc_id links with nothing and has a null component_id. Rows that share a
     doc_id are one document with the links of both. Other columns are not read.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(_steps(docs, n))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").alias("_text"))
-    base = materialise(rows.mapInArrow(_sets(n, threshold), "doc long, n long, digest binary, need int, head array<long>"))
-    full = base.where("doc IS NOT NULL AND n > 0")
-    classes = materialise(full.groupBy("digest").agg(F.min("doc").alias("rep")))
-    links = _links(docs, full, classes, n, threshold)
+    sent = rows.mapInArrow(_sets(n, threshold, shared), "doc long, n long, digest binary, need int, head array<long>")
+    base = materialise(sent.withColumn("node", F.when(F.col("doc").isNotNull() & (F.col("n") > 0), F.xxhash64("digest"))))
+    full = base.where("node IS NOT NULL")
+    classes = materialise(full.groupBy("node").agg(F.min("doc").alias("rep")))
+    links = _links(docs, full, classes, n, threshold, shared)
     # one doc_id with several texts joins the classes of these texts
-    several = full.groupBy("doc").agg(F.min(F.xxhash64("digest")).alias("x"), F.max(F.xxhash64("digest")).alias("y")).where("x < y")
-    bridges = full.join(several.select("doc"), "doc").join(classes, "digest").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    several = full.groupBy("doc").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last")
+    bridges = full.join(several, "doc").select(F.col("node").alias("a"), "b")
     found = components(links.union(bridges))
-    labels = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "digest", F.coalesce("component", "rep").alias("label")
-    )
-    own = base.select("doc", "n", "digest").join(labels, "digest", "left")
+    parts = classes.join(found, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    least = parts.groupBy("part").agg(F.min("rep").alias("label"))
+    labels = parts.join(least, "part").select("node", "label")
+    own = base.select("doc", "n", "node").join(labels, "node", "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("label", "doc"))
     return own.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
