@@ -62,6 +62,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, kept: np.ndarray) -> None:
         self.data = data
+        self.offsets = offsets
         mask = kept[data]
         n = len(data)
         first = mask.copy()

@@ -12,6 +12,7 @@ from tideline.llm.exact import exact_duplicates
 from tideline.llm.leaks import find_leaks, n_hit
 from tideline.llm.lines import line_report
 from tideline.llm.ngram_join import near_duplicates
+from tideline.llm.quality import quality_scores
 from tideline.llm.sentence_pieces import decode, encode
 from tideline.llm.substrings import remove_repeats
 from tideline.llm.token_counts import token_counts
@@ -168,3 +169,8 @@ def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_report(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
