@@ -15,7 +15,10 @@ from tideline.llm.ngram_join import near_duplicates
 from tideline.llm.quality import quality_scores
 from tideline.llm.sentence_pieces import decode, encode
 from tideline.llm.substrings import remove_repeats
+from tideline.llm.surrogates import replace_personal_data
 from tideline.llm.token_counts import token_counts
+from tideline.llm.training_order import read_ranks, write_training_order
+from tideline.session import scratch_path
 
 #: Where the vocabulary files of the public tokenizers are.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -174,3 +177,20 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_quality_classifier")
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: The split pattern of the byte-pair vocabularies, a fixed value of theirs.
+SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@query("op3_training_order")
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = read_ranks(tokenizer("byte_bpe_50k.tiktoken"), SPLIT_PATTERN)
+    path = scratch_path(spark, "shards")
+    _, written = write_training_order(table(spark, sf_dir, "documents"), path, ranks, 50256, key=b"epoch 0", length=512)
+    return written
+
+
+@query("op5_surrogates")
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_personal_data(table(spark, sf_dir, "documents"), key=b"surrogates").select("doc_id", "text", "n_replaced")
