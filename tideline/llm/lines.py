@@ -122,12 +122,12 @@ def similar_lines(table: DataFrame, places: DataFrame) -> DataFrame:
     both = (
         pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
         .join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-        .select("a", "b", _shingles(F.col("x")).alias("x"), _shingles(F.col("y")).alias("y"))
+        # behind a generator, so that the shingles of a pair are made once
+        .select("a", "b", F.explode(F.array(F.struct(_shingles(F.col("x")).alias("x"), _shingles(F.col("y")).alias("y")))).alias("z"))
     )
-    same = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", same.alias("same"), (F.size("x") + F.size("y") - same).alias("all")).where(
-        F.col("same") >= SIMILARITY * F.col("all")
-    ).select("a", "b")
+    # same / (x + y - same) >= SIMILARITY
+    same = F.size(F.array_intersect("z.x", "z.y"))
+    return both.where((1 + SIMILARITY) * same >= SIMILARITY * (F.size("z.x") + F.size("z.y")) - 1e-9).select("a", "b")
 
 
 def _by_document(flags: DataFrame) -> DataFrame:
