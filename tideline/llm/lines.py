@@ -6,11 +6,14 @@ hash; one occurrence of each different line is signed: the hashes of its charact
 each combined with BANDS * ROWS constants by exclusive or, and the minimum for each constant
 (the shingle nearest to a constant is a uniform choice from the union of two sets, so two
 lines agree on it with the probability of their Jaccard similarity). Lines that agree on a
-whole band are candidates: each is compared with the first and the previous line of its
-band, by the exact Jaccard similarity of all their shingles. Connected components of the
-similar pairs, with all copies, keep the first occurrence.
-
-With 10 bands of 3 rows a pair of similarity 0.8 meets in a band with probability 0.9992.
+whole band are candidates: each is compared with the first and the NEIGHBOURS lines before
+it, in an order of lines that is another one in every band, by the exact Jaccard similarity
+of all their shingles. Connected components of the similar pairs, with all copies, keep the
+first occurrence.
+
+With 10 bands of 3 rows a pair of similarity 0.8 meets in a band with probability 0.9992. Up
+to six lines of a band are all compared with each other. In a larger band a pair that no
+other line connects can be missed: the price of never comparing all pairs of a hot band.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from tideline.session import materialise, scratch_path
 
 BANDS = 10
 ROWS = 3
+#: Lines before it, in each band, that a line is compared with.
+NEIGHBOURS = 4
 #: Characters of a shingle.
 SHINGLE = 8
 SIMILARITY = 0.8
@@ -92,12 +97,13 @@ def _signed(lines: DataFrame) -> DataFrame:
 
 
 def _candidates(signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines that agree on a band: each with the first and the previous of its band."""
+    """Pairs (a, b), a < b, of lines that agree on a band: each with the first and those just before it."""
     rows = signed.select("h", F.explode("bands").alias("band"))
-    band = Window.partitionBy("band").orderBy("h")
-    before = rows.select("h", F.lag("h").over(band).alias("previous"), F.first("h").over(band).alias("first"))
-    pairs = before.where("previous IS NOT NULL").select(F.col("h").alias("a"), F.explode(F.array("previous", "first")).alias("b"))
-    return pairs.where("a <> b").distinct()
+    band = Window.partitionBy("band").orderBy(F.xxhash64("h", "band"), "h")
+    near = [F.lag("h", k).over(band) for k in range(1, NEIGHBOURS + 1)]
+    before = rows.select("h", F.array(F.first("h").over(band), *near).alias("near")).where(F.get("near", F.lit(1)).isNotNull())
+    pairs = before.select(F.col("h").alias("x"), F.explode("near").alias("y")).where("y IS NOT NULL AND x <> y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def similar_lines(table: DataFrame, places: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ and key only, so a task that runs again after a lost executor writes the same fi
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
@@ -86,19 +87,47 @@ class Layout:
         return f"<u{self.token_bytes}"
 
 
-_encoders: dict[int, object] = {}
+#: Blanks and the word behind them, whose tokens depend on nothing else.
+_CHUNK = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
+#: Other blanks: a text that has one is encoded whole.
+_OTHER_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Chunks whose tokens a Python worker keeps.
+KEPT_CHUNKS = 1 << 18
 
 
-def _encoder(described: dict):
-    import tiktoken
+class _Encoder(dict):
+    """chunk -> token ids, little-endian."""
 
-    token = hash((described["pattern"], len(described["ranks"])))
-    if token not in _encoders:
-        _encoders.clear()
-        _encoders[token] = tiktoken.Encoding(
+    def __init__(self, described: dict, dtype: str) -> None:
+        import tiktoken
+
+        super().__init__()
+        self.dtype = dtype
+        self.encode = tiktoken.Encoding(
             "own", pat_str=described["pattern"], mergeable_ranks=described["ranks"], special_tokens={}
-        )
-    return _encoders[token]
+        ).encode_ordinary
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= KEPT_CHUNKS:
+            self.clear()
+        ids = self[chunk] = np.array(self.encode(chunk), self.dtype).tobytes()
+        return ids
+
+    def ids(self, text: str) -> bytes:
+        if _OTHER_BLANK.search(text):
+            return np.array(self.encode(text), self.dtype).tobytes()
+        return b"".join(map(self.__getitem__, _CHUNK.findall(text)))
+
+
+_encoders: dict[tuple, _Encoder] = {}
+
+
+def _encoder(described: dict, token_bytes: int) -> _Encoder:
+    name = (described["pattern"], len(described["ranks"]), token_bytes)
+    if name not in _encoders:
+        _encoders.clear()
+        _encoders[name] = _Encoder(described, f"<u{token_bytes}")
+    return _encoders[name]
 
 
 def read_ranks(path: str, pattern: str) -> dict:
@@ -109,11 +138,11 @@ def read_ranks(path: str, pattern: str) -> dict:
         return {"pattern": pattern, "ranks": {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}}
 
 
-def _counted(shared, length: int):
+def _counted(shared, length: int, token_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(shared.value).encode_ordinary
+        ids = _encoder(shared.value, token_bytes).ids
         for batch in batches:
-            n = [-(-(len(encode(t)) + 1) // length) if t else 0 for t in batch.column("text").to_pylist()]
+            n = [-(-(len(ids(t)) // token_bytes + 1) // length) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("split"), pa.array(n, pa.int64())], names=["split", "n"])
 
     return run
@@ -121,9 +150,10 @@ def _counted(shared, length: int):
 
 def _sent(shared, offsets, layout: Layout, key: bytes, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(shared.value).encode_to_numpy
+        encode = _encoder(shared.value, layout.token_bytes).ids
+        end = np.array([layout.end_of_text], layout.dtype).tobytes()
         order, done = Feistel(layout.sequences, key), {}
-        length = layout.length
+        stride = layout.stride
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)
@@ -132,16 +162,16 @@ def _sent(shared, offsets, layout: Layout, key: bytes, id_type: pa.DataType):
                 for doc, text, split in rows:
                     if not text:
                         continue
-                    raw = np.append(encode(text, disallowed_special=()), layout.end_of_text).astype(layout.dtype)
-                    for place, at in enumerate(range(0, len(raw), length)):
+                    raw = encode(text) + end
+                    for place, at in enumerate(range(0, len(raw), stride)):
                         number = done.get(split, 0)
                         done[split] = number + 1
-                        part = raw[at : at + length]
+                        part = raw[at : at + stride]
                         ids.append(doc)
                         places.append(place)
                         numbers.append(offsets.value[split] + number)
-                        sizes.append(len(part))
-                        tokens.append(part.tobytes())
+                        sizes.append(len(part) // layout.token_bytes)
+                        tokens.append(part)
                 slots = order.slot(np.array(numbers, np.uint64))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -221,13 +251,13 @@ def write_training_order(
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ranks)
     rows = _with_split(docs)
-    counts = rows.select("text", "split").mapInArrow(_counted(shared, length), "split string, n long")
+    token_bytes = 2 if max(end_of_text, len(ranks["ranks"])) < 1 << 16 else 4
+    counts = rows.select("text", "split").mapInArrow(_counted(shared, length, token_bytes), "split string, n long")
     # one number per file split: 24 bytes or so for each 128 MB of input
     splits = sorted((r.split, r.n) for r in counts.groupBy("split").agg(F.sum("n").alias("n")).collect())
     offsets, total = {}, 0
     for split, n in splits:
         offsets[split], total = total, total + n
-    token_bytes = 2 if max(end_of_text, len(ranks["ranks"])) < 1 << 16 else 4
     layout = Layout(total, length, token_bytes, max(1, shard_bytes // (length * token_bytes)), end_of_text)
     store, root = _open(path)
     store.create_dir(root, recursive=True)
