@@ -15,7 +15,6 @@ and key only, so a task that runs again after a lost executor writes the same fi
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
@@ -87,46 +86,28 @@ class Layout:
         return f"<u{self.token_bytes}"
 
 
-#: Blanks and the word behind them, whose tokens depend on nothing else.
-_CHUNK = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
-#: Other blanks: a text that has one is encoded whole.
-_OTHER_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Chunks whose tokens a Python worker keeps.
-KEPT_CHUNKS = 1 << 18
+class _Encoder:
+    """Text -> token ids by the public library, without special tokens."""
 
-
-class _Encoder(dict):
-    """chunk -> token ids, little-endian."""
-
-    def __init__(self, described: dict, dtype: str) -> None:
+    def __init__(self, described: dict) -> None:
         import tiktoken
 
-        super().__init__()
-        self.dtype = dtype
-        self.encode = tiktoken.Encoding(
+        self.library = tiktoken.Encoding(
             "own", pat_str=described["pattern"], mergeable_ranks=described["ranks"], special_tokens={}
-        ).encode_ordinary
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= KEPT_CHUNKS:
-            self.clear()
-        ids = self[chunk] = np.array(self.encode(chunk), self.dtype).tobytes()
-        return ids
+        )
 
-    def ids(self, text: str) -> bytes:
-        if _OTHER_BLANK.search(text):
-            return np.array(self.encode(text), self.dtype).tobytes()
-        return b"".join(map(self.__getitem__, _CHUNK.findall(text)))
+    def ids(self, text: str) -> list[int]:
+        return self.library.encode_ordinary(text)
 
 
 _encoders: dict[tuple, _Encoder] = {}
 
 
-def _encoder(described: dict, token_bytes: int) -> _Encoder:
-    name = (described["pattern"], len(described["ranks"]), token_bytes)
+def _encoder(described: dict) -> _Encoder:
+    name = (described["pattern"], len(described["ranks"]))
     if name not in _encoders:
         _encoders.clear()
-        _encoders[name] = _Encoder(described, f"<u{token_bytes}")
+        _encoders[name] = _Encoder(described)
     return _encoders[name]
 
 
@@ -138,11 +119,11 @@ def read_ranks(path: str, pattern: str) -> dict:
         return {"pattern": pattern, "ranks": {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}}
 
 
-def _counted(shared, length: int, token_bytes: int):
+def _counted(shared, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _encoder(shared.value, token_bytes).ids
+        ids = _encoder(shared.value).ids
         for batch in batches:
-            n = [-(-(len(ids(t)) // token_bytes + 1) // length) if t else 0 for t in batch.column("text").to_pylist()]
+            n = [-(-(len(ids(t)) + 1) // length) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("split"), pa.array(n, pa.int64())], names=["split", "n"])
 
     return run
@@ -150,7 +131,7 @@ def _counted(shared, length: int, token_bytes: int):
 
 def _sent(shared, offsets, layout: Layout, key: bytes, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(shared.value, layout.token_bytes).ids
+        encode = _encoder(shared.value).ids
         end = np.array([layout.end_of_text], layout.dtype).tobytes()
         order, done = Feistel(layout.sequences, key), {}
         stride = layout.stride
@@ -162,7 +143,7 @@ def _sent(shared, offsets, layout: Layout, key: bytes, id_type: pa.DataType):
                 for doc, text, split in rows:
                     if not text:
                         continue
-                    raw = encode(text) + end
+                    raw = np.array(encode(text), layout.dtype).tobytes() + end
                     for place, at in enumerate(range(0, len(raw), stride)):
                         number = done.get(split, 0)
                         done[split] = number + 1
@@ -252,7 +233,7 @@ def write_training_order(
     shared = spark.sparkContext.broadcast(ranks)
     rows = _with_split(docs)
     token_bytes = 2 if max(end_of_text, len(ranks["ranks"])) < 1 << 16 else 4
-    counts = rows.select("text", "split").mapInArrow(_counted(shared, length, token_bytes), "split string, n long")
+    counts = rows.select("text", "split").mapInArrow(_counted(shared, length), "split string, n long")
     # one number per file split: 24 bytes or so for each 128 MB of input
     splits = sorted((r.split, r.n) for r in counts.groupBy("split").agg(F.sum("n").alias("n")).collect())
     offsets, total = {}, 0
