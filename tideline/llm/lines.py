@@ -3,17 +3,20 @@
 Documents are written once as a table in buckets of their row id, so that the later steps
 read a document's lines without another shuffle of text. Copies of a line meet by a 64-bit
 hash; one occurrence of each different line is signed: the hashes of its character shingles,
-each combined with BANDS * ROWS constants by exclusive or, and the minimum for each constant
+each combined with HASHES constants by exclusive or, and the minimum for each constant
 (the shingle nearest to a constant is a uniform choice from the union of two sets, so two
 lines agree on it with the probability of their Jaccard similarity). Lines that agree on a
-whole band are candidates: each is compared with the first and the NEIGHBOURS lines before
-it, in an order of lines that is another one in every band, by the exact Jaccard similarity
-of all their shingles. Connected components of the similar pairs, with all copies, keep the
-first occurrence.
-
-With 10 bands of 3 rows a pair of similarity 0.8 meets in a band with probability 0.9992. Up
-to six lines of a band are all compared with each other. In a larger band a pair that no
-other line connects can be missed: the price of never comparing all pairs of a hot band.
+whole band are candidates, held to the exact Jaccard similarity of all their shingles.
+Connected components of the similar pairs, with all copies, keep the first occurrence.
+
+No band's pairs are all made. Each line is compared with the first one of each of its bands;
+what is still in several components is compared with the NEIGHBOURS lines before it, in an
+order of lines that is another one in every band. So up to NEIGHBOURS + 1 lines are all
+compared or connected. Lines of a larger band that is still in several components go on to
+the next of the LEVELS: more bands, of more rows each, in which unlike lines part. The last
+level's larger bands are left at that.
+
+With 10 bands of 3 rows a pair of similarity 0.8 meets in a band with probability 0.9992.
 """
 
 from __future__ import annotations
@@ -29,10 +32,11 @@ from tideline.llm.components import components
 from tideline.llm.tables import id_key, text_bytes
 from tideline.session import materialise, scratch_path
 
-BANDS = 10
-ROWS = 3
-#: Lines before it, in each band, that a line is compared with.
-NEIGHBOURS = 4
+HASHES = 30
+#: (rows of a band, bands): first for all lines, then for what is left of large bands.
+LEVELS = ((3, 10), (6, 60))
+#: Lines before it, in a band of several components, that a line is compared with.
+NEIGHBOURS = 5
 #: Characters of a shingle.
 SHINGLE = 8
 SIMILARITY = 0.8
@@ -42,7 +46,7 @@ BUCKET_TEXT = 24 << 20
 #: The constants' leading bits are spread evenly, the others are random.
 _CONSTANTS = [
     int(np.int64(np.uint64(((i << 59) & (2**64 - 1)) ^ int(x))))
-    for i, x in enumerate(np.random.default_rng(7).integers(0, 2**59, BANDS * ROWS, np.uint64))
+    for i, x in enumerate(np.random.default_rng(7).integers(0, 2**59, HASHES, np.uint64))
 ]
 
 
@@ -86,45 +90,56 @@ def _shingles(line: Column) -> Column:
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    """(h, bands) of lines (rid, h, line) that are dealt by rid."""
+    """(h, m): the HASHES minima of lines (rid, h, line) that are dealt by rid."""
     codes = lines.select("rid", "h", F.encode("line", "UTF-32").alias("codes"))
     each = codes.select("rid", "h", "codes", F.explode(_places(F.col("codes"))).alias("at"))
     each = each.select("rid", "h", _shingle(F.col("codes"), F.col("at")).alias("x"))
     least = [F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_CONSTANTS)]
-    signed = each.groupBy("rid", "h").agg(*least)
-    band = [F.xxhash64(F.lit(b), *[F.col(f"m{b + BANDS * r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return signed.select("h", F.array(*band).alias("bands"))
+    return each.groupBy("rid", "h").agg(*least).select("h", *[f"m{i}" for i in range(HASHES)])
+
+
+def _chosen_rows(level: int) -> list[list[int]]:
+    """The minima that each band of a level is made of; the first level uses each of them once."""
+    rows, bands = LEVELS[level]
+    if rows * bands == HASHES:
+        return [[band + bands * r for r in range(rows)] for band in range(bands)]
+    draw = np.random.default_rng(level)
+    return [sorted(draw.choice(HASHES, rows, replace=False).tolist()) for _ in range(bands)]
+
+
+def _banded(signed: DataFrame, level: int) -> DataFrame:
+    """(h, band, n, first) for the bands that more than one line has."""
+    keys = [F.xxhash64(F.lit(i), *[F.col(f"m{k}") for k in pick]) for i, pick in enumerate(_chosen_rows(level))]
+    rows = materialise(signed.select("h", F.explode(F.array(*keys)).alias("band")))
+    least = F.min(F.struct(F.xxhash64("h", "band").alias("place"), "h"))
+    bands = rows.groupBy("band").agg(F.count("*").alias("n"), least["h"].alias("first")).where("n > 1")
+    return materialise(rows.join(bands, "band"))
+
+
+def _pairs(ends: DataFrame) -> DataFrame:
+    """Different pairs (a, b), a < b, of (x, y)."""
+    return ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
 
+def _open(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with the component of each line, of the bands that hold several components."""
+    part = F.coalesce("component", "h").alias("part")
+    rows = rows.join(found.withColumnRenamed("node", "h"), "h", "left").select("h", "band", "n", part)
+    ends = rows.groupBy("band").agg(F.min("part").alias("least"), F.max("part").alias("most"))
+    return rows.join(ends.where("least < most").select("band"), "band")
 
-def _candidates(signed: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of lines that agree on a band: each with the first and those just before it."""
-    rows = signed.select("h", F.explode("bands").alias("band"))
+
+def _with_those_before(rows: DataFrame) -> DataFrame:
+    """Pairs of lines of an open band that lie near each other and in different components."""
     band = Window.partitionBy("band").orderBy(F.xxhash64("h", "band"), "h")
-    near = [F.lag("h", k).over(band) for k in range(1, NEIGHBOURS + 1)]
-    before = rows.select("h", F.array(F.first("h").over(band), *near).alias("near")).where(F.get("near", F.lit(1)).isNotNull())
-    pairs = before.select(F.col("h").alias("x"), F.explode("near").alias("y")).where("y IS NOT NULL AND x <> y")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    near = [F.lag(F.struct("h", "part"), k).over(band) for k in range(1, NEIGHBOURS + 1)]
+    each = rows.where("n > 2").select("h", "part", F.array(*near).alias("near"))
+    each = each.select("h", "part", F.explode("near").alias("y")).where("part <> y.part")
+    return _pairs(each.select(F.col("h").alias("x"), F.col("y.h").alias("y")))
 
 
-def similar_lines(table: DataFrame, places: DataFrame) -> DataFrame:
-    """(a, b): hashes of different lines that are similar, enough of them to give the components."""
-    first = places.where("h IS NOT NULL").groupBy("h").agg(F.min("rid").alias("rid"))
-    named = materialise(first)
-    # which lines of a document stand for their copies, in the order of its lines
-    chosen = places.join(named.withColumn("chosen", F.lit(True)), ["rid", "h"], "left")
-    flags = _by_document(chosen.select("rid", "pos", F.col("chosen").isNotNull().alias("flag")))
-    signed = _signed(_picked(table, flags))
-    pairs = materialise(_candidates(signed))
-    ends = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
-    wanted = materialise(named.join(ends, "h"))
-    chosen = places.join(wanted.withColumn("chosen", F.lit(True)), ["rid", "h"])
-    docs = chosen.select("rid").distinct()
-    flags = _by_document(
-        places.join(docs, "rid", "left_semi")
-        .join(wanted.withColumn("chosen", F.lit(True)), ["rid", "h"], "left")
-        .select("rid", "pos", F.col("chosen").isNotNull().alias("flag"))
-    )
-    texts = materialise(_picked(table, flags).select("h", "line").distinct())
+def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose lines are similar."""
     both = (
         pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
         .join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
@@ -136,6 +151,36 @@ def similar_lines(table: DataFrame, places: DataFrame) -> DataFrame:
     return both.where((1 + SIMILARITY) * same >= SIMILARITY * (F.size("z.x") + F.size("z.y")) - 1e-9).select("a", "b")
 
 
+def _flags(places: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rid, flags) of the documents that hold one of the lines ``wanted`` (rid, h)."""
+    placed = places.join(wanted.withColumn("chosen", F.lit(True)), ["rid", "h"], "left")
+    return _by_document(placed.select("rid", "pos", F.col("chosen").isNotNull().alias("flag")))
+
+
+def similar_lines(table: DataFrame, places: DataFrame) -> DataFrame:
+    """(node, component) of the hashes of different lines that similar ones connect."""
+    # one place of a line stands for its copies
+    named = materialise(places.where("h IS NOT NULL").groupBy("h").agg(F.min("rid").alias("rid")))
+    signed = _signed(_picked(table, _flags(places, named)))
+    texts = found = None
+    for level in range(len(LEVELS)):
+        rows = _banded(signed, level)
+        if texts is None:
+            wanted = materialise(named.join(rows.select("h").distinct(), "h"))
+            held = places.join(wanted.select("rid").distinct(), "rid", "left_semi")
+            texts = materialise(_picked(table, _flags(held, wanted)).select("h", "line").distinct())
+            first = _pairs(rows.select(F.col("h").alias("x"), F.col("first").alias("y")))
+            found = components(_similar(first, texts))
+        near = _with_those_before(_open(rows, found))
+        known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = components(known.union(_similar(near, texts)))
+        left = materialise(_open(rows.where(F.col("n") > NEIGHBOURS + 1), found).select("h").distinct())
+        if left.isEmpty():
+            break
+        signed = _signed(texts.join(left, "h").select(F.col("h").alias("rid"), "h", "line"))
+    return found
+
+
 def _by_document(flags: DataFrame) -> DataFrame:
     """(rid, flags): an array with one boolean per line."""
     each = flags.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("pos", "flag"))).alias("flags"))
@@ -153,7 +198,7 @@ def line_decisions(table: DataFrame) -> DataFrame:
     """(rid, keep): for each document an array with one boolean per line."""
     each = table.select("rid", "key", F.posexplode(_lines(F.col("row.text"))).alias("pos", "line"))
     places = materialise(each.select("rid", "key", "pos", F.when(~_is_blank(F.col("line")), F.xxhash64("line")).alias("h")))
-    groups = components(similar_lines(table, places.select("rid", "pos", "h")))
+    groups = similar_lines(table, places.select("rid", "pos", "h"))
     grouped = places.join(groups.select(F.col("node").alias("h"), "component"), "h", "left").withColumn(
         "part", F.coalesce("component", "h")
     )
