@@ -149,16 +149,16 @@ def to_pack(
 
 
 def base_time(spec: Dataset, pack: Column) -> Column:
-    """Envelope base time as text: pickup time in epoch seconds, or the fixed value."""
+    """Envelope base time as text: pickup time in epoch seconds (0 when there is none to read), or the fixed value."""
     if spec.base_time is not None:
         return F.lit(spec.base_time)
-    pickup = F.element_at(F.filter(F.from_json(pack, VALUES), lambda r: r["n"] == "pickup_datetime"), 1)
-    return epoch_seconds(F.coalesce(pickup["vs"], pickup["sv"])).cast("string")
+    pickup = F.get(F.filter(F.from_json(pack, VALUES), lambda r: r["n"] == "pickup_datetime"), F.lit(0))
+    return F.coalesce(epoch_seconds(F.coalesce(pickup["vs"], pickup["sv"])).cast("string"), F.lit("0"))
 
 
 def epoch_seconds(text: Column) -> Column:
-    """``yyyy-MM-dd HH:mm:ss`` -> epoch seconds; extra blanks between the parts allowed."""
-    return F.unix_timestamp(F.regexp_replace(text, r"\s+", " "), "yyyy-MM-dd HH:mm:ss")
+    """``yyyy-MM-dd HH:mm:ss`` -> epoch seconds; extra blanks between the parts allowed, other text is null."""
+    return F.unix_seconds(F.try_to_timestamp(F.regexp_replace(text, r"\s+", " "), F.lit("yyyy-MM-dd HH:mm:ss")))
 
 
 def wrap_envelope(spec: Dataset, pack: Column) -> Column:

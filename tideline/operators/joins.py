@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from collections.abc import Sequence as Seq
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,7 +40,7 @@ def lookup_join(
 
     A small table is broadcast (``broadcast_rows`` lowers the limit for wide rows). A large one is joined by shuffle for ordinary keys;
     rows of heavy keys meet a broadcast of only those keys' entries, so no task gets
-    a whole heavy key.
+    a whole heavy key. On a stream a large table is joined by shuffle for all keys.
     """
     keys = list(keys)
     # Null-safe equality against non-null keys is plain equality, without the not-null
@@ -47,7 +48,8 @@ def lookup_join(
     table = table.dropna(subset=keys)
     if fits_broadcast(table, broadcast_rows):
         return null_safe_join(df, table, keys, how, small=True)
-    heavy = heavy_keys(df, keys)
+    # A stream's keys cannot be counted before it runs.
+    heavy = None if df.isStreaming else heavy_keys(df, keys)
     if heavy is None:
         return null_safe_join(df, table, keys, how)
     light = null_safe_join(df, heavy, keys, "left_anti", small=True)
@@ -143,11 +145,25 @@ def asof_join(
     Changes are (keys, since, columns) with one row per key and instant. Few changes
     are cut at time bins and broadcast; otherwise both sides are put in one order per
     key and the last change is carried forward, over chunks where a key was split.
+    Times are numbers, timestamps or dates, of one kind on both sides; a change without
+    ``since`` is never in force.
     """
     keys = list(keys)
-    if fits_broadcast(changes, 10_000):
-        return _asof_broadcast(df, changes, keys, time, columns, since)
-    return _asof_ordered(df, changes, keys, time, columns, since)
+    at = _instants(dict(df.dtypes)[time], dict(changes.dtypes)[since])
+    rows = df.withColumn("__time", at(F.col(time)))
+    known = changes.select(*keys, *columns, at(F.col(since)).alias("__since")).where("__since IS NOT NULL")
+    join = _asof_broadcast if fits_broadcast(known, 10_000) else _asof_ordered
+    return join(rows, known, keys, "__time", columns, "__since").drop("__time")
+
+
+def _instants(*types: str) -> Callable[[Column], Column]:
+    """How times of these types become whole numbers, or doubles where one has fractions."""
+    if set(types) <= {"timestamp", "timestamp_ntz"}:
+        return lambda c: F.unix_micros(c.cast("timestamp"))
+    if set(types) == {"date"}:
+        return F.unix_date
+    whole = set(types) <= {"tinyint", "smallint", "int", "bigint"}
+    return lambda c: c.cast("long" if whole else "double")
 
 
 def _asof_broadcast(df, changes, keys, time, columns, since):
@@ -190,12 +206,12 @@ def _asof_broadcast(df, changes, keys, time, columns, since):
 def _asof_ordered(df, changes, keys, time, columns, since):
     payload = F.struct(*columns)
     types = df.schema
-    left = df.withColumns({"__at": F.col(time).cast("double"), "__side": F.lit(1)}).withColumn(
+    left = df.withColumns({"__at": F.col(time), "__side": F.lit(1)}).withColumn(
         "__value", F.lit(None)
     )
     right = changes.select(
         *keys,
-        F.col(since).cast("double").alias("__at"),
+        F.col(since).alias("__at"),
         F.lit(0).alias("__side"),
         payload.alias("__value"),
     )

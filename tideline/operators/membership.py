@@ -102,6 +102,8 @@ def bloom_filter(df: DataFrame, bloom: BloomTable | None, key: str) -> DataFrame
         return df
     if bloom.page_count <= BROADCAST_PAGES:
         return _probe(df, F.broadcast(bloom.pages), bloom, key)
+    if df.isStreaming:
+        return _probe(df, bloom.pages, bloom, key)
     # A filter too large for every executor: probe each key once, then keep rows by key.
     survivors = _probe(df.select(key).distinct(), bloom.pages, bloom, key)
     return lookup_join(df, survivors, [key], how="left_semi")

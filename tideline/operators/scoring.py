@@ -13,16 +13,18 @@ from tideline.specs import Dataset
 
 REGRESSION = "MLR"
 TREE = "DTC"
+INT_RANGE = (-(2.0**31), 2.0**31 - 1)
 AVERAGE = "AVG"
 ERROR = "ERR"
 
 
 def linear_score(features: Seq[str], intercept: Column, weights: Seq[Column]) -> Column:
-    """b0 + sum of b_i x_i, cut to a whole number towards zero."""
+    """b0 + sum of b_i x_i, cut to a whole number towards zero; beyond the int range its nearest end."""
     total = intercept
     for name, weight in zip(features, weights, strict=True):
         total = total + weight * F.col(name)
-    return total.try_cast("int").cast("float")
+    within = F.greatest(F.lit(INT_RANGE[0]), F.least(F.lit(INT_RANGE[1]), total.cast("double")))
+    return F.when(total.isNotNull() & ~F.isnan(total.cast("double")), within).try_cast("int").cast("float")
 
 
 @dataclass(frozen=True)
