@@ -93,3 +93,13 @@ def test_lines_like_brute_force(spark):
     for d, t in docs:
         want = [x for p, x in enumerate(t.split("\n")) if not x.strip() or first[part[x]] == (d, p)]
         assert got[d] == "\n".join(want)
+
+
+def test_lines_of_a_large_band_that_one_line_joins(spark):
+    rnd = random.Random(8)
+    hub = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(87))
+    # each changes 8 of the 80 shingles: similar to the hub, not to each other
+    variants = [hub[:p] + "#" + hub[p + 1 :] for p in range(8, 79)]
+    docs = list(enumerate([*variants[:40], hub, *variants[40:], "a line that resembles no other one"]))
+    got = {r.doc_id: r.text for r in line_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i for i, t in got.items() if t} == {0, len(docs) - 1}

@@ -6,14 +6,17 @@ hash; one occurrence of each different line is signed: the hashes of its charact
 each combined with BANDS * ROWS constants by exclusive or, and the minimum for each constant
 (the shingle nearest to a constant is a uniform choice from the union of two sets, so two
 lines agree on it with the probability of their Jaccard similarity). Lines that agree on a
-whole band are candidates: each is compared with the first and the NEIGHBOURS lines before
-it, in an order of lines that is another one in every band, by the exact Jaccard similarity
-of all their shingles. Connected components of the similar pairs, with all copies, keep the
-first occurrence.
-
-With 10 bands of 3 rows a pair of similarity 0.8 meets in a band with probability 0.9992. Up
-to six lines of a band are all compared with each other. In a larger band a pair that no
-other line connects can be missed: the price of never comparing all pairs of a hot band.
+whole band are candidates, compared by the exact Jaccard similarity of all their shingles in
+two rounds. First each meets the first and the NEIGHBOURS lines before it, in an order of
+lines that is another one in every band; up to six lines of a band have then all been
+compared. Larger bands whose lines do not lie in one component yet are open, and all lines
+of open bands are joined exactly: with shingles ordered rarest first, two similar lines
+share one among the first fifth of each (prefix filter), at places that leave enough others
+to share (positional filter); pairs of one component are left out. Connected components of
+the similar pairs, with all copies, keep the first occurrence.
+
+With 10 bands of 3 rows a pair of similarity 0.8 meets in a band with probability 0.9992. A
+pair that meets is compared, or its lines are in one component already.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from tideline.session import materialise, scratch_path
 
 BANDS = 10
 ROWS = 3
-#: Lines before it, in each band, that a line is compared with.
+#: Lines before it, in each band, that a line is compared with in the first round.
 NEIGHBOURS = 4
 #: Characters of a shingle.
 SHINGLE = 8
@@ -81,8 +84,9 @@ def _places(codes: Column) -> Column:
 
 
 def _shingles(line: Column) -> Column:
-    codes = F.encode(line, "UTF-32")
-    return F.array_distinct(F.transform(_places(codes), lambda i: _shingle(codes, i)))
+    # as an element of an array the codes are made once, not for each shingle
+    each = F.transform(F.array(F.encode(line, "UTF-32")), lambda c: F.transform(_places(c), lambda i: _shingle(c, i)))
+    return F.array_distinct(F.get(each, F.lit(0)))
 
 
 def _signed(lines: DataFrame) -> DataFrame:
@@ -113,7 +117,7 @@ def similar_lines(table: DataFrame, places: DataFrame) -> DataFrame:
     # which lines of a document stand for their copies, in the order of its lines
     chosen = places.join(named.withColumn("chosen", F.lit(True)), ["rid", "h"], "left")
     flags = _by_document(chosen.select("rid", "pos", F.col("chosen").isNotNull().alias("flag")))
-    signed = _signed(_picked(table, flags))
+    signed = materialise(_signed(_picked(table, flags)))
     pairs = materialise(_candidates(signed))
     ends = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
     wanted = materialise(named.join(ends, "h"))
@@ -125,6 +129,13 @@ def similar_lines(table: DataFrame, places: DataFrame) -> DataFrame:
         .select("rid", "pos", F.col("chosen").isNotNull().alias("flag"))
     )
     texts = materialise(_picked(table, flags).select("h", "line").distinct())
+    links = materialise(_similar(pairs, texts))
+    rest = _rest(_open(signed, components(links)), texts)
+    return links.union(materialise(_similar(rest, texts)))
+
+
+def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose lines are similar."""
     both = (
         pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
         .join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
@@ -133,7 +144,41 @@ def similar_lines(table: DataFrame, places: DataFrame) -> DataFrame:
     )
     # same / (x + y - same) >= SIMILARITY
     same = F.size(F.array_intersect("z.x", "z.y"))
-    return both.where((1 + SIMILARITY) * same >= SIMILARITY * (F.size("z.x") + F.size("z.y")) - 1e-9).select("a", "b")
+    return both.where(same >= _least_same(F.size("z.x"), F.size("z.y"))).select("a", "b")
+
+
+def _least_same(x: Column, y: Column) -> Column:
+    """Shingles that similar lines of x and y shingles share at least."""
+    return F.ceil(SIMILARITY / (1 + SIMILARITY) * (x + y) - 1e-9)
+
+
+def _open(signed: DataFrame, groups: DataFrame) -> DataFrame:
+    """(h, part) of the lines of bands with pairs that were not compared and lie in two components."""
+    rows = signed.join(groups.select(F.col("node").alias("h"), "component"), "h", "left")
+    rows = rows.select("h", F.coalesce("component", "h").alias("part"), F.explode("bands").alias("band"))
+    bands = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("part").alias("least"), F.max("part").alias("most"))
+    bands = bands.where(F.col("least") != F.col("most")).where(F.col("n") > NEIGHBOURS + 2)
+    return materialise(rows.join(bands.select("band"), "band", "left_semi").select("h", "part").distinct())
+
+
+def _rest(lines: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of the lines (h, part): all similar ones of different parts are among them."""
+    sets = lines.join(texts, "h").select("h", "part", F.explode(F.array(_shingles(F.col("line")))).alias("xs"))
+    each = materialise(sets.select("h", "part", F.size("xs").alias("size"), F.explode("xs").alias("x")))
+    shared = each.groupBy("x").agg(F.count("*").alias("n")).where("n > 1")
+    # shingles of one line only come first in its order and meet nothing
+    known = each.join(shared, "x").groupBy("h", "part", "size").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("xs"))
+    own = F.col("size") - F.size("xs")
+    prefix = F.col("size") - F.ceil(SIMILARITY * F.col("size") - 1e-9).cast("int") + 1
+    first = known.where(own < prefix).select(
+        "h", "part", "size", own.alias("own"), F.posexplode(F.slice("xs", F.lit(1), prefix - own)).alias("i", "z")
+    )
+    # behind it: shingles of the line from this one on
+    first = materialise(first.select("h", "part", F.col("z.x").alias("x"), "size", (F.col("size") - F.col("own") - F.col("i")).alias("behind")))
+    one, two = first.alias("one"), first.alias("two")
+    enough = F.least("one.behind", "two.behind") >= _least_same(F.col("one.size"), F.col("two.size"))
+    pairs = one.join(two, (F.col("one.x") == F.col("two.x")) & (F.col("one.part") < F.col("two.part")) & enough)
+    return materialise(pairs.select(F.least("one.h", "two.h").alias("a"), F.greatest("one.h", "two.h").alias("b")).distinct())
 
 
 def _by_document(flags: DataFrame) -> DataFrame:
