@@ -177,3 +177,19 @@ def test_quality_finds_held_out_junk(spark):
     scored = QUERIES["op1_quality_classifier"](spark, d).join(workload.table(spark, d, "labels"), "doc_id")
     right = scored.where("held_out").selectExpr("avg(cast(predicted = quality as int)) as share").first().share
     assert right > 0.9
+
+
+def test_surrogates_of_whole_names(spark):
+    names = [
+        "Mr O'Brien", "Ms Anna Meier-Schmidt", "Mrs. Maria Garcia Lopez", "Dr. John F. Kennedy", "Prof. Dr. Anna Meier",
+        "Frau Dr. Meier", "Herr Ludwig van Beethoven", "Mr. J.R. Smith", "Mr. d'Alba", "Mrs. JONES", "Госпожа Анна Петрова",
+    ]
+    rows = [(i, f"so {n}'s house, then {n} and Mrs. Last met them.") for i, n in enumerate(names)]
+    got = replace_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()
+    for r in got:
+        for word in re.findall(r"[^\W\d_]{2,}", names[r.doc_id]):
+            assert word in ("Mr", "Ms", "Mrs", "Dr", "Prof", "Frau", "Herr", "van", "Госпожа") or word not in r.text, r
+        title = re.match(r"(?:(?:Mr|Ms|Mrs|Dr|Prof|Frau|Herr|Госпожа)\.? )+", names[r.doc_id])[0]
+        one = re.fullmatch(rf"so ({re.escape(title)}.+)'s house, then (.+) and Mrs\. (\w+) met them\.", r.text)
+        assert one and one[1] == one[2] and one[3] != "Last" and r.n_replaced == 3
+    assert re.search(r"Dr\. \w+ (?!F)[A-Z]\. \w+", got[[r.doc_id for r in got].index(3)].text)

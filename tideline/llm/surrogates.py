@@ -43,7 +43,15 @@ SYLLABLES = {
 }
 
 _TITLES = "|".join(sorted(map(re.escape, FEMALE_TITLES + MALE_TITLES + NEUTRAL_TITLES), key=len, reverse=True))
-_WORD = r"[^\W\d_][^\W\d_'’-]*"
+_LETTER = r"[^\W\d_][\u0300-\u036f]*"
+_GAP = r"[ \t\u00a0]+"
+_TITLE_RUN = re.compile(rf"(?<!\w)(?:(?:{_TITLES})\.?{_GAP})+")
+_TITLE = re.compile(rf"(?:{_TITLES})(?!\w)")
+_INITIAL = re.compile(rf"({_LETTER})\.-?(?:{_GAP})?")
+_WORD = re.compile(rf"(?:{_LETTER})+(?:['’-](?:{_LETTER})+)*")
+_SPACE = re.compile(_GAP)
+#: Words between names that are left as they are.
+PARTICLES = frozenset("van von vom zu zum zur der den dem de da di do du del della des dos das la le ten ter bin ibn af av y e".split())
 # tried in this order; a later kind does not reach into an earlier one's mention
 _KINDS = (
     ("email", re.compile(r"(?<![\w.+-])[\w+-][\w.+-]*@(?:[\w-]+\.)+[^\W\d_]{2,}")),
@@ -52,8 +60,13 @@ _KINDS = (
     ("phone", re.compile(r"(?<![\w.+(])(?:\+\d{8,15}|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?)?\d{2,8}(?:[ .-]\d{2,8}){1,4})(?![\w]|[.-]\d)", re.ASCII)),
     ("key", re.compile(r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)", re.ASCII)),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.ASCII)),
-    ("name", re.compile(rf"(?<!\w)(?:{_TITLES})\.? {_WORD}(?: {_WORD})?")),
 )
+NAME_KINDS = ("family", "first_f", "first_m", "first_n")
+ALPHABETS = {
+    "LATIN": "abcdefghijklmnopqrstuvwxyz",
+    "CYRILLIC": "абвгдежзиклмнопрстуфхцчшщъыьэюя",
+    "GREEK": "αβγδεζηθικλμνξοπρστυφχψω",
+}
 _DIGITS = re.compile(r"\d", re.ASCII)
 
 
@@ -71,15 +84,50 @@ def _script(word: str) -> str:
     return next((s for s in SYLLABLES if name.startswith(s)), "LATIN")
 
 
-def _split_name(raw: str) -> tuple[str, list[str]]:
-    """Title as written, name words. A second word without a capital is no name."""
-    title, *words = raw.split(" ")
-    return title, words[:1] + [w for w in words[1:2] if w[0].isupper()]
-
-
-def _gender(title: str) -> str:
-    title = title.rstrip(".")
-    return "f" if title in FEMALE_TITLES else "m" if title in MALE_TITLES else "n"
+def _is_name(word: str) -> bool:
+    """Whether a part of the word starts with a capital, as in Meier, d'Alba or al-Said."""
+    return any(part[:1].isupper() for part in re.split("['’-]", word))
+
+
+def _names(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """(titles, places of the name's words and initials) of each name after titles."""
+    at = 0
+    while m := _TITLE_RUN.search(text, at):
+        at, places = m.end(), []
+        pos = at
+        while True:
+            initial = _INITIAL.match(text, pos)
+            if initial and initial[1][0].isupper():
+                places.append(initial.span(1))
+                pos = at = initial.end()
+                continue
+            word = _WORD.match(text, pos)
+            if word is None or _TITLE.match(text, pos):
+                break
+            end = word.end() - 2 if word[0][-2:] in ("'s", "’s") else word.end()
+            if _is_name(text[pos:end]):
+                places.append((pos, end))
+                at = word.end()
+            elif word[0] not in PARTICLES:
+                break
+            gap = _SPACE.match(text, word.end())
+            if gap is None or end < word.end():
+                break
+            pos = gap.end()
+        if places:
+            yield m[0], places
+
+
+def _gender(titles: str) -> str:
+    """Of the first title that tells one."""
+    each = [t.rstrip(".") for t in titles.split()]
+    return next(("f" if t in FEMALE_TITLES else "m" for t in each if t not in NEUTRAL_TITLES), "n")
+
+
+def _name_kind(gender: str, place: int, words: int, word: str) -> str:
+    if len(unicodedata.normalize("NFC", word)) == 1:
+        return "initial"
+    return "family" if place == words - 1 else f"first_{gender}"
 
 
 def normal(kind: str, raw: str) -> str | None:
@@ -95,15 +143,17 @@ def normal(kind: str, raw: str) -> str | None:
         digits = re.sub(r"\D", "", raw)
         plus = raw.startswith("+")
         return ("+" if plus else "") + digits if 9 <= len(digits) <= 15 or plus and len(digits) >= 8 else None
-    if kind == "name":
-        title, words = _split_name(raw)
-        return f"{_gender(title)} {' '.join(words)}" if words and words[0][0].isupper() else None
+    if kind == "initial" or kind in NAME_KINDS:
+        return unicodedata.normalize("NFC", raw).lower()
     return raw.replace(" ", "")
 
 
-def mentions(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, entity) of the text, in order and without overlaps."""
-    found: list[tuple[int, int, str, str]] = []
+def mentions(text: str) -> list[tuple[int, int, str, str, bool]]:
+    """(start, end, kind, entity, whether a mention starts) of the text, in order and without overlaps.
+
+    Each word of a name is an entity of its own.
+    """
+    found: list[tuple[int, int, str, str, bool]] = []
     taken: list[tuple[int, int]] = []
     has_digit = _DIGITS.search(text) is not None
     for kind, pattern in _KINDS:
@@ -111,13 +161,16 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
             continue
         for m in pattern.finditer(text):
             start, end = m.span()
-            if kind == "name":
-                title, words = _split_name(m[0])
-                end = start + len(" ".join([title, *words]))
             entity = normal(kind, text[start:end])
             if entity is not None and not any(a < end and start < b for a, b in taken):
-                found.append((start, end, kind, entity))
-        taken = [(a, b) for a, b, _, _ in found]
+                found.append((start, end, kind, entity, True))
+        taken = [x[:2] for x in found]
+    for titles, places in _names(text):
+        if any(a < places[-1][1] and places[0][0] < b for a, b in taken):
+            continue
+        for i, (start, end) in enumerate(places):
+            kind = _name_kind(_gender(titles), i, len(places), text[start:end])
+            found.append((start, end, kind, normal(kind, text[start:end]), i == 0))
     return sorted(found)
 
 
@@ -173,22 +226,33 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     if kind in ("key", "iban"):
         keep = 4 if kind == "key" else 2
         return entity[:keep] + draw.like(entity[keep:])
-    gender, *words = entity.split(" ")
-    script = _script(words[0])
-    syllables = SYLLABLES[script]
-    family = "".join(syllables[draw.below(len(syllables))] for _ in range(3 + attempt // 8)).capitalize()
-    if len(words) == 1:
-        return f"{gender} {family}"
-    names = FIRST_NAMES.get((script, gender)) or FIRST_NAMES[script, "fm"[draw.below(2)]]
-    return f"{gender} {names[draw.below(len(names))]} {family}"
+    script = _script(entity)
+    if kind == "initial":
+        return _next_initial(key, script, entity)
+    if kind == "family":
+        syllables = SYLLABLES[script]
+        parts = ["".join(syllables[draw.below(len(syllables))] for _ in range(3 + attempt // 8)) for _ in entity.split("-")]
+        return "-".join(parts)
+    names = FIRST_NAMES.get((script, kind[-1])) or FIRST_NAMES[script, "fm"[draw.below(2)]]
+    # more names in a row where the single ones do not suffice
+    return "-".join(names[draw.below(len(names))].lower() for _ in range(1 + attempt // 8))
+
+
+def _next_initial(key: bytes, script: str, entity: str) -> str:
+    """The next one in a keyed order of the alphabet, so that different initials stay different."""
+    base, *marks = unicodedata.normalize("NFD", entity)
+    letters = sorted(ALPHABETS[script], key=lambda c: hmac.new(key, c.encode(), hashlib.sha256).digest())
+    if base not in letters:
+        return entity
+    return unicodedata.normalize("NFC", letters[(letters.index(base) + 1) % len(letters)] + "".join(marks))
 
 
 def render(kind: str, raw: str, new: str) -> str:
     """The surrogate in the format of a mention."""
-    if kind == "name":
-        title, words = _split_name(raw)
-        shown = new.split(" ")[1:]
-        return " ".join([title, *(n.upper() if w.isupper() and len(w) > 1 else n for n, w in zip(shown, words, strict=True))])
+    if kind == "initial":
+        return new.upper()
+    if kind in NAME_KINDS:
+        return new.upper() if raw.isupper() else "-".join(part.capitalize() for part in new.split("-"))
     if kind == "email":
         return "".join(n.upper() if r.isupper() else n for n, r in zip(new, raw, strict=True)) if len(new) == len(raw) else new
     if kind == "ip":
@@ -197,21 +261,21 @@ def render(kind: str, raw: str, new: str) -> str:
     return "".join(next(letters) if c.isalnum() else c for c in raw)
 
 
-_FOUND = "rid long, kind string, entity string, start int, end int"
+_FOUND = "rid long, kind string, entity string, start int, end int, head boolean"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [
-            (rid, kind, entity, start, end)
+            (rid, kind, entity, start, end, head)
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            for start, end, kind, entity in mentions(text or "")
+            for start, end, kind, entity, head in mentions(text or "")
         ]
         if rows:
-            types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+            types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
-                names=["rid", "kind", "entity", "start", "end"],
+                names=["rid", "kind", "entity", "start", "end", "head"],
             )
 
 
@@ -226,13 +290,18 @@ def _drawn(key: bytes):
 
 
 def draw_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, entity, new) for distinct (kind, entity): no two share ``new``, none is an entity itself."""
+    """(kind, entity, new) for distinct (kind, entity): no two share ``new``, none is an entity itself.
+
+    All words of names count as one kind. Initials are a permutation already.
+    """
     drawn = "kind string, entity string, attempt int, new string"
     table = materialise(entities.select("kind", "entity", F.lit(0).alias("attempt")).mapInArrow(_drawn(key), drawn))
     while True:
-        first = table.groupBy("kind", "new").agg(F.min("entity").alias("first"), F.count("*").alias("n"))
-        shared = table.join(first.where("n > 1"), ["kind", "new"]).where("entity <> first").select("kind", "entity")
-        taken = table.join(entities.select("kind", F.col("entity").alias("new")), ["kind", "new"], "left_semi").select("kind", "entity")
+        sort = F.when(F.col("kind").isin(*NAME_KINDS), "name").otherwise(F.col("kind")).alias("sort")
+        each = table.where("kind <> 'initial'").select("*", sort)
+        first = each.groupBy("sort", "new").agg(F.min(F.struct("entity", "kind")).alias("first"), F.count("*").alias("n"))
+        shared = each.join(first.where("n > 1"), ["sort", "new"]).where("struct(entity, kind) <> first").select("kind", "entity")
+        taken = each.join(entities.select(sort, F.col("entity").alias("new")), ["sort", "new"], "left_semi").select("kind", "entity")
         again = materialise(shared.union(taken).distinct())
         if again.isEmpty():
             return table.select("kind", "entity", "new")
@@ -247,7 +316,7 @@ def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, counts = batch.column(1).to_pylist(), []
         for i, found in enumerate(batch.column(2).to_pylist()):
-            counts.append(len(found or ()))
+            counts.append(sum(m["head"] for m in found or ()))
             if found:
                 text, parts, done = texts[i], [], 0
                 for m in found:
@@ -263,7 +332,10 @@ def replace_personal_data(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs``, every row and column, with ``text`` rewritten and a column ``n_replaced``.
 
     Found are e-mail and IPv4 addresses, card numbers with a right check digit, phone
-    numbers, access keys, IBANs, and names after a title. Null stays null; nulls, empty
+    numbers, access keys, IBANs, and names after one or more titles: all capitalised words
+    that follow, with apostrophes and hyphens, initials and particles (van, de) between them.
+    Each word has its own surrogate; titles, particles and a possessive 's stay. A name is
+    one replacement. Null stays null; nulls, empty
     texts and texts without mentions have 0 replacements; rows equal in doc_id and text get
     the same text. A column that is already called n_replaced is replaced.
     """
@@ -271,7 +343,7 @@ def replace_personal_data(docs: DataFrame, key: bytes) -> DataFrame:
     found = materialise(docs.select(rid.alias("rid"), "text").mapInArrow(_find, _FOUND).distinct())
     entities = materialise(found.select("kind", "entity").distinct())
     new = draw_surrogates(entities, key)
-    place = F.struct("start", "end", "kind", "new")
+    place = F.struct("start", "end", "kind", "new", "head")
     each = found.join(new, ["kind", "entity"]).groupBy("rid").agg(F.sort_array(F.collect_list(place)).alias("found"))
     rows = docs.select(rid.alias("rid"), F.struct("*").alias("row"), F.col("text").alias("_text")).join(each, "rid", "left")
     kind = rows.schema["row"].dataType.simpleString()
