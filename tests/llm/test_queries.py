@@ -193,3 +193,28 @@ def test_surrogates_of_whole_names(spark):
         one = re.fullmatch(rf"so ({re.escape(title)}.+)'s house, then (.+) and Mrs\. (\w+) met them\.", r.text)
         assert one and one[1] == one[2] and one[3] != "Last" and r.n_replaced == 3
     assert re.search(r"Dr\. \w+ (?!F)[A-Z]\. \w+", got[[r.doc_id for r in got].index(3)].text)
+
+
+def test_surrogates_of_one_person(spark):
+    from tideline.llm import surrogates
+
+    texts = [
+        (1, "Mr. John Smith came. Mr. Smith left."),
+        (2, "Mrs Anna Meier, Dr Anna Meier, Dr Meier, Frau Dr. MEIER"),
+        (3, "Dr. Kim Jones, Mrs. Kim Jones, Dr. Anna Jones, Mr. Anton Smith"),
+        (4, "; ".join(f"{t} {f} Family{c}" for c in "abcdefgh" for t, f in (("Dr.", f"Kai{c}"), ("Mrs.", f"Lea{c}"), ("Mr.", f"Ron{c}")))),
+    ]
+    got = {r.doc_id: r.text for r in replace_personal_data(spark.createDataFrame(texts, "doc_id long, text string"), b"k").collect()}
+    john, smith, again = re.fullmatch(r"Mr\. (\w+) (\w+) came\. Mr\. (\w+) left\.", got[1]).groups()
+    assert smith == again and john not in ("John", smith)
+    a = re.fullmatch(r"Mrs (\w+) (\w+), Dr (\w+) (\w+), Dr (\w+), Frau Dr\. (\w+)", got[2]).groups()
+    assert a[0] == a[2] and a[1] == a[3] == a[4] and a[5] == a[1].upper()
+    b = re.fullmatch(r"Dr\. (\S+) (\w+), Mrs\. (\S+) (\w+), Dr\. (\S+) (\w+), Mr\. (\S+) (\w+)", got[3]).groups()
+    female = surrogates.FIRST_NAMES["LATIN", "f"]
+    assert b[0] == b[2] and b[1] == b[3] == b[5] and b[4] == a[0] and b[7] == smith
+    assert set(b[0].split("-")) | set(b[4].split("-")) <= set(female)
+    # 24 first and 8 family names stay that many, whatever the titles and however few names are drawn from
+    names = [re.match(r"\w+\. (\S+) (\S+)", n).groups() for n in got[4].split("; ")]
+    assert len({f for f, _ in names}) == 24 and len({f for _, f in names}) == 8
+    for i, t in enumerate(texts):
+        assert not set(re.findall(r"[A-Z]\w{3,}", t[1])) & set(re.findall(r"[A-Z]\w{3,}", got[i + 1])) - {"Frau"}

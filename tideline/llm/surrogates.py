@@ -7,6 +7,14 @@ texts, are drawn again with the next attempt until none is left, so that differe
 stay different and every mention of one entity gets the same replacement. A second pass
 writes the surrogate in the format of each mention.
 
+The words of a name are entities of their own, alike in any case, so a family name has one
+surrogate beside any first name and title. Whether a word is a first or a family name, and a
+first name's gender, come from all mentions and from lists of known first names; without
+either the gender is drawn. Words differ as they are written, so names do: surrogate words
+of different words differ whatever the title. A first name and its initial are not linked,
+and people of one name are one entity. Names are found in scripts with capitals; surrogates
+are Latin, Cyrillic or Greek, and Latin for all other scripts.
+
 Keys stay with the caller: without the key surrogates cannot be traced back or repeated.
 """
 
@@ -52,6 +60,14 @@ _WORD = re.compile(rf"(?:{_LETTER})+(?:['’-](?:{_LETTER})+)*")
 _SPACE = re.compile(_GAP)
 #: Words between names that are left as they are.
 PARTICLES = frozenset("van von vom zu zum zur der den dem de da di do du del della des dos das la le ten ter bin ibn af av y e".split())
+#: First names whose gender is known, besides the drawn ones.
+KNOWN_NAMES = {
+    "f": "Mary Jane Alice Sarah Susan Linda Karen Helen Margaret Elizabeth Catherine Barbara Ursula Monika Petra Heidi Claire "
+    "Marie Camille Sophie Isabelle Carmen Pilar Isabel Teresa Rosa Lucía Inés María Sofía Наталья Татьяна Анастасия Светлана Αικατερίνη".split(),
+    "m": "John James William George Thomas Charles Henry Michael Richard Joseph Hans Klaus Jürgen Wolfgang Stefan Andreas Pierre "
+    "Jean Jacques Louis François José Juan Carlos Miguel Pedro Antonio Manuel Сергей Александр Алексей Дмитрий Николай Γεώργιος".split(),
+}
+
 # tried in this order; a later kind does not reach into an earlier one's mention
 _KINDS = (
     ("email", re.compile(r"(?<![\w.+-])[\w+-][\w.+-]*@(?:[\w-]+\.)+[^\W\d_]{2,}")),
@@ -124,6 +140,9 @@ def _gender(titles: str) -> str:
     return next(("f" if t in FEMALE_TITLES else "m" for t in each if t not in NEUTRAL_TITLES), "n")
 
 
+_KNOWN = {n.lower(): g for g, names in [*((g, v) for (_, g), v in FIRST_NAMES.items()), *KNOWN_NAMES.items()] for n in names}
+
+
 def _name_kind(gender: str, place: int, words: int, word: str) -> str:
     if len(unicodedata.normalize("NFC", word)) == 1:
         return "initial"
@@ -174,6 +193,31 @@ def mentions(text: str) -> list[tuple[int, int, str, str, bool]]:
     return sorted(found)
 
 
+def resolved(found: DataFrame) -> DataFrame:
+    """(kind, entity, as_kind) of the words of names: one kind for all mentions of a word.
+
+    A word that ends a name of several words somewhere is a family name, and so is one that
+    only stands alone and is no known first name. A first name has the gender it is known
+    for, or else the one of the titles before it in any mention.
+    """
+    known = F.create_map(*[F.lit(x) for pair in _KNOWN.items() for x in pair])
+    words = found.where(F.col("kind").isin(*NAME_KINDS)).select(
+        "entity", "kind", ((F.col("kind") == "family") & ~F.col("head")).alias("ends"), (F.col("kind") == "family").alias("last")
+    )
+    each = words.groupBy("entity").agg(
+        F.max("ends").alias("ends"),
+        F.max(~F.col("last")).alias("leads"),
+        F.max(F.col("kind") == "first_f").alias("f"),
+        F.max(F.col("kind") == "first_m").alias("m"),
+        F.collect_set("kind").alias("kinds"),
+    )
+    gender = known[F.substring_index("entity", "-", 1)]
+    titled = F.when(F.col("f") & ~F.col("m"), "f").when(F.col("m") & ~F.col("f"), "m").otherwise("n")
+    first = F.concat(F.lit("first_"), F.coalesce(gender, titled))
+    kind = F.when(F.col("ends") | ~F.col("leads") & gender.isNull(), "family").otherwise(first)
+    return each.select(F.explode("kinds").alias("kind"), "entity", kind.alias("as_kind"))
+
+
 class _Draw:
     """Keyed digits and choices for one entity and attempt."""
 
@@ -341,6 +385,8 @@ def replace_personal_data(docs: DataFrame, key: bytes) -> DataFrame:
     """
     rid = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     found = materialise(docs.select(rid.alias("rid"), "text").mapInArrow(_find, _FOUND).distinct())
+    named = found.join(materialise(resolved(found)), ["kind", "entity"], "left")
+    found = materialise(named.withColumn("kind", F.coalesce("as_kind", "kind")).drop("as_kind"))
     entities = materialise(found.select("kind", "entity").distinct())
     new = draw_surrogates(entities, key)
     place = F.struct("start", "end", "kind", "new", "head")
