@@ -218,3 +218,22 @@ def test_surrogates_of_one_person(spark):
     assert len({f for f, _ in names}) == 24 and len({f for _, f in names}) == 8
     for i, t in enumerate(texts):
         assert not set(re.findall(r"[A-Z]\w{3,}", t[1])) & set(re.findall(r"[A-Z]\w{3,}", got[i + 1])) - {"Frau"}
+
+
+def test_surrogates_of_cards_in_longer_runs_and_of_secrets(spark):
+    from tideline.llm.surrogates import mentions
+
+    card = "4111111111111111"
+    texts = [
+        f"order 3 {card}", "cards: 12 4111 1111 1111 1111", f"{card} 4111-1111-1111-1111 17", "2024 01 02 378282246310005 9", f"3.50 {card}, x",
+        'token = "0f3a9c4d5e6b7a8091a2b3c4d5e6f708192a3b4c"', "API_KEY: 'aB3/xY9+kLmN0pQrStUv=='",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in replace_personal_data(rows, b"k").collect()}
+    for i, t in enumerate(texts):
+        assert len(got[i]) == len(t) and got[i] != t
+        for secret in (card, "1111 1111", "1111-1111", "378282246310005", "0f3a9c4d", "aB3/xY9"):
+            assert secret not in got[i]
+    assert got[0].startswith("order 3 4") and got[1].startswith("cards: 12 4") and got[2].endswith(" 17") and got[3].startswith("2024 01 02 3")
+    assert re.fullmatch('token = "[0-9a-f]{40}"', got[5]) and re.fullmatch("API_KEY: '[^']{20}=='", got[6])
+    assert [m[2] for m in mentions("1990 1991 1992 1993 1994 1995, key = internationalisation and 4111111111111112")] == []

@@ -20,6 +20,7 @@ Keys stay with the caller: without the key surrogates cannot be traced back or r
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -68,13 +69,18 @@ KNOWN_NAMES = {
     "Jean Jacques Louis François José Juan Carlos Miguel Pedro Antonio Manuel Сергей Александр Алексей Дмитрий Николай Γεώργιος".split(),
 }
 
+_CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])", re.ASCII)
 # tried in this order; a later kind does not reach into an earlier one's mention
 _KINDS = (
     ("email", re.compile(r"(?<![\w.+-])[\w+-][\w.+-]*@(?:[\w-]+\.)+[^\W\d_]{2,}")),
     ("ip", re.compile(r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d)", re.ASCII)),
-    ("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])", re.ASCII)),
+    ("card", _CARD),
     ("phone", re.compile(r"(?<![\w.+(])(?:\+\d{8,15}|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?)?\d{2,8}(?:[ .-]\d{2,8}){1,4})(?![\w]|[.-]\d)", re.ASCII)),
     ("key", re.compile(r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)", re.ASCII)),
+    ("secret", re.compile(
+        r"(?:token|secret|passw(?:or)?d|pwd|key|credentials?)[\w-]{0,40}[\"'`]?\s{0,8}(?::=|=>|[:=])\s{0,8}[\"'`]?([A-Za-z0-9+/_-]{16,}={0,2})(?![\w])",
+        re.ASCII | re.IGNORECASE,
+    )),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.ASCII)),
 )
 NAME_KINDS = ("family", "first_f", "first_m", "first_n")
@@ -83,6 +89,11 @@ ALPHABETS = {
     "CYRILLIC": "абвгдежзиклмнопрстуфхцчшщъыьэюя",
     "GREEK": "αβγδεζηθικλμνξοπρστυφχψω",
 }
+_DIGIT_RUN = re.compile(r"\d+(?:[ -]\d+)*", re.ASCII)
+#: Sizes of a card number's digit groups.
+_CARD_GROUPS = re.compile(r"1[3-9]|4 4 4 [1-4]|4 4 4 4 [1-3]|4 6 [45]")
+#: First digits of issuers of cards written in groups.
+_ISSUERS = re.compile(r"[3-6]|2(?:2[2-9]|[3-6]|7[01]|720)")
 _DIGITS = re.compile(r"\d", re.ASCII)
 
 
@@ -164,6 +175,8 @@ def normal(kind: str, raw: str) -> str | None:
         return ("+" if plus else "") + digits if 9 <= len(digits) <= 15 or plus and len(digits) >= 8 else None
     if kind == "initial" or kind in NAME_KINDS:
         return unicodedata.normalize("NFC", raw).lower()
+    if kind == "secret":
+        return raw if re.search(r"\d", raw, re.ASCII) and re.search("[A-Za-z]", raw) else None
     return raw.replace(" ", "")
 
 
@@ -176,10 +189,10 @@ def mentions(text: str) -> list[tuple[int, int, str, str, bool]]:
     taken: list[tuple[int, int]] = []
     has_digit = _DIGITS.search(text) is not None
     for kind, pattern in _KINDS:
-        if kind == "email" and "@" not in text or kind in ("ip", "card", "phone", "key", "iban") and not has_digit:
+        if kind == "email" and "@" not in text or kind in ("ip", "card", "phone", "key", "secret", "iban") and not has_digit:
             continue
-        for m in pattern.finditer(text):
-            start, end = m.span()
+        places = _cards(text) if kind == "card" else (m.span(m.re.groups) for m in pattern.finditer(text))
+        for start, end in places:
             entity = normal(kind, text[start:end])
             if entity is not None and not any(a < end and start < b for a, b in taken):
                 found.append((start, end, kind, entity, True))
@@ -218,6 +231,42 @@ def resolved(found: DataFrame) -> DataFrame:
     return each.select(F.explode("kinds").alias("kind"), "entity", kind.alias("as_kind"))
 
 
+def _cards(text: str) -> Iterator[tuple[int, int]]:
+    """Places of card numbers: digit groups of a run as cards are written, then what else the pattern matches.
+
+    A number in a longer run of digits ("order 3 4111111111111111") is tried at each group
+    and for each size, undivided or in a card's groups.
+    """
+    taken: list[tuple[int, int]] = []
+    for run in _DIGIT_RUN.finditer(text):
+        if run.end() - run.start() < 13:
+            continue
+        groups = [(run.start() + m.start(), run.start() + m.end()) for m in re.finditer(r"\d+", run[0], re.ASCII)]
+        fits = []
+        for i, (start, _) in enumerate(groups):
+            if i == 0 and start and re.match(r"[\w.+-]", text[start - 1]):
+                continue
+            for j in range(i, min(i + 5, len(groups))):
+                end = groups[j][1]
+                if j == len(groups) - 1 and re.match(r"[\w-]", text[end : end + 1]):
+                    continue
+                digits = re.sub(r"\D", "", text[start:end])
+                if len(digits) > 19:
+                    break
+                sizes = " ".join(str(b - a) for a, b in groups[i : j + 1])
+                if _CARD_GROUPS.fullmatch(sizes) and (i == j or _ISSUERS.match(digits)) and _luhn(digits) == 0:
+                    fits.append((-len(digits), start, end))
+        for _, start, end in sorted(fits):
+            if not any(a < end and start < b for a, b in taken[-len(groups) :]):
+                taken.append((start, end))
+    yield from taken
+    inside = sorted(taken)
+    for m in _CARD.finditer(text):
+        at = bisect.bisect_left(inside, (m.end(), 0))
+        if at == 0 or inside[at - 1][1] <= m.start():
+            yield m.span()
+
+
 class _Draw:
     """Keyed digits and choices for one entity and attempt."""
 
@@ -270,6 +319,12 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     if kind in ("key", "iban"):
         keep = 4 if kind == "key" else 2
         return entity[:keep] + draw.like(entity[keep:])
+    if kind == "secret":
+        is_hex = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", entity)
+        if is_hex is None:
+            return draw.like(entity)
+        hexes = "".join("0123456789abcdef"[draw.below(16)] for _ in entity)
+        return hexes.upper() if entity.isupper() else hexes
     script = _script(entity)
     if kind == "initial":
         return _next_initial(key, script, entity)
@@ -299,7 +354,7 @@ def render(kind: str, raw: str, new: str) -> str:
         return new.upper() if raw.isupper() else "-".join(part.capitalize() for part in new.split("-"))
     if kind == "email":
         return "".join(n.upper() if r.isupper() else n for n, r in zip(new, raw, strict=True)) if len(new) == len(raw) else new
-    if kind == "ip":
+    if kind in ("ip", "secret"):
         return new
     letters = iter(new.replace("+", "") if kind == "phone" else new)
     return "".join(next(letters) if c.isalnum() else c for c in raw)
@@ -376,7 +431,9 @@ def replace_personal_data(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs``, every row and column, with ``text`` rewritten and a column ``n_replaced``.
 
     Found are e-mail and IPv4 addresses, card numbers with a right check digit, phone
-    numbers, access keys, IBANs, and names after one or more titles: all capitalised words
+    numbers, access keys (AKIA, ASIA), the value after a word with token, secret, password, pwd,
+    key or credential and = or : (16 or more characters of hex or base64, with letters and
+    digits), IBANs, and names after one or more titles: all capitalised words
     that follow, with apostrophes and hyphens, initials and particles (van, de) between them.
     Each word has its own surrogate; titles, particles and a possessive 's stay. A name is
     one replacement. Null stays null; nulls, empty
@@ -391,8 +448,8 @@ def replace_personal_data(docs: DataFrame, key: bytes) -> DataFrame:
     new = draw_surrogates(entities, key)
     place = F.struct("start", "end", "kind", "new", "head")
     each = found.join(new, ["kind", "entity"]).groupBy("rid").agg(F.sort_array(F.collect_list(place)).alias("found"))
-    rows = docs.select(rid.alias("rid"), F.struct("*").alias("row"), F.col("text").alias("_text")).join(each, "rid", "left")
+    rows = docs.select(rid.alias("rid"), F.struct("*").alias("row")).join(each, "rid", "left")
     kind = rows.schema["row"].dataType.simpleString()
-    done = rows.select("row", "_text", "found").mapInArrow(_replace, f"row {kind}, text string, n_replaced long")
+    done = rows.select("row", F.col("row.text").alias("_text"), "found").mapInArrow(_replace, f"row {kind}, text string, n_replaced long")
     columns = [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != "n_replaced"]
     return done.select(*columns, "n_replaced")
