@@ -237,3 +237,20 @@ def test_surrogates_of_cards_in_longer_runs_and_of_secrets(spark):
     assert got[0].startswith("order 3 4") and got[1].startswith("cards: 12 4") and got[2].endswith(" 17") and got[3].startswith("2024 01 02 3")
     assert re.fullmatch('token = "[0-9a-f]{40}"', got[5]) and re.fullmatch("API_KEY: '[^']{20}=='", got[6])
     assert [m[2] for m in mentions("1990 1991 1992 1993 1994 1995, key = internationalisation and 4111111111111112")] == []
+
+
+def test_slots_do_not_depend_on_file_splits(spark, documents, tmp_path):
+    documents.repartition(1).write.option("parquet.block.size", 1 << 14).parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    ranks = read_ranks(workload.tokenizer("byte_bpe_50k.tiktoken"), workload.SPLIT_PATTERN)
+    got = []
+    for name, size in (("a", "128m"), ("b", "8k")):
+        layout, written = write_training_order(docs, f"{tmp_path}/{name}", ranks, 50256, b"k", length=128, shard_bytes=1 << 14)
+        # executors that come or go have the same effect on the second pass
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            assert sorted(r.slot for r in written.collect()) == list(range(layout.sequences))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        got.append([s.tolist() for s in read_slots(f"{tmp_path}/{name}", 0, layout.sequences)])
+    assert got[0] == got[1]

@@ -1,10 +1,10 @@
 """Training-order materialisation: sequences of token ids in shards of fixed stride.
 
 Every document's tokens, closed by an end-of-text token, are cut into sequences of
-``length`` tokens. The sequences are numbered through the input's file splits: one pass
-counts them per split, a second one numbers them and sends each to the slot that a keyed
-Feistel permutation gives its number; numbers beyond the last slot walk on along their
-cycle. Ranges of slots are shards: a task sorts its shard and writes it as one file, in
+``length`` tokens. One pass encodes the texts and writes the sequences with their task and
+number in it, so numbers do not depend on how a later pass splits files. The counts per task
+make them global, and a second pass sends each to the slot that a keyed Feistel permutation
+gives its number; numbers beyond the last slot walk on along their cycle. Ranges of slots are shards: a task sorts its shard and writes it as one file, in
 which a slot stands at (slot - first slot) * stride. Readers go through slots in order and
 can start at any of them.
 
@@ -19,11 +19,12 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.errors import AnalysisException
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,56 +120,57 @@ def read_ranks(path: str, pattern: str) -> dict:
         return {"pattern": pattern, "ranks": {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}}
 
 
-def _counted(shared, length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _encoder(shared.value).ids
-        for batch in batches:
-            n = [-(-(len(ids(t)) + 1) // length) if t else 0 for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("split"), pa.array(n, pa.int64())], names=["split", "n"])
-
-    return run
-
+def _cut(shared, stride: int, end_of_text: int, dtype: str, id_type: pa.DataType):
+    """doc_id, text -> sequences with their task (part) and number in it."""
 
-def _sent(shared, offsets, layout: Layout, key: bytes, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(shared.value).ids
-        end = np.array([layout.end_of_text], layout.dtype).tobytes()
-        order, done = Feistel(layout.sequences, key), {}
-        stride = layout.stride
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
-                ids, numbers, places, sizes, tokens = [], [], [], [], []
-                rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("split").to_pylist(), strict=True)
-                for doc, text, split in rows:
-                    if not text:
-                        continue
-                    raw = np.array(encode(text), layout.dtype).tobytes() + end
-                    for place, at in enumerate(range(0, len(raw), stride)):
-                        number = done.get(split, 0)
-                        done[split] = number + 1
-                        part = raw[at : at + stride]
-                        ids.append(doc)
-                        places.append(place)
-                        numbers.append(offsets.value[split] + number)
-                        sizes.append(len(part) // layout.token_bytes)
-                        tokens.append(part)
-                slots = order.slot(np.array(numbers, np.uint64))
+        end = np.array([end_of_text], dtype).tobytes()
+        part, done = TaskContext.get().partitionId(), 0
+        for batch in chain.from_iterable((w.slice(lo, 500) for lo in range(0, w.num_rows, 500)) for w in batches):
+            ids, places, sizes, tokens = [], [], [], []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if not text:
+                    continue
+                raw = np.array(encode(text), dtype).tobytes() + end
+                for place, at in enumerate(range(0, len(raw), stride)):
+                    piece = raw[at : at + stride]
+                    ids.append(doc)
+                    places.append(place)
+                    sizes.append(len(piece) // len(end))
+                    tokens.append(piece)
+            if ids:
+                numbers = np.arange(done, done + len(ids))
+                done += len(ids)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array((slots // layout.slots_per_shard).astype(np.int32)),
-                        pa.array(slots),
+                        pa.array(np.full(len(ids), part, np.int32)),
+                        pa.array(numbers),
                         pa.array(ids, id_type),
                         pa.array(places, pa.int64()),
                         pa.array(sizes, pa.int64()),
                         pa.array(tokens, pa.binary()),
                     ],
-                    names=["shard", "slot", "doc_id", "seq_no", "n_tokens", "tokens"],
+                    names=["part", "number", "doc_id", "seq_no", "n_tokens", "tokens"],
                 )
 
     return run
 
 
+def _sent(offsets, layout: Layout, key: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = Feistel(layout.sequences, key)
+        for batch in batches:
+            first = np.array([offsets.value[p] for p in batch.column("part").to_pylist()], np.int64)
+            slots = order.slot((first + batch.column("number").to_numpy()).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((slots // layout.slots_per_shard).astype(np.int32)), pa.array(slots), *batch.columns[2:]],
+                names=["shard", "slot", "doc_id", "seq_no", "n_tokens", "tokens"],
+            )
+
+    return run
+
+
 def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
 
@@ -183,11 +185,13 @@ def _write(path: str, layout: Layout, id_type: pa.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _open(path)
-        now, out, part = None, None, ""
+        now, out, part, due = None, None, "", 0
 
         def close() -> None:
             if out is not None:
                 out.close()
+                if due != min(layout.sequences, (now + 1) * layout.slots_per_shard):
+                    raise ValueError(f"shard {now} ends before slot {due}")
                 store.move(part, f"{root}/{shard_name(now)}")
 
         for batch in batches:
@@ -198,6 +202,10 @@ def _write(path: str, layout: Layout, id_type: pa.DataType):
                     now = shard
                     part = f"{root}/.{shard_name(shard)}.{np.random.default_rng().integers(1 << 62):x}"
                     out = store.open_output_stream(part)
+                    due = shard * layout.slots_per_shard
+                if slot != due:
+                    raise ValueError(f"slot {slot} of shard {shard} where {due} is due")
+                due += 1
                 raw += np.full(layout.length - size, layout.end_of_text, layout.dtype).tobytes()
                 out.write(raw)
                 first = shard * layout.slots_per_shard
@@ -209,15 +217,6 @@ def _write(path: str, layout: Layout, id_type: pa.DataType):
     return run
 
 
-def _with_split(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the file split that a row comes from; rows not from files are written first."""
-    split = F.concat_ws("#", "_metadata.file_path", F.col("_metadata.file_block_start").cast("string"))
-    try:
-        return docs.select("doc_id", "text", split.alias("split"))
-    except AnalysisException:
-        return materialise(docs.select("doc_id", "text")).select("doc_id", "text", split.alias("split"))
-
-
 def write_training_order(
     docs: DataFrame, path: str, ranks: dict, end_of_text: int, key: bytes, length: int = 512, shard_bytes: int = SHARD_BYTES
 ) -> tuple[Layout, DataFrame]:
@@ -227,27 +226,32 @@ def write_training_order(
     shard's file, n_tokens without the filling, and crc (crc32 of the slot's bytes). The
     shards are written when the rows are read. A null or empty text has no sequence; a null
     doc_id and repeated rows are written like others; an empty table writes no shard.
-    Splits must be read in the same way by both passes, so the files may not change between.
+    ``docs`` is read once, and the sequences are written to the shared folder. Writing fails
+    when a shard's slots are not contiguous.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ranks)
-    rows = _with_split(docs)
     token_bytes = 2 if max(end_of_text, len(ranks["ranks"])) < 1 << 16 else 4
-    counts = rows.select("text", "split").mapInArrow(_counted(shared, length), "split string, n long")
-    # one number per file split: 24 bytes or so for each 128 MB of input
-    splits = sorted((r.split, r.n) for r in counts.groupBy("split").agg(F.sum("n").alias("n")).collect())
+    layout = Layout(0, length, token_bytes, max(1, shard_bytes // (length * token_bytes)), end_of_text)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    id_type = docs.select("doc_id").limit(0).toArrow().schema.field(0).type
+    cut = docs.select("doc_id", "text").mapInArrow(
+        _cut(shared, layout.stride, end_of_text, layout.dtype, id_type),
+        f"part int, number long, doc_id {kind}, seq_no long, n_tokens long, tokens binary",
+    )
+    rows = materialise(cut)
+    # one number per task of the first pass: 24 bytes or so for each 128 MB of input
+    parts = sorted((r.part, r.n) for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect())
     offsets, total = {}, 0
-    for split, n in splits:
-        offsets[split], total = total, total + n
-    layout = Layout(total, length, token_bytes, max(1, shard_bytes // (length * token_bytes)), end_of_text)
+    for part, n in parts:
+        offsets[part], total = total, total + n
+    layout.sequences = total
     store, root = _open(path)
     store.create_dir(root, recursive=True)
     with store.open_output_stream(f"{root}/layout.json") as f:
         f.write(json.dumps(asdict(layout)).encode())
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    id_type = docs.select("doc_id").limit(0).toArrow().schema.field(0).type
     sent = rows.mapInArrow(
-        _sent(shared, spark.sparkContext.broadcast(offsets), layout, key, id_type),
+        _sent(spark.sparkContext.broadcast(offsets), layout, key),
         f"shard int, slot long, doc_id {kind}, seq_no long, n_tokens long, tokens binary",
     )
     shards = max(1, -(-total // layout.slots_per_shard))
