@@ -254,3 +254,14 @@ def test_slots_do_not_depend_on_file_splits(spark, documents, tmp_path):
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
         got.append([s.tolist() for s in read_slots(f"{tmp_path}/{name}", 0, layout.sequences)])
     assert got[0] == got[1]
+
+
+def test_repeated_items_count_once(spark, odd, monkeypatch):
+    from tideline.llm import leaks
+
+    sizes, real = [], leaks._vocabulary
+    monkeypatch.setattr(leaks, "_vocabulary", lambda texts: sizes.append(len(texts)) or real(texts))
+    monkeypatch.setattr(leaks, "SHARD_BYTES", 512)
+    bench = spark.createDataFrame([(1, "beta gamma"), (2, "second line")] * 200, "item_id long, text string")
+    found = {r.row.doc_id: r["items"] for r in find_leaks(odd, bench).collect()}
+    assert found[1] == ["1", "2"] and sizes == [2]
