@@ -103,3 +103,12 @@ def test_lines_of_a_large_band_that_one_line_joins(spark):
     docs = list(enumerate([*variants[:40], hub, *variants[40:], "a line that resembles no other one"]))
     got = {r.doc_id: r.text for r in line_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert {i for i, t in got.items() if t} == {0, len(docs) - 1}
+
+
+def test_short_lines_meet(spark):
+    rnd = random.Random(9)
+    bases = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(400)]
+    # 5 of 6 shingles shared
+    docs = list(enumerate(x for b in bases for x in (b, b + "#")))
+    got = {r.doc_id: r.text for r in line_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sum(not got[i] for i in range(1, 800, 2)) >= 399 and all(got[i] for i in range(0, 800, 2))

@@ -3,9 +3,9 @@
 Documents are written once as a table in buckets of their row id, so that the later steps
 read a document's lines without another shuffle of text. Copies of a line meet by a 64-bit
 hash; one occurrence of each different line is signed: the hashes of its character shingles,
-each combined with BANDS * ROWS constants by exclusive or, and the minimum for each constant
-(the shingle nearest to a constant is a uniform choice from the union of two sets, so two
-lines agree on it with the probability of their Jaccard similarity). Lines that agree on a
+each combined with BANDS * ROWS constants by exclusive or and hashed again, and the minimum
+for each constant (a uniform choice from the union of two sets, of its own for each constant,
+so two lines agree on it with the probability of their Jaccard similarity, short ones too). Lines that agree on a
 whole band are candidates, compared by the exact Jaccard similarity of all their shingles in
 two rounds. First each meets the first and the NEIGHBOURS lines before it, in an order of
 lines that is another one in every band; up to six lines of a band have then all been
@@ -94,7 +94,7 @@ def _signed(lines: DataFrame) -> DataFrame:
     codes = lines.select("rid", "h", F.encode("line", "UTF-32").alias("codes"))
     each = codes.select("rid", "h", "codes", F.explode(_places(F.col("codes"))).alias("at"))
     each = each.select("rid", "h", _shingle(F.col("codes"), F.col("at")).alias("x"))
-    least = [F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_CONSTANTS)]
+    least = [F.min(F.xxhash64(F.col("x").bitwiseXOR(F.lit(c)))).alias(f"m{i}") for i, c in enumerate(_CONSTANTS)]
     signed = each.groupBy("rid", "h").agg(*least)
     band = [F.xxhash64(F.lit(b), *[F.col(f"m{b + BANDS * r}") for r in range(ROWS)]) for b in range(BANDS)]
     return signed.select("h", F.array(*band).alias("bands"))
