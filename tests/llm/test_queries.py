@@ -24,7 +24,7 @@ WORDS = workload.tokenizer("word_bpe_49k.json")
 
 
 def test_every_operator_has_one_query():
-    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11)] == [1] * 10
+    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 14)] == [1] * 13
 
 
 def test_pipeline_keeps_columns_and_round_trip(spark):

@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.catalog import query, table
+from tideline.llm.divergence import source_divergence
 from tideline.llm.exact import exact_duplicates
 from tideline.llm.leaks import find_leaks, n_hit
 from tideline.llm.lines import line_report
 from tideline.llm.ngram_join import near_duplicates
+from tideline.llm.periodic import collapse_runs, strongest
 from tideline.llm.quality import quality_scores
 from tideline.llm.sentence_pieces import decode, encode
 from tideline.llm.substrings import remove_repeats
 from tideline.llm.surrogates import replace_personal_data
 from tideline.llm.token_counts import token_counts
+from tideline.llm.top_k import top_k
 from tideline.llm.training_order import read_ranks, write_training_order
 from tideline.session import scratch_path
 
@@ -194,3 +197,112 @@ def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_surrogates")
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_personal_data(table(spark, sf_dir, "documents"), key=b"surrogates").select("doc_id", "text", "n_replaced")
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; one text in ten, by the CRC of its id, ends in a repeated stretch of its words."""
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def planted(w):
+        n = F.nullif(F.size(w), F.lit(0)).cast("long")
+        g = F.expr("crc div 10")
+        a = g % n
+        period = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        # bound once: a lambda would compute them for each word
+        bound = F.array(F.struct(w.alias("w"), a.alias("a"), period.alias("p")))
+        old = lambda b, i: F.get(b["w"], (b["a"] + (i - b["a"]) % b["p"]).cast("int"))
+        new = lambda b: F.array_join(F.transform(b["w"], lambda x, i: F.when(i >= b["a"], old(b, i)).otherwise(x)), " ")
+        return F.transform(bound, new)[0]
+
+    text = F.when(F.expr("crc % 10 = 0"), F.transform(F.array(words), planted)[0]).otherwise(F.col("text"))
+    return docs.select("doc_id", "text", crc.alias("crc")).select("doc_id", text.alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = collapse_runs(with_planted_runs(table(spark, sf_dir, "documents")), least=24)
+    line = lambda r: F.concat_ws("", r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    return done.select("doc_id", "runs", "text", strongest().alias("best")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+@query(
+    "op12_source_divergence",
+    r"""
+    WITH d AS (
+        SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+        FROM documents
+    ),
+    t AS (SELECT lang, source, doc_id, unnest(ws) AS term FROM d),
+    kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 3),
+    c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+    v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+    g AS (
+        SELECT g.lang, g.source, coalesce(sum(n), 0) AS total, coalesce(any_value(v.v), 0) AS v
+        FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source
+        LEFT JOIN v ON v.lang = g.lang GROUP BY g.lang, g.source
+    ),
+    p AS (
+        SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+               1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + g.v) AS p
+        FROM g JOIN kept ON kept.lang = g.lang
+        LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+    ),
+    q AS (
+        SELECT c.lang, c.term, 1 + (1000000000::HUGEINT * (sum(n) + 1)::HUGEINT) // (any_value(l.total) + any_value(l.v))::HUGEINT AS q
+        FROM c JOIN (SELECT lang, sum(total) AS total, any_value(v) AS v FROM g GROUP BY lang) l ON l.lang = c.lang
+        GROUP BY c.lang, c.term
+    ),
+    pair AS (
+        SELECT a.lang, a.source, b.source AS item, coalesce(any_value(s.value), 0) AS value
+        FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN (
+            SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value
+            FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+        ) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+        GROUP BY ALL
+    ),
+    term AS (
+        SELECT p.lang, p.source, p.term AS item, ((p.p - q.q) * (p.p - q.q)) // q.q AS value
+        FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q
+    ),
+    both_parts AS (SELECT 'pair' AS part, * FROM pair UNION ALL SELECT 'term' AS part, * FROM term)
+    SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_parts
+    ) WHERE part = 'pair' OR rank <= 200
+    """,
+)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
+@query(
+    "op13_top_k",
+    """
+    WITH e AS MATERIALIZED (
+        SELECT vec_id, row_number() OVER () AS row, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    ),
+    s AS (
+        SELECT q.row, q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v)::BIGINT AS score
+        FROM e q JOIN e x ON q.row <> x.row WHERE q.vec_id % 50 = 0
+    )
+    SELECT query_id, rank::INTEGER AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s) WHERE rank <= 5
+    """,
+)
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = top_k(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 50 = 0"), k=5, scale=256)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
