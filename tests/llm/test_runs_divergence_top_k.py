@@ -108,7 +108,7 @@ def test_planted_runs_and_digests(spark, tmp_path):
     assert some >= 8 and with_planted_runs(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
 
 
-TERM = divergence.TERM[1:-1]
+TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def plain_divergence(rows, min_docs=3, top=200):
@@ -157,6 +157,9 @@ def test_divergence_like_brute_force(spark, monkeypatch, small):
         monkeypatch.setattr(divergence, "BLOCK_TERMS", 7)
         monkeypatch.setattr(divergence, "TILE_SOURCES", 2)
         monkeypatch.setattr(divergence, "PIECE_BYTES", 300)
+        monkeypatch.setattr(divergence, "HELD", 100)
+        monkeypatch.setattr(divergence, "LEAST_BUCKETS", 9)
+        monkeypatch.setattr(divergence, "FAN", 4)  # coarse buckets first
     docs = spark.createDataFrame([(k, *r, 1, "n") for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string, rank int, term string")
     for min_docs, top in ((3, 200), (2, 5), (1, 200)):
         got = [tuple(r) for r in source_divergence(docs.repartition(5), min_docs, top).collect()]

@@ -1,24 +1,26 @@
 """Source divergence audit: how the word use of the sources of a language differs.
 
-Chunk factorization. The whitespace chunks of every document are counted in tasks and sent
-once for each (chunk, lang, source) of a task, however often the chunk stands there. Each
-globally distinct chunk is cut into terms once; its terms are joined back to the counts and
-summed to occurrences and distinct documents. A term never reaches over a chunk, as all
-whitespace of ASCII separates terms.
-
-Distinct documents are needed only up to ``min_docs`` (at most 3). A chunk in fewer documents
-of a group has no others than its first and its last one, so two numbers a row name them
-all: a term with one chunk in ``min_docs`` documents of a group is decided at once, and the
-documents of the undecided terms only are expanded, made distinct and counted.
-
-Hot keys: a chunk that stands in all documents is one row a task and group, and is summed
-before its join. Terms and sources meet in blocks of bounded size (below) for the sums over
-pairs of sources, so neither a large language nor one with very many sources comes to one task.
+Chunk factorization. The whitespace chunks of every document are counted in tasks, summed to
+one entry for each (chunk, lang, source) of a task, and dealt in packets to the bucket of the
+chunk. There each globally distinct chunk is cut into terms once; its terms are joined back to
+the entries, and the entries of the terms go on to the bucket of the term, where occurrences
+and distinct documents are complete. A term never reaches over a chunk, as all whitespace of
+ASCII separates terms.
+
+Distinct documents are needed only up to ``min_docs`` (at most 3). An entry with fewer
+documents has no others than its first and its last one, so two numbers name them all and
+entries are merged in a bounded space, whatever the order.
+
+Hot keys: a chunk of all documents is one entry a task and group, and a bucket folds its
+packets one after the other, so its memory follows from its distinct texts and not from the
+number of tasks. The number of buckets grows with the text. Terms and sources meet in blocks
+of bounded size for the sums over pairs of sources, so neither a large language nor one with
+very many sources comes to one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,105 +28,158 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.tables import lower_ascii
+from tideline.llm.packets import FAN, HELD, PACKET_SQL, Counts, dealt, merged, summed, unpacked
+from tideline.llm.tables import text_bytes
 from tideline.session import materialise
 
 #: Text counted at once in a task.
-PIECE_BYTES = 16 << 20
+PIECE_BYTES = 8 << 20
+#: Text whose chunks (and then terms) meet in one bucket, and buckets at least.
+BUCKET_TEXT = 16 << 20
+LEAST_BUCKETS = 128
 #: Kept terms, and sources, of a language that meet in one block of the sums over pairs.
 BLOCK_TERMS = 4096
 TILE_SOURCES = 256
 #: Probabilities are in parts of this.
 SCALE = 1_000_000_000
 
-TERM = r"([^\x00-\x40\x5B-\x60\x7B-\x7F]+)"
-
-_COUNTED = pa.schema(
-    [
-        ("lang", pa.string()),
-        ("source", pa.string()),
-        ("chunk", pa.string()),
-        ("n", pa.int64()),
-        ("docs", pa.int64()),
-        ("first_doc", pa.int64()),
-        ("last_doc", pa.int64()),
-    ]
-)
-_COUNTED_SQL = "lang string, source string, chunk string, n long, docs long, first_doc long, last_doc long"
-
+#: Terms are runs of these bytes, A-Z lower-cased: letters and all characters beyond ASCII.
+_TERM_BYTES = [*range(0x61, 0x7B), *range(0x80, 0x100)]
+_TO_TERMS = bytes(b if b in _TERM_BYTES or b == 0x0A else b + 0x20 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
-def _counts(batch: pa.RecordBatch, min_docs: int) -> pa.RecordBatch:
-    """Occurrences and documents of each (group, chunk) of a batch (doc, lang, source, text).
 
-    Each group also has a row for the empty chunk, which no text has: it names the group.
-    """
+def _chunks(batch: pa.RecordBatch, limit: int) -> Counts:
+    """Occurrences and documents of each chunk and group of a batch (doc, lang, source, text)."""
     doc, lang, source, text = batch.columns
     doc = doc.to_numpy()
-    names = pa.array([f"{len(a)} {a}{b}" for a, b in zip(lang.to_pylist(), source.to_pylist(), strict=True)])
-    group = names.dictionary_encode().indices.to_numpy()
-    _, heads = np.unique(group, return_index=True)
+    number: dict[tuple[str, str], int] = {}
+    group = np.array([number.setdefault(g, len(number)) for g in zip(lang.to_pylist(), source.to_pylist(), strict=True)], np.int64)
     split = pc.ascii_split_whitespace(text.cast(pa.large_string()))
-    chunks = split.flatten()
     row = np.repeat(np.arange(len(doc)), np.diff(split.offsets.to_numpy()))
-    coded = chunks.dictionary_encode()
+    coded = split.flatten().dictionary_encode()
     code = coded.indices.to_numpy().astype(np.int64)
-    full = np.append(pc.binary_length(coded.dictionary).to_numpy() > 0, False)
-    row, code = row[full[code]], code[full[code]]
-    # the chunks of each document
+    full = pc.binary_length(coded.dictionary).to_numpy() > 0
+    if not full.all():
+        row, code = row[full[code]], code[full[code]]
+    # the chunks of each document, each once
     pair, times = np.unique(code * len(doc) + row, return_counts=True)
     code, row = pair // len(doc), pair % len(doc)
-    # and, of each chunk, its groups; documents stay in order
-    order = np.lexsort((row, group[row], code))
-    code, row, times = code[order], row[order], times[order]
-    cut = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (group[row[1:]] != group[row[:-1]])])) if len(code) else np.empty(0, np.int64)
-    ends = np.append(cut[1:], len(code)) if len(code) else cut
-    docs = ends - cut
-    few = docs < min_docs
-    where = np.concatenate([row[cut], heads])
-    nothing = np.zeros(len(heads), np.int64)
-    return pa.RecordBatch.from_arrays(
-        [
-            lang.take(pa.array(where)),
-            source.take(pa.array(where)),
-            pa.concat_arrays([coded.dictionary.cast(pa.string()).take(pa.array(code[cut])), pa.array([""] * len(heads), pa.string())]),
-            pa.array(np.concatenate([np.add.reduceat(times, cut) if len(cut) else cut, nothing])),
-            pa.array(np.concatenate([docs, nothing])),
-            pa.array(np.concatenate([doc[row[cut]], nothing]), mask=np.concatenate([~few, nothing == 0])),
-            pa.array(np.concatenate([doc[row[ends - 1]], nothing]), mask=np.concatenate([~few, nothing == 0])),
-        ],
-        schema=_COUNTED,
-    )
+    return summed(Counts(coded.dictionary.cast(pa.string()), list(number), code, group[row], times, np.ones(len(row), np.int64), doc[row], doc[row]), limit)
+
+
+def _folded(parts: Iterator[Counts], limit: int, send: Callable[[Counts], Iterator] | None = None):
+    """Merge as it comes; beyond HELD entries that do not merge, ``send`` takes them."""
+    held: list[Counts] = []
+    size = least = 0
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size >= HELD + least:
+            held = [merged(held, limit)]
+            size = least = len(held[0])
+            if send and size >= HELD // 2:
+                yield from send(held.pop())
+                size = least = 0
+    if held:
+        yield from (send or (lambda c: iter([c])))(merged(held, limit))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Counts]:
+    for batch in batches:
+        sizes = np.cumsum(pc.binary_length(batch.column(3)).to_numpy().astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = sizes[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, before + PIECE_BYTES, "right")))
+            yield _chunks(batch.slice(start, end - start), limit)
+            start = end
+
+
+def _count(limit: int, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _folded(_pieces(batches, limit), limit, lambda c: dealt(c, buckets))
+
+    return run
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[Counts]:
+    for batch in batches:
+        for data in batch.column("packet"):
+            yield unpacked(data.as_py())
+
+
+def _terms(c: Counts, limit: int) -> Counts:
+    """The entries of chunks as entries of their terms; each chunk is cut once."""
+    lines = "\n".join(c.texts.to_pylist()).encode().translate(_TO_TERMS).split(b"\n")
+    cut = [line.split() for line in lines]
+    terms = pa.array([t.decode() for line in cut for t in line], pa.string()).dictionary_encode()
+    sizes = np.array([len(line) for line in cut], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    # join back: every entry once for each term of its chunk
+    each = sizes[c.text]
+    entry = np.repeat(np.arange(len(c)), each)
+    place = np.arange(len(entry)) - np.repeat(np.cumsum(each) - each, each)
+    wide = c.take(entry)
+    wide.text = terms.indices.to_numpy().astype(np.int64)[starts[wide.text] + place]
+    wide.texts = terms.dictionary
+    return summed(wide, limit)
 
 
-def _count(min_docs: int):
+def _to_terms(limit: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = np.cumsum(pc.binary_length(batch.column(3)).to_numpy())
-            start = 0
-            while start < batch.num_rows:
-                before = sizes[start - 1] if start else 0
-                end = max(start + 1, int(np.searchsorted(sizes, before + PIECE_BYTES, "right")))
-                yield _counts(batch.slice(start, end - start), min_docs)
-                start = end
+        for chunks in _folded(_entries(batches), limit):
+            yield from dealt(_terms(chunks, limit), buckets)
 
     return run
 
 
-def _share(count: str, total: str, kept: str) -> Column:
-    """1 + floor(SCALE * (count + 1) / (total + kept)); the product may pass a long."""
-    return F.expr(f"1 + (cast({count} + 1 AS decimal(20,0)) * {SCALE}) div ({total} + {kept})")
+_KEPT_SQL = "lang string, source string, term string, count long"
+_KEPT = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("count", pa.int64())])
 
 
-def _gap(p: str, q: str) -> Column:
-    """floor((p - q)^2 / q); both are at most 1 + SCALE, so the square fits a long."""
-    return F.expr(f"(({p} - {q}) * ({p} - {q})) div {q}")
+def _keep(limit: int):
+    """Entries of the terms that ``limit`` documents of their language hold."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in _folded(_entries(batches), limit):
+            langs = sorted({lang for lang, _ in c.groups})
+            of = np.array([langs.index(lang) for lang, _ in c.groups])[c.group]
+            whole = summed(Counts(c.texts, [(lang, "") for lang in langs], c.text, of, c.n, c.docs, c.first, c.last), limit)
+            good = whole.docs >= limit
+            kept = np.isin(c.text * len(langs) + of, whole.text[good] * len(langs) + whole.group[good])
+            c = c.take(np.flatnonzero(kept))
+            lang, source = (pa.array([g[i] for g in c.groups], pa.string()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([lang.take(pa.array(c.group)), source.take(pa.array(c.group)), c.texts.take(pa.array(c.text)), pa.array(c.n)], schema=_KEPT)
+
+    return run
 
-def chunk_counts(docs: DataFrame, min_docs: int) -> DataFrame:
-    """lang, source, chunk, n, docs, first_doc, last_doc: dealt by chunk, one row for each of a group.
 
-    ``first_doc`` and ``last_doc`` name all documents where ``docs`` is below ``min_docs``.
+def _again(limit: int, coarse: int, fine: int):
+    """Packets of coarse buckets as packets of all buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _folded(_entries(batches), limit, lambda c: dealt(c, fine, coarse))
+
+    return run
+
+
+def _gathered(packets: Callable[[int], DataFrame], limit: int, buckets: int):
+    """Packets grouped by bucket; beyond FAN buckets by way of coarse ones, in tasks of any packets of them."""
+    if buckets <= FAN:
+        return packets(buckets).groupBy("bucket")
+    fine = -(-buckets // FAN)
+    mixed = packets(FAN).withColumn("salt", F.pmod(F.xxhash64("packet"), F.lit(fine)))
+    mixed = mixed.repartition(buckets, "bucket", "salt").select("bucket", "packet")
+    return mixed.mapInArrow(_again(limit, FAN, fine), PACKET_SQL).groupBy("bucket")
+
+
+def kept_terms(docs: DataFrame, min_docs: int = 3) -> DataFrame:
+    """lang, source, term, count of the terms that ``min_docs`` (1 to 3) documents of their language hold.
+
+    Every row is a document, repeated rows too.
     """
+    if not 1 <= min_docs <= 3:
+        raise ValueError("min_docs: two ends name all documents below 1 to 3 only")
     empty = F.lit("")
     texts = docs.select(
         F.monotonically_increasing_id().alias("_doc"),
@@ -132,36 +187,20 @@ def chunk_counts(docs: DataFrame, min_docs: int) -> DataFrame:
         F.coalesce(F.col("source").cast("string"), empty).alias("_source"),
         F.coalesce("text", empty).alias("_text"),
     )
-    sent = texts.mapInArrow(_count(min_docs), _COUNTED_SQL).repartition("chunk")
-    return sent.groupBy("chunk", "lang", "source").agg(
-        F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc")
-    )
+    buckets = max(LEAST_BUCKETS, -(-text_bytes(docs) // BUCKET_TEXT))
+    chunks = _gathered(lambda n: texts.mapInArrow(_count(min_docs, n), PACKET_SQL), min_docs, buckets)
+    terms = _gathered(lambda n: chunks.applyInArrow(_to_terms(min_docs, n), PACKET_SQL), min_docs, buckets)
+    return terms.applyInArrow(_keep(min_docs), _KEPT_SQL)
 
 
-def kept_terms(docs: DataFrame, min_docs: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(groups, occurrences): lang, source; and lang, source, term, count of the terms kept.
+def _share(count: str, total: str, kept: str) -> Column:
+    """1 + floor(SCALE * (count + 1) / (total + kept)); the product may pass a long."""
+    return F.expr(f"1 + (cast({count} + 1 AS decimal(20,0)) * {SCALE}) div ({total} + {kept})")
 
-    A term is kept for a language when ``min_docs`` (1 to 3) of its documents hold it. Every
-    row is a document, repeated rows too.
-    """
-    if not 1 <= min_docs <= 3:
-        raise ValueError("min_docs: two ends name all documents below 1 to 3 only")
-    counted = chunk_counts(docs, min_docs)
-    # each distinct chunk is tokenized once
-    terms = counted.select("chunk").distinct().select("chunk", F.regexp_extract_all(lower_ascii(F.col("chunk")), F.lit(TERM), F.lit(1)).alias("terms"))
-    found = counted.join(terms, "chunk").select("lang", "source", "n", "docs", "first_doc", "last_doc", F.explode_outer("terms").alias("term"))
-    found = materialise(found.where("term IS NOT NULL OR n = 0"))
-    groups = found.where("term IS NULL").select("lang", "source").distinct()
-    found = found.where("term IS NOT NULL")
-    summed = found.groupBy("lang", "term", "source").agg(F.sum("n").alias("count"), F.max("docs").alias("most"), F.sum("docs").alias("at_most"))
-    summed = materialise(summed)
-    by_term = summed.groupBy("lang", "term").agg(F.max("most").alias("most"), F.sum("at_most").alias("at_most"))
-    open_terms = by_term.where(f"most < {min_docs} AND at_most >= {min_docs}").select("lang", "term")
-    ends = found.where(f"docs < {min_docs}").join(open_terms, ["lang", "term"])
-    spread = ends.select("lang", "term", F.explode(F.array("first_doc", "last_doc")).alias("doc")).distinct()
-    late = spread.groupBy("lang", "term").count().where(f"count >= {min_docs}").select("lang", "term")
-    kept = by_term.where(f"most >= {min_docs}").select("lang", "term").union(late)
-    return materialise(groups), materialise(summed.join(kept, ["lang", "term"]).select("lang", "source", "term", "count"))
+
+def _gap(p: str, q: str) -> Column:
+    """floor((p - q)^2 / q); both are at most 1 + SCALE, so the square fits a long."""
+    return F.expr(f"(({p} - {q}) * ({p} - {q})) div {q}")
 
 
 _SUMS = "lang string, source string, item string, high long, low long"
@@ -245,7 +284,9 @@ def source_divergence(docs: DataFrame, min_docs: int = 3, top: int = 200) -> Dat
     has no pairs. Repeated rows are documents of their own, other columns (doc_id too) are
     not read. An empty table gives no rows.
     """
-    groups, found = kept_terms(docs, min_docs)
+    empty = F.lit("")
+    groups = docs.select(F.coalesce(F.col("lang").cast("string"), empty).alias("lang"), F.coalesce(F.col("source").cast("string"), empty).alias("source")).distinct()
+    found = materialise(kept_terms(docs, min_docs))
     kept = found.groupBy("lang").agg(F.countDistinct("term").alias("kept"))
     total = found.groupBy("lang", "source").agg(F.sum("count").alias("total"))
     zero = F.lit(0).cast("long")
