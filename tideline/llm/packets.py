@@ -17,7 +17,7 @@ import pyarrow as pa
 from tideline.llm.words import _BYTE_VALUES, _MULT, mix, powers
 
 #: Entries held before they are merged or sent.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Buckets that a task deals to; more are reached in two steps, so that packets stay large.
 FAN = 4096
 
