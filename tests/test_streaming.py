@@ -12,8 +12,10 @@ from tideline.sources.files import read_replay, replay_line, stream_replay, trai
 from tideline.sources.registry import Registry
 from tideline.sources.topics import message_ids, messages, read_documents, stamp_arrival, store_documents
 from tideline.specs import GRID, SYS
-from tideline.streaming.jobs import clean_stream, statistics_streams, train_stream
+from tideline.streaming.jobs import clean_open, clean_stream, statistics_streams, train_stream
 from tideline.streaming.stateful import (
+    block_stats_open,
+    open_rows,
     stream_block_stats,
     stream_forecast,
     stream_interpolate,
@@ -62,8 +64,9 @@ def test_forecast(spark, events, stream):
 
 def test_block_stats(spark, events, stream):
     columns = ["user_id", "block", "rows", "event_id", "mean", "distinct_values"]
-    live = drain(stream_block_stats(stream.drop("props"), ["user_id"], ORDER, "value", "event_type"), "b")
-    batch = block_stats(events, ["user_id"], ORDER, "value", "event_type", full_only=True)
+    what = (["user_id"], ORDER, "value", "event_type")
+    live = drain(stream_block_stats(stream.drop("props"), *what), "b", lambda c: block_stats_open(spark, c, *what))
+    batch = block_stats(events, ["user_id"], ORDER, "value", "event_type")
     assert rows(live, columns) == rows(batch, columns)
 
 
@@ -75,12 +78,9 @@ def test_latest_average(spark, events, stream):
 
 def test_clean(spark, events, stream):
     packed = lambda df: grid_of(df).select("event_id", "ts", to_pack(GRID).alias("pack"))
-    live = drain(clean_stream(packed(stream), GRID, ORDER), "c")
+    live = drain(clean_stream(packed(stream), GRID, ORDER), "c", lambda c: clean_open(spark, c, GRID))
     columns = ["event_id", "id", "grid_measurement", "timestamp", "house_id", "ownerFullName"]
     batch = clean(packed(events), GRID, ORDER)
-    whole = sequence(batch, ["id"], ORDER).blocks(5)
-    sizes = whole.groupBy("id", "block").count().filter("count = 5")
-    batch = whole.join(sizes, ["id", "block"])
     assert rows(live, columns) == rows(batch, columns)
 
 
@@ -89,25 +89,51 @@ def test_statistics_streams_start(spark, stream):
     assert set(parts) == {"blocks", "forecast"} and all(p.isStreaming for p in parts.values())
 
 
-def test_open_blocks_are_flushed(spark, tmp_path):
-    schema = "k int, t int, v double"
-    source = tmp_path / "in"
-    spark.createDataFrame([(1, i, float(i) if i else None) for i in range(7)], schema).coalesce(1).write.parquet(str(source))
-    live = spark.readStream.schema(schema).parquet(str(source))
-    filled = stream_interpolate(live, ["v"], ["k"], ["t"], flush_after_ms=100)
+def test_open_blocks_are_flushed_and_numbers_stay_unique(spark, tmp_path):
+    schema = "k int, t int, v double, at timestamp, n int, name string"
+    source, out = tmp_path / "in", tmp_path / "out"
+    columns = ["k", "t", "v", "to_timestamp('2024-01-01') as at", "if(t % 3 = 0, t, null) as n", "if(t % 2 = 0, 'x', null) as name"]
+
+    def put(times):
+        rows = spark.createDataFrame([(1, i, float(i) if i else None) for i in times], "k int, t int, v double")
+        rows.selectExpr(*columns).coalesce(1).write.mode("append").parquet(str(source))
+
+    def until(count):
+        for _ in range(90):
+            query.awaitTermination(1)
+            done = spark.read.schema(live.schema).parquet(str(out)) if out.exists() else None
+            if done is not None and done.count() >= count:
+                return done
+        raise AssertionError("no block was flushed")
+
+    put(range(7))
+    rows = spark.readStream.schema(schema).parquet(str(source))
+    live = stream_block_stats(rows, ["k"], ["t"], "v", "name", flush_after_ms=100)
     query = (
-        filled.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check"))
-        .trigger(processingTime="200 milliseconds").start(str(tmp_path / "out"))
+        live.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check"))
+        .trigger(processingTime="200 milliseconds").start(str(out))
     )
     try:
-        for _ in range(60):
-            query.awaitTermination(1)
-            done = spark.read.schema(schema).parquet(str(tmp_path / "out")) if (tmp_path / "out").exists() else None
-            if done is not None and done.count() == 7:
-                break
+        assert {(r.block, r.rows) for r in until(2).collect()} == {(0, 5), (1, 2)}
+        put(range(7, 10))  # the key speaks again
+        done = until(3).collect()
     finally:
         query.stop()
-    assert {r["t"]: r["v"] for r in done.collect()} == {0: 2.5, 1: 1.0, 2: 2.0, 3: 3.0, 4: 4.0, 5: 5.0, 6: 6.0}
+    assert sorted((r.block, r.rows, r.t, r["mean"]) for r in done) == [(0, 5, 4, 2.0), (1, 2, 6, 5.5), (2, 3, 9, 8.0)]
+
+
+def test_open_rows_keep_types_and_nulls(spark, tmp_path):
+    schema = "k string, t int, v double, at timestamp, n int, name string, tags array<string>"
+    rows = [(None, i, 0.5 * i if i % 2 else None, None, i if i % 3 else None, None if i % 2 else "x", ["a", "b"]) for i in range(8)]
+    spark.createDataFrame(rows, schema).selectExpr("*", "timestamp_seconds(t) as due").drop("at").withColumnRenamed("due", "at").coalesce(1).write.parquet(f"{tmp_path}/in")
+    live = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+    filled = stream_interpolate(live, ["v"], ["k"], ["t"])
+    writer = filled.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True)
+    writer.start(f"{tmp_path}/o").awaitTermination()
+    held = open_rows(spark, f"{tmp_path}/c", ["k"])
+    assert held.drop("block").schema.simpleString() == live.schema.simpleString()
+    want = spark.read.parquet(f"{tmp_path}/in").where("t >= 5").withColumn("block", F.lit(1).cast("long"))
+    assert sorted(map(str, held.collect())) == sorted(map(str, want.select(held.columns).collect()))
 
 
 def test_replay_stream(spark, tmp_path):

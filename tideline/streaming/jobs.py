@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence as Seq
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,6 +17,7 @@ from tideline.sources.registry import Registry
 from tideline.sources.topics import message_ids, stamp_arrival
 from tideline.specs import Dataset
 from tideline.streaming.stateful import (
+    interpolate_open,
     stream_block_stats,
     stream_forecast,
     stream_interpolate,
@@ -41,6 +42,14 @@ def clean_stream(
     return add_annotation(filled, spec, dimension)
 
 
+def clean_open(
+    spark: SparkSession, checkpoint: str, spec: Dataset, dimension: DataFrame | None = None
+) -> DataFrame:
+    """At the end of the input: the cleaned rows of the blocks that ``clean_stream`` left open."""
+    rows = interpolate_open(spark, checkpoint, spec.interpolated, [spec.id_field])
+    return add_annotation(rows, spec, dimension)
+
+
 def cleaned_packs(rows: DataFrame, spec: Dataset, keep: Seq[str] = ()) -> DataFrame:
     return packed(rows, spec, keep)
 

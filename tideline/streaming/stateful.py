@@ -3,31 +3,111 @@
 Rows of a key are taken in the order of ``order`` within a micro-batch; rows that
 come in a later micro-batch than they should are processed on arrival. A key's rows
 of one micro-batch are held together, so the source's per-trigger limit
-(``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) bounds the memory of a task.
-State per key is at most one open block, or a few numbers.
+(``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) bounds the memory of a task; for keys too
+large for that, ``tideline.streaming.pieces`` cuts a key's rows of a micro-batch.
+
+Count blocks keep the rows of a key's open block in a typed list state and the block's
+number in a value state. An open block is emitted when its key was silent for a time, by a
+timer; at the end of the input ``open_rows`` reads those left from the checkpoint.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator, Sequence as Seq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tideline.operators.clean import fill_from_blocks
 from tideline.operators.kalman import PROCESS_NOISE, SENSOR_NOISE
+from tideline.operators.sequence import BLOCK, null_safe_join
 from tideline.specs import BLOCK_SIZE, HORIZON, REGRESSION_WINDOW
 
 BlockFunction = Callable[[pd.DataFrame], pd.DataFrame]
 
+# State with several typed variables and timers needs this store.
+_STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
+_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def _gather(batches: Iterator[pd.DataFrame], order: Seq[str]) -> pd.DataFrame:
     return pd.concat(list(batches), ignore_index=True).sort_values(list(order), kind="stable")
 
 
+def _plain(value, kind: T.DataType | None = None):
+    """A pandas value as a state row holds it."""
+    if isinstance(value, np.ndarray):
+        return [_plain(v, getattr(kind, "elementType", None)) for v in value]
+    if isinstance(value, (list, tuple, dict)):
+        return value
+    if pd.isna(value):
+        return None
+    if isinstance(kind, T.IntegralType):
+        return int(value)  # pandas makes doubles of integers beside nulls
+    if isinstance(value, pd.Timestamp):
+        return value.to_pydatetime()
+    return value.item() if isinstance(value, np.generic) else value
+
+
+class OpenBlocks(StatefulProcessor):
+    """Emits whole blocks of a key; keeps the rows of the open one and its number."""
+
+    def __init__(
+        self, order: Seq[str], size: int, function: BlockFunction, rows: T.StructType, silence_ms: int | None
+    ) -> None:
+        self.order, self.size, self.function = list(order), size, function
+        self.rows, self.silence_ms = rows, silence_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", "block long, deadline long")
+        self.held = handle.getListState("held", self.rows)
+
+    def _held(self) -> pd.DataFrame:
+        return pd.DataFrame([tuple(r) for r in self.held.get()], columns=self.rows.names)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        block = self.place.get()[0] if self.place.exists() else 0
+        new, held = _gather(rows, self.order), self._held()
+        # a missing value of the held rows is None, and takes the column's own type
+        both = pd.concat([held.astype(new.dtypes.to_dict(), errors="ignore"), new], ignore_index=True) if len(held) else new
+        whole = len(both) // self.size
+        ready, rest = both.iloc[: whole * self.size], both.iloc[whole * self.size :]
+        deadline = None
+        if self.silence_ms is not None and len(rest):
+            deadline = timerValues.getCurrentProcessingTimeInMs() + self.silence_ms
+            self.handle.registerTimer(deadline)
+        self.place.update((block + whole, deadline))
+        self._keep(rest)
+        if whole:
+            yield self.function(ready.assign(block=block + np.arange(len(ready)) // self.size))
+
+    def _keep(self, rest: pd.DataFrame) -> None:
+        if len(rest):
+            kinds = [f.dataType for f in self.rows]
+            self.held.put([tuple(map(_plain, r, kinds)) for r in rest.itertuples(index=False, name=None)])
+        else:
+            self.held.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        block, deadline = self.place.get()
+        if deadline != expiredTimerInfo.getExpiryTimeInMs():
+            return  # rows came since
+        rows = self._held()
+        # the number stays used, so later rows open a block of their own
+        self.place.update((block + 1, None))
+        self.held.clear()
+        yield self.function(rows.assign(block=block))
+
+    def close(self) -> None:
+        pass
+
+
 def stream_blocks(
     df: DataFrame,
     keys: Seq[str],
@@ -41,37 +121,31 @@ def stream_blocks(
 
     The function gets the rows of one or more whole blocks with a ``block`` column
     and returns rows of ``schema``. An open block waits for its rows; with
-    ``flush_after_ms`` it is emitted as it is once its key was silent that long.
+    ``flush_after_ms`` it is emitted as it is once its key was silent that long, and the
+    key's next row opens a new block. Numbers of blocks are never used twice.
     """
+    df.sparkSession.conf.set(_STORE_CONF, _STORE)
+    rows = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])
+    processor = OpenBlocks(order, size, function, rows, flush_after_ms)
+    mode = "None" if flush_after_ms is None else "ProcessingTime"
+    return df.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", mode)
 
-    def step(key, batches, state: GroupState):
-        block, held = state.get if state.exists else (0, None)
-        held = pickle.loads(held) if held else None
-        if state.hasTimedOut:
-            state.remove()
-            if held is not None:
-                yield function(held.assign(block=block))
-            return
-        rows = _gather(batches, order)
-        if held is not None:
-            rows = pd.concat([held, rows], ignore_index=True)
-        whole = len(rows) // size
-        ready = rows.iloc[: whole * size]
-        rest = rows.iloc[whole * size :]
-        state.update((block + whole, pickle.dumps(rest) if len(rest) else None))
-        if flush_after_ms is not None:
-            state.setTimeoutDuration(flush_after_ms)
-        if whole:
-            yield function(ready.assign(block=block + np.arange(whole * size) // size))
 
-    timeout = (
-        GroupStateTimeout.NoTimeout
-        if flush_after_ms is None
-        else GroupStateTimeout.ProcessingTimeTimeout
-    )
-    return df.groupBy(*keys).applyInPandasWithState(
-        step, schema, "block long, held binary", "append", timeout
-    )
+def open_rows(spark: SparkSession, checkpoint: str, keys: Seq[str]) -> DataFrame:
+    """Rows of the open blocks that a stopped stream left in its checkpoint, with ``block``.
+
+    For the end of the input: these rows have not been emitted. A stream that goes on from
+    the checkpoint still holds them.
+    """
+
+    def state(name: str) -> DataFrame:
+        return spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+
+    names = [f"__key{i}" for i in range(len(keys))]
+    named = [F.col(f"key.`{k}`").alias(n) for k, n in zip(keys, names)]
+    held = state("held").select(*named, "list_element.*")
+    place = state("place").select(*named, F.col("value.block").alias(BLOCK))
+    return null_safe_join(held, place, names, "inner").drop(*names)
 
 
 def stream_interpolate(
@@ -93,6 +167,12 @@ def stream_interpolate(
     return stream_blocks(df, keys, order, size, fill, df.schema, flush_after_ms)
 
 
+def interpolate_open(spark: SparkSession, checkpoint: str, columns: Seq[str], keys: Seq[str]) -> DataFrame:
+    """The rows that ``stream_interpolate`` holds at the end of the input, filled from their open block."""
+    rows = open_rows(spark, checkpoint, keys)
+    return fill_from_blocks(rows, columns, keys).drop(BLOCK)
+
+
 def stream_block_stats(
     df: DataFrame,
     keys: Seq[str],
@@ -124,6 +204,21 @@ def stream_block_stats(
     return stream_blocks(df, keys, order, size, summarise, T.StructType(fields), flush_after_ms)
 
 
+def block_stats_open(
+    spark: SparkSession, checkpoint: str, keys: Seq[str], order: Seq[str], mean_of: str, distinct_of: str
+) -> DataFrame:
+    """The open blocks of ``stream_block_stats`` at the end of the input, summarised as they are."""
+    rows = open_rows(spark, checkpoint, keys)
+    last = F.struct(*order)
+    distinct = F.count_distinct(distinct_of) + F.max(F.col(distinct_of).isNull().cast("long"))
+    return rows.groupBy(*keys, BLOCK).agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.max_by(c, last).alias(c) for c in order],
+        F.avg(F.coalesce(F.col(mean_of).cast("double"), F.lit(0.0))).alias("mean"),
+        distinct.alias("distinct_values"),
+    )
+
+
 def stream_forecast(
     df: DataFrame,
     value: str,

@@ -13,8 +13,9 @@ from tideline.session import scratch_path
 from tideline.sources.topics import read_documents, store_documents
 from tideline.specs import GRID, SYS
 from tideline.sources.registry import Registry
-from tideline.streaming.jobs import clean_stream, score_stream
+from tideline.streaming.jobs import clean_open, clean_stream, score_stream
 from tideline.streaming.stateful import (
+    block_stats_open,
     stream_block_stats,
     stream_forecast,
     stream_latest_average,
@@ -42,39 +43,39 @@ def stream_table(spark, sf_dir, name="events"):
     return reader.parquet(f"{sf_dir}/{name}.parquet*")
 
 
-def drain(df, name):
-    """Run a stream to the end of its input and return its whole output."""
+def drain(df, name, at_end=None):
+    """Run a stream to the end of its input and return its whole output.
+
+    ``at_end`` gives the rows that the stream still holds, from its checkpoint.
+    """
     spark = df.sparkSession
     root = scratch_path(spark, name)
     writer = df.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint")
     writer.trigger(availableNow=True).start(f"{root}/out").awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{root}/out")
-
-
-# Whole blocks only: an open block is not yet written when the stream stops.
-WHOLE = "count(*) OVER (PARTITION BY id, block) = 5"
+    out = spark.read.schema(df.schema).parquet(f"{root}/out")
+    return out if at_end is None else out.unionByName(at_end(f"{root}/checkpoint"))
 
 
 @query(
     "stream_etl_grid",
     f"""
-    WITH {GRID_BLOCKS_SQL}, closed AS (SELECT * FROM filled QUALIFY {WHOLE})
-    SELECT event_id, id, round(grid_measurement, 8) AS grid_measurement, "timestamp" FROM closed
+    WITH {GRID_BLOCKS_SQL}
+    SELECT event_id, id, round(grid_measurement, 8) AS grid_measurement, "timestamp" FROM filled
     """,
 )
 def stream_etl_grid(spark, sf_dir):
     rows = grid_of(stream_table(spark, sf_dir))
     packs = rows.select("event_id", "ts", to_pack(GRID).alias("pack"))
     cleaned = clean_stream(packs, GRID, EVENT_ORDER)
-    out = drain(cleaned, "stream-etl")
+    out = drain(cleaned, "stream-etl", lambda checkpoint: clean_open(spark, checkpoint, GRID))
     return rounded(out.select("event_id", "id", "grid_measurement", "timestamp"), 8)
 
 
 @query(
     "stream_documents",
     f"""
-    WITH {GRID_BLOCKS_SQL}, closed AS (SELECT * FROM filled QUALIFY {WHOLE})
-    SELECT id, round(grid_measurement, 8) AS grid_measurement, "timestamp" FROM closed
+    WITH {GRID_BLOCKS_SQL}
+    SELECT id, round(grid_measurement, 8) AS grid_measurement, "timestamp" FROM filled
     """,
 )
 def stream_documents(spark, sf_dir):
@@ -86,6 +87,8 @@ def stream_documents(spark, sf_dir):
     sink = store_documents("senml-cleaned", root)
     writer = text.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint")
     writer.trigger(availableNow=True).start().awaitTermination()
+    # a batch after the last one of the stream
+    sink(packed(clean_open(spark, f"{root}/checkpoint", GRID), GRID), (1 << 31) - 1)
     stored = read_documents(spark, "senml-cleaned", root).select(F.col("entry").alias("pack"))
     return rounded(parse_pack(stored, GRID), 8)
 
@@ -96,13 +99,14 @@ def stream_documents(spark, sf_dir):
     WITH {NUMBERED}
     SELECT user_id, (seq - 1) // 5 AS block, count(*) AS rows, arg_max(event_id, seq) AS event_id,
            round(avg(value), 6) AS mean, count(DISTINCT event_type) AS distinct_values
-    FROM numbered GROUP BY user_id, (seq - 1) // 5 HAVING count(*) = 5
+    FROM numbered GROUP BY user_id, (seq - 1) // 5
     """,
 )
 def stream_block_stats_query(spark, sf_dir):
     rows = stream_table(spark, sf_dir).select("event_id", "ts", "user_id", "event_type", "value")
-    out = stream_block_stats(rows, ["user_id"], EVENT_ORDER, "value", "event_type")
-    return rounded(drain(out, "stream-blocks").drop("ts"))
+    what = (["user_id"], EVENT_ORDER, "value", "event_type")
+    out = drain(stream_block_stats(rows, *what), "stream-blocks", lambda c: block_stats_open(spark, c, *what))
+    return rounded(out.drop("ts"))
 
 
 @query(
@@ -111,13 +115,14 @@ def stream_block_stats_query(spark, sf_dir):
     WITH {TYPED}
     SELECT user_id, event_type, (seq - 1) // 5 AS block, arg_max(event_id, seq) AS event_id,
            round(avg(value), 6) AS mean
-    FROM numbered GROUP BY user_id, event_type, (seq - 1) // 5 HAVING count(*) = 5
+    FROM numbered GROUP BY user_id, event_type, (seq - 1) // 5
     """,
 )
 def stream_keyed_block_average(spark, sf_dir):
     rows = stream_table(spark, sf_dir).select("event_id", "ts", "user_id", "event_type", "value")
-    out = stream_block_stats(rows, ["user_id", "event_type"], EVENT_ORDER, "value", "value")
-    return rounded(drain(out, "stream-keyed").drop("ts", "rows", "distinct_values"))
+    what = (["user_id", "event_type"], EVENT_ORDER, "value", "value")
+    out = drain(stream_block_stats(rows, *what), "stream-keyed", lambda c: block_stats_open(spark, c, *what))
+    return rounded(out.drop("ts", "rows", "distinct_values"))
 
 
 @query(
