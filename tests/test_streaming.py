@@ -13,6 +13,8 @@ from tideline.sources.registry import Registry
 from tideline.sources.topics import message_ids, messages, read_documents, stamp_arrival, store_documents
 from tideline.specs import GRID, SYS
 from tideline.streaming.jobs import clean_open, clean_stream, statistics_streams, train_stream
+from tideline.streaming import pieces
+from tideline.streaming.pieces import forecast_in_pieces
 from tideline.streaming.stateful import (
     block_stats_open,
     open_rows,
@@ -62,6 +64,50 @@ def test_forecast(spark, events, stream):
     assert rows(live, columns) == rows(batch, columns)
 
 
+@pytest.mark.parametrize("compact", (2,))
+def test_forecast_in_pieces_of_one_key(spark, events, stream, heavy, monkeypatch, tmp_path, compact):
+    """One key has all rows: a micro-batch of 250 rows is cut into eight pieces and more."""
+    from tideline.operators import sequence as module
+
+    monkeypatch.setattr(module, "SLICE_ROWS", 30)
+    monkeypatch.setattr(pieces, "COMPACT", compact)
+    columns = ["event_id", "seq", "estimate", "horizon_mean"]
+    one = lambda df: df.select("event_id", "ts", F.lit(None).cast("int").alias("k"), F.when(F.col("event_id") % 7 > 0, F.col("value")).alias("value"))
+    cuts = []
+    real = module._number_by_range
+
+    def counted(*args):
+        out = real(*args)
+        cuts.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(module, "_number_by_range", counted)
+    done = {}
+    step = forecast_in_pieces("value", ["k"], ORDER, str(tmp_path / "state"), lambda b, i: done.__setitem__(i, rows(b, columns)))
+
+    def twice(batch, i):  # a micro-batch that is run again gives the same
+        step(batch, i)
+        first = done[i]
+        step(batch, i)
+        assert done[i] == first
+
+    writer = one(stream).writeStream.foreachBatch(twice).option("checkpointLocation", str(tmp_path / "c"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    batch = forecasts(one(events).withColumnRenamed("value", "grid_measurement"), GRID, ["k"], ORDER)
+    assert len(done) == PARTS and min(cuts[: 2 * PARTS]) >= 8
+    assert sorted((r for b in done.values() for r in b), key=repr) == rows(batch, columns)
+
+
+def test_forecast_in_pieces_of_many_keys(spark, events, stream, tmp_path):
+    columns = ["event_id", "seq", "estimate", "horizon_mean"]
+    done = []
+    step = forecast_in_pieces("value", ["user_id"], ORDER, str(tmp_path / "state"), lambda b, i: done.extend(rows(b, columns)))
+    writer = stream.drop("props").writeStream.foreachBatch(step).option("checkpointLocation", str(tmp_path / "c"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    batch = forecasts(events.withColumnRenamed("value", "grid_measurement"), GRID, ["user_id"], ORDER)
+    assert sorted(done, key=repr) == rows(batch, columns)
+
+
 def test_block_stats(spark, events, stream):
     columns = ["user_id", "block", "rows", "event_id", "mean", "distinct_values"]
     what = (["user_id"], ORDER, "value", "event_type")

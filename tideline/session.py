@@ -60,3 +60,26 @@ def materialise(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of ``path``, and the path as it takes it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system that Spark reads; none if there is no such folder."""
+    system, place = _file_system(spark, path)
+    return [f.getPath().getName() for f in system.listStatus(place)] if system.exists(place) else []
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that ``materialise`` wrote, once nothing reads it any more."""
+    spark = table.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        name = folder.rsplit("/", 1)[-1]
+        if not re.fullmatch(r"table-[0-9a-f]{32}", name):
+            raise ValueError(f"{folder} is not a table of materialise")
+        system, place = _file_system(spark, folder)
+        system.delete(place, True)

@@ -14,6 +14,7 @@ from tideline.sources.topics import read_documents, store_documents
 from tideline.specs import GRID, SYS
 from tideline.sources.registry import Registry
 from tideline.streaming.jobs import clean_open, clean_stream, score_stream
+from tideline.streaming.pieces import forecast_in_pieces
 from tideline.streaming.stateful import (
     block_stats_open,
     stream_block_stats,
@@ -142,6 +143,31 @@ def stream_forecast_query(spark, sf_dir):
     return rounded(out.drop("ts", "value"))
 
 
+@query(
+    "stream_forecast_pieces",
+    f"""
+    WITH RECURSIVE {KALMAN_SQL},
+    estimates AS (SELECT f.*, n.ts FROM filtered f JOIN numbered n USING (event_id)),
+    {FIT_LINE.format(y="estimate", source="estimates")}
+    SELECT event_id, lined.user_id AS user_id, lined.seq AS seq, round(estimate, 6) AS estimate,
+           round(CASE WHEN n > 1 THEN mean + slope * (5.5 + (n - 1) / 2.0) END, 6) AS horizon_mean
+    FROM lined JOIN filtered USING (event_id)
+    """,
+)
+def stream_forecast_pieces(spark, sf_dir):
+    """The same forecast with every micro-batch cut into pieces that any task takes."""
+    rows = stream_table(spark, sf_dir).select("event_id", "ts", "user_id", "value")
+    root = scratch_path(spark, "pieces")
+
+    def sink(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+
+    step = forecast_in_pieces("value", ["user_id"], EVENT_ORDER, f"{root}/state", sink)
+    writer = rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return rounded(spark.read.parquet(f"{root}/out").drop("batch", "ts", "value"))
+
+
 @query(
     "stream_latest_average",
     f"""
