@@ -66,7 +66,7 @@ def score_averaged(
     spec: Dataset,
     intercept: Column,
     weights: Seq[Column],
-    tree: Split | int | None = None,
+    tree: Split | int | Column | None = None,
 ) -> DataFrame:
     """As ``score`` for rows that carry their sensor's ``average``; has no memory of its own."""
     *features, _ = spec.training_fields
@@ -76,7 +76,7 @@ def score_averaged(
     regression = regression.filter(F.col("res").isNotNull())
     if tree is None:
         return regression
-    classified = results(with_average, spec, TREE, tree_score(tree))
+    classified = results(with_average, spec, TREE, tree if isinstance(tree, Column) else tree_score(tree))
     return regression.unionByName(classified.filter(F.col("res").isNotNull()))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tideline.operators.scoring import Split
+from tideline.operators.scoring import REGRESSION, TREE, Split
 from tideline.plans.etl import add_annotation, before_blocks, packed
 from tideline.plans.pred import parse_messages, published, score_averaged
 from tideline.plans.train import run as run_training
@@ -23,6 +23,7 @@ from tideline.streaming.stateful import (
     stream_interpolate,
     stream_latest_average,
 )
+from tideline.streaming.versions import model_column, regression_model, tree_walk
 
 Batch = Callable[[DataFrame, int], None]
 
@@ -97,6 +98,23 @@ def score_stream(
     )
 
 
+def score_swapped(with_models: DataFrame, spec: Dataset) -> DataFrame:
+    """Result table for rows with ``average`` and the models in force (``swap_stream``), of both kinds.
+
+    Has no memory, so it works on a stream and on the rows left at its end. A row before
+    the first version of a kind has no result of that kind.
+    """
+    *features, _ = spec.training_fields
+    intercept, weights = regression_model(F.col(model_column(REGRESSION)))
+    return score_averaged(
+        with_models,
+        spec,
+        intercept,
+        [F.get(weights, i) for i in range(len(features))],
+        tree_walk(F.col(model_column(TREE)), features),
+    )
+
+
 def train_stream(
     messages: DataFrame,
     history: DataFrame,

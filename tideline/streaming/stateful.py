@@ -73,7 +73,9 @@ class OpenBlocks(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         block = self.place.get()[0] if self.place.exists() else 0
-        new, held = _gather(rows, self.order), self._held()
+        # names that are no Python names do not reach this place
+        named = (r.set_axis(self.rows.names, axis=1) for r in rows)
+        new, held = _gather(named, self.order), self._held()
         # a missing value of the held rows is None, and takes the column's own type
         both = pd.concat([held.astype(new.dtypes.to_dict(), errors="ignore"), new], ignore_index=True) if len(held) else new
         whole = len(both) // self.size

@@ -6,6 +6,8 @@ table the stream has one micro-batch; the tests split the files.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from tideline.plans.etl import packed
@@ -13,7 +15,8 @@ from tideline.session import scratch_path
 from tideline.sources.topics import read_documents, store_documents
 from tideline.specs import GRID, SYS
 from tideline.sources.registry import Registry
-from tideline.streaming.jobs import clean_open, clean_stream, score_stream
+from tideline.operators.scoring import Split
+from tideline.streaming.jobs import clean_open, clean_stream, score_stream, score_swapped
 from tideline.streaming.pieces import forecast_in_pieces
 from tideline.streaming.stateful import (
     block_stats_open,
@@ -21,6 +24,7 @@ from tideline.streaming.stateful import (
     stream_forecast,
     stream_latest_average,
 )
+from tideline.streaming.versions import still_waiting, swap_stream, tree_nodes
 from tideline.functions.senml import parse_pack, to_pack
 from tideline.workload.catalog import query
 from tideline.workload.inputs import (
@@ -221,3 +225,41 @@ def stream_scores(spark, sf_dir):
     out = spark.read.schema("msgid bigint, value string").parquet(f"{root}/out")
     parts = F.split("value", ",")
     return out.select("msgid", parts[5].alias("kind"), parts[2].alias("source"))
+
+
+def model_versions(rows):
+    """Control messages of both kinds, one of each per nation: (since, kind, model)."""
+    n = F.col("n_nationkey")
+    day = F.timestamp_seconds(F.lit(1704067200) + n * 86400)
+    weights = F.array(*[F.lit(w) * (n + 1) for w in (0.5, 0.25, 0.01, 0.1)])
+    regression = F.to_json(F.struct(n.cast("double").alias("intercept"), weights.alias("weights")))
+    shape = tree_nodes(Split("temperature", 0.0, Split("humidity", 50.0, 0, 1), 2), SYS.training_fields[:-1])
+    # each version has thresholds of its own
+    tree = F.replace(F.lit(json.dumps(shape)), F.lit('"threshold": 50.0'), F.concat(F.lit('"threshold": '), (n * 4).cast("double").cast("string")))
+    each = F.explode(F.array(F.struct(F.lit("MLR").alias("kind"), regression.alias("model")), F.struct(F.lit("DTC").alias("kind"), tree.alias("model"))))
+    return rows.select(day.alias("since"), each.alias("m")).select("since", "m.kind", "m.model")
+
+
+@query(
+    "stream_model_swap",
+    f"""
+    WITH {SYS_SQL},
+    v AS (SELECT n_nationkey AS n, TIMESTAMP '2024-01-01' + to_days(n_nationkey) AS since FROM nation),
+    r AS (SELECT s.*, v.n FROM sys s ASOF LEFT JOIN v ON CAST(s.ts AS TIMESTAMP) >= v.since)
+    SELECT event_id AS msgid, 'MLR' AS analytic_type,
+           trunc(n + 0.5::DOUBLE * (n + 1) * temperature + 0.25::DOUBLE * (n + 1) * humidity
+                 + 0.01::DOUBLE * (n + 1) * light + 0.1::DOUBLE * (n + 1) * dust)::FLOAT::DOUBLE AS res
+    FROM r WHERE n IS NOT NULL
+    UNION ALL
+    SELECT event_id, 'DTC', CASE WHEN temperature > 0 THEN 2.0 WHEN humidity <= n * 4 THEN 0.0 ELSE 1.0 END
+    FROM r WHERE n IS NOT NULL
+    """,
+)
+def stream_model_swap(spark, sf_dir):
+    """Each row scored by the regression and the tree in force at its time, both swapped by control messages."""
+    rows = sys_of(with_event_numbers(stream_table(spark, sf_dir))).withColumnRenamed("event_id", "msgid")
+    rows = rows.withColumns({"timestamp": F.col("ts").cast("string"), "average": F.lit(None).cast("double"), "arrival": F.lit(None).cast("timestamp")})
+    control = model_versions(stream_table(spark, sf_dir, "nation"))
+    kinds = ["MLR", "DTC"]
+    out = drain(swap_stream(rows, control, "ts", kinds, "1 hour"), "swap", lambda c: still_waiting(spark, c, kinds))
+    return score_swapped(out, SYS).select("msgid", "analytic_type", "res")
