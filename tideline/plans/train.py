@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence as Seq
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.operators.c45 import train_c45, tree_texts
 from tideline.operators.joins import range_join
 from tideline.operators.scoring import REGRESSION, TREE
 from tideline.operators.training import annotate_quartiles, model_name, train_linear, training_projection
-from tideline.operators.trees import train_trees
 from tideline.session import materialise
 from tideline.sources.registry import Registry
 from tideline.specs import QUARTILE_LABELS, Dataset
@@ -34,14 +33,12 @@ def train_regressions(rows: DataFrame, spec: Dataset) -> DataFrame:
 
 
 def train_labelled_trees(
-    rows: DataFrame, spec: Dataset, label_by: str | None = None, depth: int = 3
+    rows: DataFrame, spec: Dataset, label_by: str | None = None, features: Seq[str] | None = None
 ) -> DataFrame:
-    """Label every request's rows by quarter of one column, then grow one tree per request."""
+    """Label every request's rows by quarter of one column, then grow and prune one tree per request."""
     column = label_by or spec.training_fields[1]
     labelled = annotate_quartiles(rows, REQUEST, column)
-    nodes = train_trees(
-        labelled, REQUEST, list(spec.training_fields), "result", QUARTILE_LABELS, depth
-    )
+    nodes = train_c45(labelled, REQUEST, features or list(spec.training_fields), "result", QUARTILE_LABELS)
     return nodes.withColumns(
         {"name": model_name(spec.name, TREE, F.col("row_end")), "kind": F.lit(TREE)}
     )
@@ -63,8 +60,7 @@ def run(
     regressions = materialise(train_regressions(rows, spec))
     trees = materialise(train_labelled_trees(rows, spec))
     registry.append(regressions.select("name", "kind", "intercept", "weights"))
-    root = f"{registry.root}/trees/{uuid.uuid4().hex}"
-    trees.write.parquet(root)
-    tree_models = trees.select("msgid", "name", "kind").distinct()
-    registry.append(tree_models.select("name", "kind", F.lit(root).alias("path")))
+    texts = tree_texts(trees, ["msgid", "name", "kind"], list(spec.training_fields), QUARTILE_LABELS)
+    tree_models = materialise(texts)
+    registry.append(tree_models.select("name", "kind", "model"))
     return regressions.select(*keep).unionByName(tree_models.select(*keep))

@@ -1,7 +1,7 @@
 """Model registry: an append-only table of named model versions.
 
-Regression coefficients are stored in the row, MLlib pipelines by the path they were
-saved under; the folder is reached through Spark's file systems.
+Regression coefficients are stored in the row, trees as text in ``model``, MLlib pipelines
+by the path they were saved under; the folder is reached through Spark's file systems.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = (
     "name string, kind string, created_at bigint, intercept double, "
-    "weights array<double>, path string"
+    "weights array<double>, path string, model string"
 )
 
 
@@ -64,6 +64,13 @@ class Registry:
         """One row, or None."""
         return self.latest(spark).filter(F.col("name") == name).first()
 
+    def tree(self, spark: SparkSession, name: str) -> str:
+        """The newest stored tree of this name, for ``tree_walk``."""
+        row = self.latest_named(spark, name)
+        if row is None or row["model"] is None:
+            raise KeyError(f"no tree named {name}")
+        return row["model"]
+
     def save_pipeline(self, spark: SparkSession, model: PipelineModel, name: str, kind: str) -> str:
         stamp = spark.range(1).select(F.unix_micros(F.current_timestamp())).first()[0]
         path = f"{self.root}/artifacts/{name}-{stamp}"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tideline.operators.c45 import train_c45
 from tideline.operators.joins import range_join
 from tideline.operators.training import (
     annotate_quartiles,
@@ -15,7 +16,7 @@ from tideline.operators.training import (
     training_projection,
 )
 from tideline.operators.trees import score_trees, train_trees
-from tideline.plans.train import REQUEST, run, train_regressions, training_rows
+from tideline.plans.train import REQUEST, run, train_labelled_trees, train_regressions, training_rows
 from tideline.session import scratch_path
 from tideline.sources.files import range_scan, training_requests
 from tideline.sources.registry import Registry
@@ -249,6 +250,80 @@ def linear_training_requests(spark, sf_dir):
     return train_regressions(rows, SYS)
 
 
+_CLASS_COUNTS = ", ".join(f"sum(CASE WHEN result = '{c}' THEN 1 ELSE 0 END)::DOUBLE AS c{i}" for i, c in enumerate(QUARTILE_LABELS))
+
+
+def _bits_sql(*parts: str) -> str:
+    total = f"({' + '.join(parts)})"
+    each = " + ".join(f"CASE WHEN {p} > 0 THEN ({p}) * log2({p}) ELSE 0 END" for p in parts)
+    return f"({total} * log2({total}) - ({each}))"
+
+
+@query(
+    "tree_roots",
+    f"""
+    WITH {REQUEST_SQL}, {SYS_SQL},
+    joined AS (
+      SELECT msgid, event_id, temperature, humidity, dust, airquality_raw AS value
+      FROM requests JOIN sys ON {IN_RANGE.format(t="sys")}
+    ),
+    {_bounds_sql("joined", "msgid", "value")},
+    labelled AS (
+      SELECT j.*, CASE WHEN value >= q100 THEN 'EXCELLENT' WHEN value >= q75 THEN 'VERYGOOD'
+                       WHEN value >= q50 THEN 'GOOD' ELSE 'BAD' END AS result
+      FROM joined j JOIN bounds b ON j.msgid = b.msgid
+    ),
+    list AS (
+      SELECT msgid, feature, value, {_CLASS_COUNTS}
+      FROM (UNPIVOT (SELECT msgid, result, temperature, humidity, dust FROM labelled)
+            ON temperature, humidity, dust INTO NAME feature VALUE value)
+      GROUP BY msgid, feature, value
+    ),
+    upto AS (
+      SELECT msgid, feature, value, {", ".join(f"sum(c{i}) OVER u AS l{i}, sum(c{i}) OVER w AS k{i}" for i in range(4))}
+      FROM list WINDOW u AS (PARTITION BY msgid, feature ORDER BY value), w AS (PARTITION BY msgid, feature)
+    ),
+    cuts AS (
+      SELECT *, l0 + l1 + l2 + l3 AS nl, k0 + k1 + k2 + k3 AS n,
+             round(({_bits_sql("k0", "k1", "k2", "k3")} - {_bits_sql("l0", "l1", "l2", "l3")}
+                    - {_bits_sql("(k0 - l0)", "(k1 - l1)", "(k2 - l2)", "(k3 - l3)")}) / (k0 + k1 + k2 + k3), 12) AS gain
+      FROM upto WHERE l0 + l1 + l2 + l3 < k0 + k1 + k2 + k3
+    ),
+    tried AS (
+      SELECT *, count(*) OVER (PARTITION BY msgid, feature) AS candidates FROM cuts
+      WHERE nl >= least(greatest(0.1 * n / 4, 2), 25) AND n - nl >= least(greatest(0.1 * n / 4, 2), 25)
+    ),
+    best AS (
+      SELECT *, gain - log2(candidates) / n AS net FROM tried
+      QUALIFY row_number() OVER (PARTITION BY msgid, feature ORDER BY gain DESC, value) = 1
+    ),
+    gains AS (
+      SELECT *, avg(net) OVER (PARTITION BY msgid) AS mean, round(net / ({_bits_sql("nl", "(n - nl)")} / n), 12) AS ratio
+      FROM best WHERE net > 1e-12
+    )
+    SELECT msgid, feature, value AS threshold, round(n, 6) AS rows FROM gains WHERE net >= mean - 1e-3
+    QUALIFY row_number() OVER (PARTITION BY msgid ORDER BY ratio DESC,
+                               CASE feature WHEN 'temperature' THEN 0 WHEN 'humidity' THEN 1 ELSE 2 END) = 1
+    """,
+)
+def tree_roots(spark, sf_dir):
+    """The cut at the root of every request's unpruned tree: the greatest gain ratio."""
+    history = _millis(sys_of(events(spark, sf_dir)))
+    rows = training_rows(_requests(spark, sf_dir), history, SYS, "time_ms")
+    labelled = annotate_quartiles(rows, REQUEST, "airquality_raw")
+    nodes = train_c45(labelled, REQUEST, ["temperature", "humidity", "dust"], "result", QUARTILE_LABELS, confidence=None)
+    roots = nodes.where("node = '' AND feature IS NOT NULL")
+    return roots.select("msgid", "feature", "threshold", F.round("rows", 6).alias("rows"))
+
+
+@query("tree_training_pruned")
+def tree_training_pruned(spark, sf_dir):
+    """The whole pruned tree of every training request, by the job's own function."""
+    history = _millis(sys_of(events(spark, sf_dir)))
+    rows = training_rows(_requests(spark, sf_dir), history, SYS, "time_ms")
+    return train_labelled_trees(rows, SYS, "airquality_raw", ["temperature", "humidity", "light", "dust"])
+
+
 @query("tree_training_requests")
 def tree_training_requests(spark, sf_dir):
     """One tree per training request, all grown together."""
