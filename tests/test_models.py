@@ -59,6 +59,52 @@ def test_collinear_features_still_fit(spark):
     assert m["intercept"] + m["weights"][0] * 5 + m["weights"][1] * 10 == pytest.approx(16.0)
 
 
+def plain_elimination(x, y):
+    """By fitting every set of features anew."""
+    n, kept = len(y), []
+
+    def left(of):
+        design = np.column_stack([np.ones(n), *[x[:, k] for k in of]])
+        w = np.linalg.lstsq(design, y, rcond=None)[0]
+        return ((y - design @ w) ** 2).sum(), w[1:]
+
+    for k in range(x.shape[1]):
+        design = np.column_stack([np.ones(n), *[x[:, j] for j in kept]])
+        open_part = x[:, k] - design @ np.linalg.lstsq(design, x[:, k], rcond=None)[0]
+        if x[:, k].var() > 0 and open_part.var() > 1e-9 * x[:, k].var():
+            kept.append(k)
+    most, whole = len(kept) + 1, left(kept)[0]
+    best = n + most
+    while kept:
+        sizes = np.abs(left(kept)[1] * x[:, kept].std(axis=0))
+        fewer = [k for k in kept if k != kept[int(np.argmin(sizes))]]
+        criterion = (n - most) * left(fewer)[0] / whole + 2 * (len(fewer) + 1)
+        if criterion >= best:
+            break
+        kept, best = fewer, criterion
+    return {k: w for k, w in zip(kept, left(kept)[1])}
+
+
+def test_elimination_like_fitting_every_set_anew(spark):
+    rng = np.random.default_rng(12)
+    data, want = [], {}
+    for key in range(40):
+        n = int(rng.integers(12, 80))
+        x = rng.normal(size=(n, 5)) * [1, 100, 0.01, 1, 5] + [0, 1000, 5, 0, 0]
+        x[:, 4] = 2 * x[:, 0] - x[:, 3] + 3 if key % 3 == 0 else x[:, 4]  # collinear
+        x[:, 2] = 7.0 if key % 5 == 0 else x[:, 2]  # constant
+        y = 1 + x @ (rng.choice([0, 0, 1, -2], 5) / [1, 100, 0.01, 1, 5]) + rng.normal(size=n)
+        want[key] = plain_elimination(x, y)
+        data += [(key, *map(float, r), float(t)) for r, t in zip(x, y)]
+    rows = spark.createDataFrame(data, "k int, a double, b double, c double, d double, e double, y double")
+    sizes = set()
+    for m in train_linear(rows, ["k"], list("abcde"), "y", select=True).collect():
+        got = {i: w for i, w in enumerate(m["weights"]) if w}
+        assert set(got) == set(want[m["k"]]) and all(got[i] == pytest.approx(w, rel=1e-6) for i, w in want[m["k"]].items())
+        sizes.add(len(got))
+    assert len(sizes) > 2
+
+
 def test_whole_table_models(spark):
     rows = spark.range(200).select(
         F.col("id").cast("double").alias("a"),

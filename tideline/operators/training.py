@@ -95,19 +95,78 @@ def _solve(moments: pd.Series) -> pd.Series:
     return moments.map(weights)
 
 
+# Share of a feature's variance that the features before it leave open, below which it is collinear.
+COLLINEAR = 1e-9
+# Residual variance, as a share of the target's, below which a fit is exact.
+EXACT = 1e-12
+
+
+def _sweep(r: np.ndarray, k: int) -> np.ndarray:
+    """Bring feature ``k`` into the fit, or take it out again."""
+    d, out = r[k, k], r - np.outer(r[:, k], r[k]) / r[k, k]
+    out[k], out[:, k] = r[k] / d, -r[:, k] / d
+    out[k, k] = 1 / d
+    return out
+
+
+def eliminate(n: float, cov: np.ndarray, cov_y: np.ndarray, var_y: float) -> np.ndarray:
+    """Weights with the features that an information criterion does not want set to 0.
+
+    A feature that those before it explain is left out. Then the feature with the smallest
+    standardised weight goes as long as (n - p) S / S_all + 2 q falls, where S is the sum of
+    squares left, p the number of parameters of all features and q that of those kept.
+    """
+    sd, sd_y = np.sqrt(np.maximum(np.diag(cov), 0)), np.sqrt(max(var_y, 0))
+    weights = np.zeros(len(cov_y))
+    if not sd_y > 0:
+        return weights
+    safe = np.where(sd > 0, sd, 1)
+    r = np.block([[cov / np.outer(safe, safe), (cov_y / safe / sd_y)[:, None]], [(cov_y / safe / sd_y)[None], np.ones((1, 1))]])
+    kept = []
+    for k in range(len(cov_y)):
+        if sd[k] > 0 and r[k, k] > COLLINEAR:
+            r = _sweep(r, k)
+            kept.append(k)
+    most = len(kept) + 1
+    whole, best = max(r[-1, -1], EXACT), n + most
+    while kept:
+        least = min(kept, key=lambda k: (abs(r[k, -1]), -k))
+        fewer = _sweep(r, least)
+        criterion = (n - most) * max(fewer[-1, -1], EXACT) / whole + 2 * len(kept)
+        if criterion >= best:
+            break
+        r, best = fewer, criterion
+        kept.remove(least)
+    weights[kept] = r[kept, -1] * sd_y / sd[kept]
+    return weights
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _eliminated(moments: pd.Series) -> pd.Series:
+    """As ``_solve``, after the number of rows and the variance of the target."""
+
+    def weights(m):
+        n, var_y, *rest = np.asarray(m, dtype=float)
+        p = int((np.sqrt(1 + 4 * len(rest)) - 1) / 2)
+        return eliminate(n, np.reshape(rest[: p * p], (p, p)), np.array(rest[p * p :]), var_y)
+
+    return moments.map(weights)
+
+
 def train_linear(
-    df: DataFrame, keys: Seq[str], features: Seq[str], target: str
+    df: DataFrame, keys: Seq[str], features: Seq[str], target: str, select: bool = False
 ) -> DataFrame:
     """Least squares per key: ``rows``, ``intercept``, ``weights`` (in feature order).
 
     The rows are reduced to means and covariances by one partial aggregation; only
     one small system per key is solved in Python. Collinear features get the
-    smallest weights that fit.
+    smallest weights that fit; with ``select`` only the first of them is kept, and features
+    are dropped by an information criterion (weight 0), see ``eliminate``.
     """
     whole = df.dropna(subset=[*features, target])
     x = [F.col(f).cast("double") for f in features]
     y = F.col(target).cast("double")
-    aggregates = [F.count(F.lit(1)).alias("rows"), F.avg(y).alias("mean_y")]
+    aggregates = [F.count(F.lit(1)).alias("rows"), F.avg(y).alias("mean_y"), F.var_pop(y).alias("var_y")]
     aggregates += [F.avg(c).alias(f"mean_{i}") for i, c in enumerate(x)]
     aggregates += [F.covar_pop(c, y).alias(f"cov_{i}_y") for i, c in enumerate(x)]
     pairs = list(combinations_with_replacement(range(len(x)), 2))
@@ -116,9 +175,12 @@ def train_linear(
     matrix = [
         F.col(f"cov_{min(i, j)}_{max(i, j)}") for i in range(len(x)) for j in range(len(x))
     ]
-    solved = moments.withColumn(
-        "weights", _solve(F.array(*matrix, *[F.col(f"cov_{i}_y") for i in range(len(x))]))
-    )
+    matrix += [F.col(f"cov_{i}_y") for i in range(len(x))]
+    if select:
+        weights = _eliminated(F.array(F.col("rows").cast("double"), F.col("var_y"), *matrix))
+    else:
+        weights = _solve(F.array(*matrix))
+    solved = moments.withColumn("weights", weights)
     fitted = F.lit(0.0)
     for i in range(len(x)):
         fitted = fitted + F.get("weights", F.lit(i)) * F.col(f"mean_{i}")

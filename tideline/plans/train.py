@@ -26,7 +26,7 @@ def training_rows(requests: DataFrame, history: DataFrame, spec: Dataset, time:
 
 def train_regressions(rows: DataFrame, spec: Dataset) -> DataFrame:
     *features, target = spec.training_fields
-    models = train_linear(rows, REQUEST, features, target)
+    models = train_linear(rows, REQUEST, features, target, select=True)
     return models.withColumns(
         {"name": model_name(spec.name, REGRESSION, F.col("row_end")), "kind": F.lit(REGRESSION)}
     )

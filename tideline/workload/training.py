@@ -242,12 +242,64 @@ def linear_training_taxi(spark, sf_dir):
     )
 
 
-@query("linear_training_requests")
+@query(
+    "linear_training_requests",
+    f"""
+    WITH {REQUEST_SQL}, {SYS_SQL},
+    fit AS (
+      SELECT msgid, row_start, row_end, count(*) AS rows, regr_intercept(airquality_raw, humidity) AS b0,
+             regr_slope(airquality_raw, humidity) AS b2, regr_sxx(airquality_raw, humidity) AS sxx
+      FROM requests JOIN sys ON {IN_RANGE.format(t="sys")} GROUP BY ALL
+    )
+    SELECT msgid, row_start, row_end, rows, round(b0, 6) + 0.0 AS intercept, 0.0::DOUBLE AS w1, round(b2, 6) AS w2,
+           0.0::DOUBLE AS w3, 0.0::DOUBLE AS w4, 'SYS-MLR-' || row_end || '.model' AS name, 'MLR' AS kind
+    FROM fit
+    """,
+)
 def linear_training_requests(spark, sf_dir):
-    """Four features per training request; light and dust are collinear here."""
+    """Four features per training request; three are collinear and one explains the target."""
     history = _millis(sys_of(events(spark, sf_dir)))
     rows = training_rows(_requests(spark, sf_dir), history, SYS, "time_ms")
-    return train_regressions(rows, SYS)
+    models = train_regressions(rows, SYS)
+    weights = [F.get("weights", i).alias(f"w{i + 1}") for i in range(4)]
+    exact = models.select("msgid", "row_start", "row_end", "rows", "intercept", *weights, "name", "kind")
+    return rounded(exact).withColumn("intercept", F.round("intercept", 6) + 0.0)
+
+
+@query(
+    "linear_training_selected",
+    f"""
+    WITH {REQUEST_SQL}, {SYS_SQL},
+    d AS (SELECT msgid, airquality_raw + sin(event_id) * 40 AS y, humidity AS a, cos(event_id * 3) AS b
+          FROM requests JOIN sys ON {IN_RANGE.format(t="sys")}),
+    m AS (
+      SELECT msgid, count(*)::DOUBLE AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(y) AS vy, var_pop(a) AS va,
+             var_pop(b) AS vb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS yb
+      FROM d GROUP BY msgid
+    ),
+    both_in AS (
+      SELECT *, (ay * vb - yb * ab) / (va * vb - ab * ab) AS wa, (yb * va - ay * ab) / (va * vb - ab * ab) AS wb FROM m
+    ),
+    left_over AS (
+      SELECT *, vy - wa * ay - wb * yb AS s_both, vy - ay * ay / va AS s_a FROM both_in
+    ),
+    judged AS (SELECT *, (n - 3) * s_a / s_both + 4 < n + 3 AS dropped FROM left_over)
+    SELECT msgid, n::BIGINT AS rows, round(my - CASE WHEN dropped THEN ay / va * ma ELSE wa * ma + wb * mb END, 6) AS intercept,
+           round(CASE WHEN dropped THEN ay / va ELSE wa END, 6) AS w1, round(CASE WHEN dropped THEN 0 ELSE wb END, 6) AS w2
+    FROM judged
+    """,
+)
+def linear_training_selected(spark, sf_dir):
+    """Noise on the target: the criterion keeps the feature that matters and judges the other one."""
+    history = _millis(sys_of(events(spark, sf_dir)))
+    rows = range_join(_requests(spark, sf_dir), history, "time_ms").select(
+        "msgid",
+        (F.col("airquality_raw") + F.sin(F.col("event_id").cast("double")) * 40).alias("y"),
+        F.col("humidity").alias("a"),
+        F.cos((F.col("event_id") * 3).cast("double")).alias("b"),
+    )
+    models = train_linear(rows, ["msgid"], ["a", "b"], "y", select=True)
+    return rounded(models.select("msgid", "rows", "intercept", F.get("weights", 0).alias("w1"), F.get("weights", 1).alias("w2")))
 
 
 _CLASS_COUNTS = ", ".join(f"sum(CASE WHEN result = '{c}' THEN 1 ELSE 0 END)::DOUBLE AS c{i}" for i, c in enumerate(QUARTILE_LABELS))
