@@ -1,5 +1,7 @@
 """Heavy keys: the split path gives what the plain one gives."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +122,29 @@ def test_range_join_by_shuffle_and_salt(spark, skewed, request):
     assert run() == expected
 
 
+def test_range_cells_of_long_and_short_requests(spark):
+    half_hour, ten_years = 1_800_000, 10 * 365 * 86_400_000
+    rows = [(i, 1_700_000_000_000 + i * 777_777, 1_700_000_000_000 + i * 777_777 + half_hour) for i in range(60)]
+    few = joins.range_cells(spark.createDataFrame(rows, "msgid int, row_start long, row_end long"), "row_start", "row_end")[0].count()
+    rows.append((99, 1_400_000_000_123, 1_400_000_000_123 + ten_years))
+    pieces, width, levels = joins.range_cells(spark.createDataFrame(rows, "msgid int, row_start long, row_end long"), "row_start", "row_end")
+    assert pieces.count() - few < 100 and few <= 4 * 60 and len(levels) < 16 and width <= half_hour
+
+
+def test_range_join_of_mixed_lengths(spark, request):
+    rnd = random.Random(2)
+    spans = [(i, a, a + n) for i, (a, n) in enumerate((rnd.randrange(-500, 4000), rnd.choice([1, 2, 7, 16, 17, 90, 1000, 5000])) for _ in range(60))]
+    times = [(rnd.randrange(-600, 6000), i) for i in range(400)] + [(None, 1)]
+    requests = spark.createDataFrame(spans + [(77, None, 5), (78, 5, None)], "msgid int, row_start long, row_end long")
+    history = spark.createDataFrame(times, "t long, level int")
+    want = sorted((m, t, i) for m, a, b in spans for t, i in times if t is not None and a <= t < b)
+    run = lambda: sorted(map(tuple, range_join(requests, history, "t").select("msgid", "t", "level").collect()))
+    assert run() == want
+    request.getfixturevalue("no_broadcast")
+    request.getfixturevalue("heavy")
+    assert run() == want
+
+
 def test_asof_join_ways_agree(spark, skewed, monkeypatch, request):
     changes = skewed.filter("event_id % 10 = 0").select(
         F.col("k"), F.col("event_id").alias("since"), F.col("event_id").alias("found")

@@ -13,6 +13,7 @@ from tideline.operators.sequence import (
     CHUNK_ROWS,
     SEQ,
     heavy_keys,
+    heavy_row_limit,
     null_safe_join,
     sequence,
 )
@@ -82,6 +83,45 @@ def pair_by_position(left: DataFrame, right: DataFrame, left_order: Seq[str], ri
     return a.join(b, SEQ)
 
 
+#: Levels of the cells of a range join are this many times as wide as the one below.
+CELL_STEP = 4
+_LEVEL, _CELL = "__level", "__cell"
+
+
+def range_cells(requests: DataFrame, start: str, end: str) -> tuple[DataFrame, int, list[int]]:
+    """``requests`` once per cell that covers a part of [start, end), with its level and number.
+
+    Cells of level n are CELL_STEP^n times the finest width, which fits the median request.
+    A range takes the largest cells inside it and smaller ones to both sides, so a request
+    has about 3 log4(length / width) cells to each side, however long it is. Also returns the
+    width of level 0 and the levels that occur.
+    """
+    length = F.col(end) - F.col(start)
+    size = requests.agg(F.percentile_approx(length, 0.5).alias("median"), F.max(length).alias("most")).first()
+    if size["most"] is None:
+        return requests.withColumns({_LEVEL: F.lit(0), _CELL: F.lit(0).cast("long")}), 1, [0]
+    width = 1
+    while width * 2 <= size["median"]:
+        width *= 2
+    levels = 1
+    while width * CELL_STEP**levels <= size["most"]:
+        levels += 1
+    low, high = F.floor(F.col(start) / width), F.ceil(F.col(end) / width)
+    up, down = (lambda n: F.ceil(low / CELL_STEP**n)), (lambda n: F.floor(high / CELL_STEP**n))
+    none = F.array().cast("array<bigint>")
+    between = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(none)
+
+    def cells(n: int) -> Column:
+        a, b, inner, outer = up(n), down(n), up(n + 1), down(n + 1)
+        sides = F.concat(between(a, inner * CELL_STEP), between(outer * CELL_STEP, b))
+        return F.transform(F.when(inner < outer, sides).otherwise(between(a, b)), lambda c: F.struct(F.lit(n).alias("level"), c.alias("cell")))
+
+    every = F.explode(F.concat(*[cells(n) for n in range(levels + 1)])).alias("at")
+    pieces = requests.select("*", every).select(*requests.columns, F.col("at.level").alias(_LEVEL), F.col("at.cell").alias(_CELL))
+    used = [r[0] for r in pieces.select(_LEVEL).distinct().collect()]
+    return pieces, width, sorted(used)
+
+
 def range_join(
     requests: DataFrame,
     history: DataFrame,
@@ -92,44 +132,39 @@ def range_join(
 ) -> DataFrame:
     """History rows with ``start <= time < end`` for every request.
 
-    Both sides get a time bin as wide as the mean request, so all requests together
-    cover at most three bins each on average; the join is an equality on the bin.
-    Requests that fit are broadcast and the history is not shuffled. Otherwise rows
-    of a crowded bin are spread over salts, and its requests repeated per salt.
+    Requests are cut into nested cells (``range_cells``), so one of ten years among such of
+    half an hour costs some tens of rows; a history row is looked up once per level that
+    occurs, and the join is an equality on level and cell. Requests that fit are broadcast
+    and the history is not shuffled. Otherwise rows of a crowded cell are spread over salts,
+    and its requests repeated per salt.
     """
     requests = requests.filter(F.col(end) > F.col(start))
-    width = requests.agg(F.avg(F.col(end) - F.col(start))).first()[0]
-    width = max(1, int(width or 1))
-    binned = requests.withColumn(
-        "time_bin",
-        F.explode(
-            F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))
-        ),
+    pieces, width, levels = range_cells(requests, start, end)
+    at = lambda n: F.struct(F.lit(n).alias("level"), F.floor(F.col(time) / (width * CELL_STEP**n)).alias("cell"))
+    rows = history.withColumn("__at", F.explode(F.array(*[at(n) for n in levels]))).select(
+        *history.columns, F.col("__at.level").alias(_LEVEL), F.col("__at.cell").alias(_CELL)
     )
-    rows = history.withColumn("time_bin", F.floor(F.col(time) / width))
     inside = (F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))
-    on = ["time_bin", *keys]
-    if fits_broadcast(binned):
-        return rows.join(F.broadcast(binned), on).filter(inside).drop("time_bin")
+    on = [_LEVEL, _CELL, *keys]
+    if fits_broadcast(pieces):
+        return rows.join(F.broadcast(pieces), on).filter(inside).drop(_LEVEL, _CELL)
 
-    heavy = heavy_keys(rows, on)
-    if heavy is None:
-        return rows.join(binned, on).filter(inside).drop("time_bin")
-    salts = heavy.withColumn("salts", F.ceil(F.col("rows") / CHUNK_ROWS)).drop("rows")
-    hot = F.broadcast(salts)
+    # Every crowded cell, however many: at most a row per CHUNK_ROWS of the history.
+    crowded = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy_row_limit(rows))
+    salts = crowded.select(*on, F.ceil(F.col("n") / CHUNK_ROWS).alias("salts"))
     salted_rows = (
-        rows.join(hot, on, "left")
+        lookup_join(rows, salts, on)
         .withColumn("salts", F.coalesce("salts", F.lit(1)))
         .withColumn("salt", F.monotonically_increasing_id() % F.col("salts"))
         .drop("salts")
     )
     salted_requests = (
-        binned.join(hot, on, "left")
+        lookup_join(pieces, salts, on)
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
         .drop("salts")
     )
     joined = salted_rows.join(salted_requests, [*on, "salt"])
-    return joined.filter(inside).drop("time_bin", "salt")
+    return joined.filter(inside).drop(_LEVEL, _CELL, "salt")
 
 
 def asof_join(
