@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.operators.joins import lookup_join
-from tideline.operators.sequence import SEQ, sequence
+from tideline.operators.quantiles import exact_quantiles
 from tideline.session import materialise
 from tideline.specs import QUARTILE_LABELS, Dataset
 
@@ -32,31 +32,14 @@ def quartile_bounds(df: DataFrame, keys: Seq[str], value: str) -> DataFrame:
     """Per key: n, the quartiles at position p (n + 1) of the sorted values, and the maximum.
 
     Positions below the first or beyond the last value are clamped, others are
-    interpolated between their neighbours. Ranks come from ``sequence``, so a
-    request with a third of all rows is ranked by many tasks.
+    interpolated between their neighbours. No rows are numbered: brackets of values are
+    narrowed by counts, so a request with a third of all rows is no task's alone.
     """
-    ranked = sequence(df.select(*keys, value).filter(F.col(value).isNotNull()), keys, [value])
-    keys = list(ranked.keys)
-    sizes = df.filter(F.col(value).isNotNull())
-    if "all_rows" in keys:
-        sizes = sizes.withColumn("all_rows", F.lit(0))
-    sizes = sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(value).alias("q100"))
-    joined = lookup_join(ranked.rows, materialise(sizes), keys, how="inner")
-
-    def place(p: float) -> Column:
-        return F.least(F.greatest((F.col("n") + 1) * p, F.lit(1.0)), F.col("n").cast("double"))
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when(F.col(SEQ) == rank, F.col(value)))
-
-    aggregates = [F.max("n").alias("n"), F.max("q100").alias("q100")]
-    wanted = F.lit(False)
-    for name, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
-        low, high = F.floor(place(p)), F.ceil(place(p))
-        wanted = wanted | (F.col(SEQ) == low) | (F.col(SEQ) == high)
-        share = F.max(place(p) - low)
-        aggregates.append((at(low) + share * (at(high) - at(low))).alias(name))
-    return joined.filter(wanted).groupBy(*keys).agg(*aggregates)
+    keys = list(keys)
+    if not keys:
+        df, keys = df.withColumn("all_rows", F.lit(0)), ["all_rows"]
+    found = exact_quantiles(df, keys, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return found.select(*keys, "n", F.col("most").alias("q100"), "q25", "q50", "q75")
 
 
 def quartile_label(value: Column, q50: Column, q75: Column, q100: Column) -> Column:
