@@ -1,4 +1,4 @@
-"""The queries against their SQL twins, the pipeline, and the operators on odd rows."""
+"""The pipeline, and the operators on odd rows."""
 
 import re
 
