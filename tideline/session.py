@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,9 +59,69 @@ def materialise(df: DataFrame) -> DataFrame:
     Survives lost executors, every reader sees the same rows, and later passes read
     only the columns they need.
     """
-    path = scratch_path(df.sparkSession, "table")
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    owner = _owner.get()
+    if owner is not None:
+        owner.add(path, lambda: delete_folder(spark, path))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Owner of what is written inside its ``with`` block: all but the kept goes at the end.
+
+    ``materialise`` announces its tables here. What is kept passes to the block around, if
+    there is one, else it stays. A result handed out of the block must not read a table that
+    is not kept: keep it, or ``materialise`` the result inside.
+    """
+
+    def __init__(self) -> None:
+        self._held: dict[str, Callable[[], object]] = {}
+        self._kept: set[str] = set()
+
+    def add(self, name: str, remove: Callable[[], object]) -> None:
+        """``remove`` deletes what is known as ``name``."""
+        self._held[name] = remove
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        """All tables that ``table`` reads stay."""
+        self._kept |= {folder.rsplit("/", 1)[-1] for folder in _folders(table)}
+        return table
+
+    def __enter__(self) -> Scratch:
+        self._outer = _owner.get()
+        self._token = _owner.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _owner.reset(self._token)
+        for name, remove in self._held.items():
+            if name.rsplit("/", 1)[-1] not in self._kept:
+                remove()
+            elif self._outer is not None:
+                self._outer.add(name, remove)
+
+
+_owner: ContextVar[Scratch | None] = ContextVar("tideline_scratch", default=None)
+
+
+def owned(name: str, remove: Callable[[], object]) -> None:
+    """Announce something written that the block around is to remove."""
+    owner = _owner.get()
+    if owner is not None:
+        owner.add(name, remove)
+
+
+def _folders(table: DataFrame) -> set[str]:
+    """The folders of the files that a table reads."""
+    return {file.rsplit("/", 1)[0] for file in table.inputFiles()}
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark reads."""
+    system, place = _file_system(spark, path)
+    system.delete(place, True)
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -77,9 +139,8 @@ def folder_names(spark: SparkSession, path: str) -> list[str]:
 def discard(table: DataFrame) -> None:
     """Delete the files of a table that ``materialise`` wrote, once nothing reads it any more."""
     spark = table.sparkSession
-    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+    for folder in _folders(table):
         name = folder.rsplit("/", 1)[-1]
         if not re.fullmatch(r"table-[0-9a-f]{32}", name):
             raise ValueError(f"{folder} is not a table of materialise")
-        system, place = _file_system(spark, folder)
-        system.delete(place, True)
+        delete_folder(spark, folder)
