@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +30,11 @@ from tideline.llm.words import mix
 
 MARK = "▁"
 #: Words whose ids a Python worker keeps.
-KEPT_WORDS = 1 << 18
+KEPT_WORDS = 1 << 17
 #: Characters of texts whose new words are encoded together.
-MATRIX_CHARS = 1 << 21
+MATRIX_CHARS = 1 << 18
+#: Bytes of texts that a worker turns into Python strings at a time (or one text).
+TEXT_BYTES = 1 << 20
 #: Longer words are cut where no piece has the two characters side by side.
 LONG_WORD = 64
 
@@ -278,37 +281,53 @@ def _joined(words: list[str], viterbi: Viterbi) -> bytes:
         return b"".join([viterbi.known.get(w) or viterbi.segment([w])[0] for w in words])
 
 
-def _encode(shared):
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about TEXT_BYTES of text."""
+    sizes = np.array([n or 0 for n in pc.binary_length(batch.column("_text")).to_pylist()], np.int64)
+    part = np.cumsum(sizes) // TEXT_BYTES
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows] if len(part) else []
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(lo, hi - lo)
+
+
+def _surfaces(model: dict) -> list[bytes]:
+    """The bytes that each id stands for."""
+    surface = {i: p.replace(MARK, " ").encode() for i, p in zip(model["ids"], model["pieces"], strict=True)}
+    surface |= {i: bytes([b]) for b, i in model["bytes"].items()}
+    return [surface.get(i, b"") for i in range(max(surface, default=-1) + 1)]
+
+
+def _decoded(ids: list[int], table: list[bytes]) -> str:
+    return b"".join([table[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
+
+
+def _encode(shared, checked: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         viterbi = _encoder(shared)
+        table = _surfaces(shared.value[1]) if checked else []
         for batch in batches:
-            step = 2000
-            for lo in range(0, batch.num_rows, step):
-                part = batch.slice(lo, step)
-                ids = encode_texts(part.column("_text").to_pylist(), viterbi)
+            for part in _slices(batch):
+                texts = part.column("_text").to_pylist()
+                ids = encode_texts(texts, viterbi)
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("_text"), pa.ListArray.from_arrays(offsets, values)],
-                    names=["row", "_text", "ids"],
-                )
+                lists = pa.ListArray.from_arrays(offsets, values)
+                if checked:
+                    same = [_decoded(np.frombuffer(x, np.int32).tolist(), table) == (t or "") for x, t in zip(ids, texts, strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column("row"), lists, pa.array(same, pa.bool_())], names=["row", "ids", "round_trip"])
+                else:
+                    yield pa.RecordBatch.from_arrays([part.column("row"), part.column("_text"), lists], names=["row", "_text", "ids"])
 
     return run
 
 
 def _decode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value[1]
-        surface = {i: p.replace(MARK, " ").encode() for i, p in zip(model["ids"], model["pieces"], strict=True)}
-        surface |= {i: bytes([b]) for b, i in model["bytes"].items()}
-        table = [surface.get(i, b"") for i in range(max(surface, default=-1) + 1)]
+        table = _surfaces(shared.value[1])
         for batch in batches:
             ids = batch.column("ids")
-            values, offsets = ids.values.to_numpy().tolist(), ids.offsets.to_numpy()
-            texts = []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                text = b"".join([table[i] for i in values[a:b]]).decode("utf-8", "replace")
-                texts.append(text.removeprefix(" "))
+            values, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
+            texts = [_decoded(values[a:b].tolist(), table) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return run
@@ -321,11 +340,25 @@ def encode(docs: DataFrame, model: str, row: list[str] | None = None) -> DataFra
     and one is set before the text; nothing else is normalised. Null and empty texts have
     no ids. Extra columns are only carried if named.
     """
+    kind, rows, shared = _rows(docs, model, row)
+    return rows.mapInArrow(_encode(shared, False), f"row {kind}, _text string, ids array<int>").withColumnRenamed("_text", "text")
+
+
+def encode_checked(docs: DataFrame, model: str, row: list[str] | None = None) -> DataFrame:
+    """``row`` and ids as ``encode`` gives them, and whether decoding them gives the text back.
+
+    The ids are decoded by the worker that made them, as ``decode`` does it, and no text leaves
+    it. A null or empty text comes back as the empty one.
+    """
+    kind, rows, shared = _rows(docs, model, row)
+    return rows.mapInArrow(_encode(shared, True), f"row {kind}, ids array<int>, round_trip boolean")
+
+
+def _rows(docs: DataFrame, model: str, row: list[str] | None) -> tuple:
     described = read_model(model)
     shared = docs.sparkSession.sparkContext.broadcast((hash(tuple(described["pieces"])), described))
     rows = docs.select(F.struct(*(row or ["doc_id"])).alias("row"), F.col("text").alias("_text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_encode(shared), f"row {kind}, _text string, ids array<int>").withColumnRenamed("_text", "text")
+    return rows.schema["row"].dataType.simpleString(), rows, shared
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
