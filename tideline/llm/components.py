@@ -2,7 +2,8 @@
 
 Each round moves every node's edges to the smallest neighbour; the rounds end when no edge
 changes, after about log(n) of them. All steps are joins and aggregates that Spark can
-split, and every round is written to the shared folder, so a lost executor costs one round.
+split, and every round is written to the shared folder, so a lost executor costs one round; the round
+before is deleted then.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.session import materialise
+from tideline.session import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,7 +41,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = materialise(edges.where("x IS NOT NULL AND y IS NOT NULL AND a > b").select("a", "b").distinct())
     before = _print(edges)
     while before[0]:
-        edges = materialise(_small_star(_large_star(edges)))
+        last = edges
+        edges = materialise(_small_star(_large_star(last)))
+        discard(last)
         now = _print(edges)
         if now == before:
             break

@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from tideline.llm.components import components
 from tideline.llm.tables import id_key, text_bytes
-from tideline.session import materialise, scratch_path
+from tideline.session import Scratch, delete_folder, materialise, owned, scratch_path
 
 BANDS = 10
 ROWS = 3
@@ -56,10 +56,17 @@ def _written(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.xxhash64("doc_id", text).alias("rid"), id_key().alias("key"), F.struct("*").alias("row"))
     name = f"lines_{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
+
+    def remove() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete_folder(spark, path)
+
+    owned(path, remove)
     (
         rows.repartition(buckets, "rid")
         .write.bucketBy(buckets, "rid")
-        .option("path", scratch_path(spark, name))
+        .option("path", path)
         .option("compression", "zstd")
         .saveAsTable(name)
     )
@@ -112,6 +119,11 @@ def _candidates(signed: DataFrame) -> DataFrame:
 
 def similar_lines(table: DataFrame, places: DataFrame) -> DataFrame:
     """(a, b): hashes of different lines that are similar, enough of them to give the components."""
+    with Scratch() as scratch:
+        return scratch.keep(_all_links(table, places))
+
+
+def _all_links(table: DataFrame, places: DataFrame) -> DataFrame:
     first = places.where("h IS NOT NULL").groupBy("h").agg(F.min("rid").alias("rid"))
     named = materialise(first)
     # which lines of a document stand for their copies, in the order of its lines

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.components import components
 from tideline.llm.words import NOT_BLANK, mix, pieces, rolling
-from tideline.session import materialise
+from tideline.session import Scratch, materialise
 
 BASE = 0x2545F4914F6CDD1D
 #: Per hundred n-grams, how many more than the shortest sufficient prefix are compared.
@@ -364,11 +364,12 @@ def near_duplicates(docs: DataFrame, n: int = 3, threshold: int = 90) -> DataFra
     base = materialise(sent.withColumn("node", F.when(F.col("doc").isNotNull() & (F.col("n") > 0), F.xxhash64("digest"))))
     full = base.where("node IS NOT NULL")
     classes = materialise(full.groupBy("node").agg(F.min("doc").alias("rep")))
-    links = _links(docs, full, classes, n, threshold, shared)
     # one doc_id with several texts joins the classes of these texts
     several = full.groupBy("doc").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last")
     bridges = full.join(several, "doc").select(F.col("node").alias("a"), "b")
-    found = components(links.union(bridges))
+    with Scratch() as scratch:
+        links = _links(docs, full, classes, n, threshold, shared)
+        found = scratch.keep(components(links.union(bridges)))
     parts = classes.join(found, "node", "left").withColumn("part", F.coalesce("component", "node"))
     least = parts.groupBy("part").agg(F.min("rep").alias("label"))
     labels = parts.join(least, "part").select("node", "label")
