@@ -15,9 +15,9 @@ from tideline.llm.leaks import decontaminate
 from tideline.llm.lines import dedup_lines
 from tideline.llm.ngram_join import near_duplicates
 from tideline.llm.quality import keep_good
-from tideline.llm.sentence_pieces import decode, encode
+from tideline.llm.sentence_pieces import encode_checked
 from tideline.llm.workload import tokenizer
-from tideline.session import materialise
+from tideline.session import Scratch, discard, materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,14 +57,14 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids and their number, with the decoded text compared."""
     model = tokenizer("piece_bpe_32k.model")
-    both = decode(encode(docs, model, row=["doc_id", "lang", "source"]), model)
-    return both.select(
+    done = encode_checked(docs, model, row=["doc_id", "lang", "source"])
+    return done.select(
         "row.doc_id",
         "row.lang",
         "row.source",
         "ids",
         F.size("ids").cast("long").alias("n_tokens"),
-        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"),
+        "round_trip",
     )
 
 
@@ -81,8 +81,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written and read again.
+
+    A stage's own tables go when it is written, and so does what it read.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        with Scratch() as scratch:
+            docs = scratch.keep(materialise(stage(spark, docs, sf_dir)))
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
