@@ -56,6 +56,13 @@ def convert_fit(rows: DataFrame, order: Seq[str], scale: float = 1.0) -> DataFra
     )
 
 
+def convert_fit_logs(logs: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Numbered logs (``file``, ``line``): every file starts at 0, an event every 2 ms in file order."""
+    return logs.select(
+        "file", fixed_rate_offset(F.col("line"), scale).alias("delay"), to_pack(FIT).alias("pack")
+    )
+
+
 def convert_grid(rows: DataFrame, scale: float = 1.0) -> DataFrame:
     """Elapsed seconds since the first reading, scaled; values are JSON numbers."""
     first = first_of(rows, "timestamp")

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tideline.session import materialise
 from tideline.specs import FIT
 
 TRIP_SCHEMA = (
@@ -38,12 +40,39 @@ def read_fares(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fitness_logs(
-    spark: SparkSession, path: str, subject_in_path: str = r"(\d+)\.[A-Za-z]+$"
+    spark: SparkSession, path: str, subject_in_path: str = r"(\d+)\.[A-Za-z]+$", numbered: bool = False
 ) -> DataFrame:
-    """Tab-separated logs, one file (or folder) per subject, whose number is in the path."""
-    number = F.regexp_extract(F.input_file_name(), subject_in_path, 1)
+    """Tab-separated logs, one file (or folder) per subject, whose number is in the path.
+
+    ``numbered`` adds a column ``line``: the row's place in its file, from 0.
+    """
+    number = F.regexp_extract(F.col("_metadata.file_path"), subject_in_path, 1)
     logs = spark.read.schema(FIT_SCHEMA).csv(path, sep="\t", recursiveFileLookup=True)
-    return logs.withColumn("subjectId", F.concat(F.lit("subject"), number))
+    subject = F.concat(F.lit("subject"), number).alias("subjectId")
+    if not numbered:
+        return logs.select("*", subject)
+    return in_file_order(logs, subject)
+
+
+def in_file_order(rows: DataFrame, *more: Column) -> DataFrame:
+    """Rows of text files, all columns and ``more``, with ``file`` and ``line``, the place in the file from 0.
+
+    ``rows`` must come straight from the reader. The rows of a split follow each other in one
+    task, so their running ids give the place in the split; the counts of the earlier splits of
+    the file are added. Rows are written once, so that both steps see the same splits. Only the
+    table of splits is ordered, each file for itself; it is broadcast as far as Spark finds it small.
+    """
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split")]
+    placed = materialise(rows.select("*", *more, *split, F.monotonically_increasing_id().alias("_id")))
+    counts = placed.groupBy("file", "_split").agg(F.count("*").alias("_rows"), F.min("_id").alias("_first"))
+    earlier = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    offset = (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_offset")
+    starts = counts.select("file", "_split", offset)
+    return (
+        placed.join(starts, ["file", "_split"])
+        .withColumn("line", F.col("_id") + F.col("_offset"))
+        .select(*[c for c in placed.columns if c not in ("file", "_split", "_id")], "file", "line")
+    )
 
 
 def read_grid(spark: SparkSession, path: str) -> DataFrame:

@@ -14,7 +14,7 @@ from tideline.functions.times import (
 )
 from tideline.operators.joins import join_trips_fares, pair_by_position
 from tideline.operators.sequence import SEQ, sequence
-from tideline.plans.convert import convert_fit, convert_grid, convert_meters, convert_taxi
+from tideline.plans.convert import convert_fit, convert_fit_logs, convert_grid, convert_meters, convert_taxi
 from tideline.session import scratch_path
 from tideline.sources.files import (
     read_fares,
@@ -280,3 +280,31 @@ def convert_meter_files(spark, sf_dir):
         }
     )
     return parse_pack(convert_meters(meters, 0.5), SYS).select("delay", "source", "dust")
+
+
+@query(
+    "convert_fit_in_file_order",
+    f"""
+    WITH {FIT_SQL},
+    f AS (
+      SELECT *, row_number() OVER (PARTITION BY "subjectId" ORDER BY event_id) - 1 AS line FROM fit
+    )
+    SELECT 'subject' || CAST(CAST(substr("subjectId", 8) AS INTEGER) + 1 AS VARCHAR) AS "subjectId",
+           CAST(floor(line * 2 * 0.5::DOUBLE) AS BIGINT) AS delay,
+           round(acc_chest_x, 6) AS acc_chest_x, CAST(label AS BIGINT) AS label
+    FROM f
+    """,
+)
+def convert_fit_in_file_order(spark, sf_dir):
+    """Each log's lines at their place in the file; every delay and value is compared."""
+    root = scratch_path(spark, "fitness")
+    channels = FIT.field_names[1:-1]
+    line = F.concat_ws("\t", *[F.col(c).cast("string") for c in channels], F.col("label").cast("int"))
+    rows = fit_of(events(spark, sf_dir))
+    out = rows.select((F.substring("subjectId", 8, 2).cast("int") + 1).alias("subject"), "event_id", line.alias("value"))
+    # one file a subject, as the logs come
+    dealt = out.repartition("subject").sortWithinPartitions("subject", "event_id")
+    dealt.select("subject", "value").write.partitionBy("subject").text(root)
+    packs = convert_fit_logs(read_fitness_logs(spark, root, r"subject=(\d+)", numbered=True), 0.5)
+    parsed = parse_pack(packs, FIT)
+    return rounded(parsed.select("subjectId", "delay", "acc_chest_x", F.col("label").cast("bigint").alias("label")), 6)
