@@ -51,16 +51,19 @@ def run(
     time: str,
     registry: Registry,
     keep: Seq[str] = ("msgid", "name", "kind"),
+    batch: str | None = None,
 ) -> DataFrame:
     """Train, store and return the published (message id, model name, kind) rows.
 
+    With ``batch`` a repeated run under that name replaces the models of the first.
+
     The selected history rows feed both trainings, so they are written once.
     """
     rows = materialise(training_rows(requests, history, spec, time))
     regressions = materialise(train_regressions(rows, spec))
     trees = materialise(train_labelled_trees(rows, spec))
-    registry.append(regressions.select("name", "kind", "intercept", "weights"))
+    registry.append(regressions.select("name", "kind", "intercept", "weights"), batch and f"{batch}-{REGRESSION}")
     texts = tree_texts(trees, ["msgid", "name", "kind"], list(spec.training_fields), QUARTILE_LABELS)
     tree_models = materialise(texts)
-    registry.append(tree_models.select("name", "kind", "model"))
+    registry.append(tree_models.select("name", "kind", "model"), batch and f"{batch}-{TREE}")
     return regressions.select(*keep).unionByName(tree_models.select(*keep))

@@ -1,4 +1,4 @@
-"""Model registry: an append-only table of named model versions.
+"""Model registry: a table of named model versions, one partition per batch that stored some.
 
 Regression coefficients are stored in the row, trees as text in ``model``, MLlib pipelines
 by the path they were saved under; the folder is reached through Spark's file systems.
@@ -6,6 +6,7 @@ by the path they were saved under; the folder is reached through Spark's file sy
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -45,17 +46,27 @@ class Registry:
     def table(self) -> str:
         return f"{self.root}/models"
 
-    def append(self, models: DataFrame) -> None:
-        """Add rows; missing columns are null, the time is now where none is given."""
+    def append(self, models: DataFrame, batch: str | None = None) -> None:
+        """Add rows; missing columns are null, the time is now where none is given.
+
+        Rows given under a ``batch`` replace those stored under it, so a micro-batch that a
+        restarted stream runs again stores nothing twice; a batch without rows replaces nothing.
+        """
         if "created_at" not in models.columns:
             models = models.withColumn("created_at", F.unix_micros(F.current_timestamp()))
         spark = models.sparkSession
         empty = spark.createDataFrame([], SCHEMA)
-        rows = empty.unionByName(models, allowMissingColumns=True)
-        rows.select(*empty.columns).write.mode("append").parquet(self.table)
+        rows = empty.unionByName(models, allowMissingColumns=True).select(*empty.columns)
+        (
+            rows.withColumn("batch", F.lit(batch or uuid.uuid4().hex))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch")
+            .parquet(self.table)
+        )
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(SCHEMA).parquet(self.table)
+        return spark.read.schema(f"{SCHEMA}, batch string").parquet(self.table).drop("batch")
 
     def latest(self, spark: SparkSession) -> DataFrame:
         return latest_models(self.read(spark))

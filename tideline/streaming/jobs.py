@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence as Seq
 
 from pyspark.sql import DataFrame, SparkSession
@@ -124,12 +125,16 @@ def train_stream(
     sink: Batch,
     checkpoint: str,
 ) -> StreamingQuery:
-    """Train for every request message; the sink gets (msgid, name, kind) batches."""
+    """Train for every request message; the sink gets (msgid, name, kind) batches.
+
+    Models are stored under the stream (its checkpoint) and batch, once if a batch is repeated.
+    """
     requests = training_requests(message_ids(messages))
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def train(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            sink(run_training(batch, history, spec, time, registry), batch_id)
+            sink(run_training(batch, history, spec, time, registry, batch=f"{stream}-{batch_id}"), batch_id)
 
     return (
         requests.writeStream.foreachBatch(train)

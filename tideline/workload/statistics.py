@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.functions.senml import parse_pack
-from tideline.operators.blocks import block_stats, latest_block_mean, observations
+from tideline.operators.blocks import block_sketches, block_stats, latest_block_mean, observations, united_distinct
 from tideline.operators.kalman import kalman, kalman_sequenced
 from tideline.operators.regression import PREDICTIONS, horizon_mean, sliding_regression
 from tideline.operators.sequence import SEQ, sequence
@@ -176,6 +176,23 @@ def approximate_distinct(spark, sf_dir):
     )
 
 
+@query(
+    "distinct_sketches",
+    """
+    SELECT event_type, (count(*) + 999) // 1000 AS blocks, TRUE AS within, count(*) AS rows FROM events GROUP BY event_type
+    """,
+)
+def distinct_sketches(spark, sf_dir):
+    """Sketches per block of 1000 events, united per type: within three standard errors of the exact count."""
+    rows = table(spark, sf_dir, "events")
+    stored = block_sketches(rows, ["event_type"], EVENT_ORDER, "user_id", 1024, 1000)
+    sizes = stored.groupBy("event_type").agg(F.count(F.lit(1)).alias("blocks"), F.sum("rows").alias("rows"))
+    exact = rows.groupBy("event_type").agg(F.count_distinct("user_id").alias("exact"))
+    both = united_distinct(stored, ["event_type"]).join(exact, "event_type").join(sizes, "event_type")
+    error = F.abs(F.col("distinct_values") - F.col("exact")) / F.col("exact")
+    return both.select("event_type", "blocks", (error <= 3 * 1.04 / 32).alias("within"), "rows")
+
+
 # The filter as a step-by-step recursion.
 KALMAN_SQL = f"""
 {NUMBERED},
