@@ -265,3 +265,32 @@ def test_repeated_items_count_once(spark, odd, monkeypatch):
     bench = spark.createDataFrame([(1, "beta gamma"), (2, "second line")] * 200, "item_id long, text string")
     found = {r.row.doc_id: r["items"] for r in find_leaks(odd, bench).collect()}
     assert found[1] == ["1", "2"] and sizes == [2]
+
+
+def test_pieces_of_words_of_many_lengths_together(monkeypatch):
+    import sentencepiece
+
+    from tideline.llm import sentence_pieces
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    monkeypatch.setattr(sentence_pieces, "PAIR_BITS", 3)  # pairs take each other's places
+    viterbi = sentence_pieces.Viterbi(sentence_pieces.read_model(MODEL))
+    calls, segment = [], viterbi.segment
+    viterbi.segment = lambda words: calls.append(len(words)) or segment(words)
+    texts = ["a bb the international counterrevolutionaries жж\n", "x" * 63 + " " + "y" * 64 + " " + "zé" * 40, "lower lowest low  " * 9]
+    got = sentence_pieces.encode_texts(texts, viterbi)
+    assert [memoryview(x).cast("i").tolist() for x in got] == [library.encode(t) for t in texts]
+    # one matrix for all words of up to LONG_WORD characters, where each length had its own
+    assert max(calls) >= 10
+
+
+def test_joined_pairs_of_one_place():
+    import numpy as np
+
+    from tideline.llm import sentence_pieces
+
+    viterbi = sentence_pieces.Viterbi(sentence_pieces.read_model(MODEL))
+    rows = np.random.default_rng(3).integers(0, len(viterbi.keys), (2, 4000))
+    want = viterbi._stay_apart(*rows)
+    for _ in range(2):
+        assert (viterbi._admitted(*rows) == want).all()

@@ -1,15 +1,16 @@
 """SentencePiece encoding and decoding by a batched Viterbi search in numpy.
 
-A text is cut into words where no piece can cross (before a run of word marks). Words of
-equal length form a matrix and advance together, character by character: the hashes of all
-substrings that end there are probed in the sorted hashes of the pieces, and a vectorised
-maximum keeps the best score of a path and the piece that reached it.
+A text is cut into words where no piece can cross (before a run of word marks). Words form
+a matrix, the longest first, and advance together, character by character, until they end: the
+hashes of all substrings that end there are probed in the sorted hashes of the pieces, and a
+vectorised maximum keeps the best score of a path and the piece that reached it.
 
 The files hold byte-pair pieces, whose encoding is defined by merges and not by a sum of
 scores. So a step of a path is admitted only where the merges would leave its two pieces
 side by side: going down the right edge of the left piece's merge tree and the left edge of
 the right one's, no two parts that exist at the same time merge with each other first. One
-path through every prefix is left, and it is the library's encoding.
+path through every prefix is left, and it is the library's encoding. What was found for a
+pair of pieces is kept in a table of PAIR_BITS, in which a later pair takes an earlier one's place.
 
 A character that no piece covers becomes its bytes. Encodings of words are kept in a bounded
 table per Python worker.
@@ -30,9 +31,9 @@ from tideline.llm.words import mix
 
 MARK = "▁"
 #: Words whose ids a Python worker keeps.
-KEPT_WORDS = 1 << 17
+KEPT_WORDS = 1 << 18
 #: Characters of texts whose new words are encoded together.
-MATRIX_CHARS = 1 << 18
+MATRIX_CHARS = 1 << 19
 #: Bytes of texts that a worker turns into Python strings at a time (or one text).
 TEXT_BYTES = 1 << 20
 #: Longer words are cut where no piece has the two characters side by side.
@@ -40,6 +41,7 @@ LONG_WORD = 64
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 20
+PAIR_BITS = 20
 
 
 def read_model(path: str) -> dict:
@@ -110,11 +112,17 @@ class Viterbi:
         self.maybe[(mix(self.keys) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
         self.side_by_side = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         self.known: dict[str, bytes] = {}
+        # pairs of pieces, and whether they stay apart
+        self.pairs = np.full(1 << PAIR_BITS, -1)
+        self.apart = np.zeros(1 << PAIR_BITS, bool)
 
     @staticmethod
-    def _codes(words: list[str], length: int) -> np.ndarray:
-        raw = "".join(words).encode("utf-32-le", "surrogatepass")
-        return np.frombuffer(raw, np.uint32).reshape(-1, length).astype(np.uint64)
+    def _flat(words: list[str]) -> np.ndarray:
+        return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+    @classmethod
+    def _codes(cls, words: list[str], length: int) -> np.ndarray:
+        return cls._flat(words).reshape(-1, length)
 
     def _hashes(self, pieces: list[str]) -> np.ndarray:
         out = np.zeros(len(pieces), np.uint64)
@@ -152,38 +160,58 @@ class Viterbi:
             a, b = np.where(down, self.right[a], a), np.where(down, b, self.left[b])
         return apart
 
+    def _admitted(self, before: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether merges leave the pieces ``before`` and ``at`` side by side."""
+        both = before * len(self.keys) + at
+        slot = (mix(both.astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        apart = self.apart[slot]
+        new = np.flatnonzero(self.pairs[slot] != both)
+        if len(new):
+            pairs, back = np.unique(both[new], return_inverse=True)
+            found = self._stay_apart(pairs // len(self.keys), pairs % len(self.keys))
+            apart[new] = found[back]
+            slot = (mix(pairs.astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+            # of several pairs of one place the same one must write both
+            slot, first = np.unique(slot, return_index=True)
+            self.pairs[slot], self.apart[slot] = pairs[first], found[first]
+        return apart
+
     def segment(self, words: list[str]) -> list[bytes]:
-        """Ids (32-bit, little-endian) of equally long words."""
-        length, n = len(words[0]), len(words)
-        codes = mix(self._codes(words, length) + np.uint64(1))
+        """Ids (32-bit, little-endian) of words, the longest first."""
+        lengths = np.array([len(w) for w in words])
+        length, n = int(lengths[0]), len(words)
+        codes = np.zeros((length, n), np.uint64)
+        codes.T[np.arange(length) < lengths[:, None]] = mix(self._flat(words) + np.uint64(1))
+        # words with a character at j
+        open_ = n - np.searchsorted(lengths[::-1], np.arange(length + 1))
         prefix = np.zeros((length + 1, n), np.uint64)
         best = np.full((length + 1, n), -np.inf)
         best[0] = 0
-        piece = np.full((length + 1, n), -1)
-        size = np.ones((length + 1, n), np.int64)
+        piece = np.full((length + 1, n), -1, np.int32)
+        size = np.ones((length + 1, n), np.int32)
         for j in range(1, length + 1):
-            prefix[j] = prefix[j - 1] * _BASE + codes[:, j - 1]
+            m = int(open_[j])
+            prefix[j, :m] = prefix[j - 1, :m] * _BASE + codes[j - 1, :m]
             most = min(j, self.longest)
-            keys = prefix[j] - prefix[j - most : j][::-1] * self.power[1 : most + 1, None]
+            keys = prefix[j, :m] - prefix[j - most : j, :m][::-1] * self.power[1 : most + 1, None]
             flat, at = self._probe(keys.reshape(-1))
-            k, row = flat // n + 1, flat % n
-            before = piece[j - k, row]
+            k, row = flat // m + 1, flat % m
+            before = piece[j - k, row].astype(np.int64)
             admitted = self.whole[at]
             pairs = np.flatnonzero(admitted & (before >= 0))  # none before: a word's start or a character without a piece
-            both, back = np.unique(before[pairs] * len(self.keys) + at[pairs], return_inverse=True)
-            admitted[pairs] = self._stay_apart(both // len(self.keys), both % len(self.keys))[back]
+            admitted[pairs] = self._admitted(before[pairs], at[pairs])
             k, row, at = k[admitted], row[admitted], at[admitted]
             score = best[j - k, row] + self.scores[at]
             order = np.argsort(score, kind="stable")  # of several the last written, the greatest, stays
             k, row, at = k[order], row[order], at[order]
-            best[j] = best[j - 1]
+            best[j, :m] = best[j - 1, :m]
             best[j, row], piece[j, row], size[j, row] = score[order], at, k
-        return self._trace(words, piece, size)
+        return self._trace(words, lengths, piece, size)
 
-    def _trace(self, words: list[str], piece: np.ndarray, size: np.ndarray) -> list[bytes]:
+    def _trace(self, words: list[str], lengths: np.ndarray, piece: np.ndarray, size: np.ndarray) -> list[bytes]:
         """Follow all words' backpointers together; pieces come out from the end."""
-        length, n = len(piece) - 1, len(words)
-        at = np.full(n, length)
+        n = len(words)
+        at = lengths.copy()
         found_word, found_end, found_id = [], [], []
         open_ = np.arange(n)
         while len(open_):
@@ -217,28 +245,25 @@ class Viterbi:
         return [word[a:b] for a, b in zip([0, *ends], [*ends, len(word)], strict=True)]
 
     def learn(self, words: set[str]) -> None:
-        """Segment the words that are not known yet, those of one length together."""
+        """Segment the words that are not known yet, at most MATRIX_CHARS places together."""
         if len(self.known) + len(words) > KEPT_WORDS:
             self.known.clear()
-        by_length: dict[int, list[str]] = {}
-        for w in words:
-            if w not in self.known:
-                by_length.setdefault(len(w), []).append(w)
-        for length in sorted(by_length):
-            if length > LONG_WORD:
-                for w in by_length[length]:
-                    parts = self._cut(w)
-                    if len(parts) == 1:
-                        self.known[w] = self.segment([w])[0]
-                    else:
-                        self.learn({p for p in parts if len(p) <= LONG_WORD})
-                        self.known[w] = b"".join([self.known.get(p) or self.segment([p])[0] for p in parts])
-                continue
-            some = by_length[length]
-            step = max(1, MATRIX_CHARS // length)
-            for i in range(0, len(some), step):
-                part = some[i : i + step]
-                self.known.update(zip(part, self.segment(part), strict=True))
+        new = sorted(words - self.known.keys(), key=len, reverse=True)
+        long = 0
+        while long < len(new) and len(new[long]) > LONG_WORD:
+            long += 1
+        for w in new[:long]:
+            parts = self._cut(w)
+            if len(parts) == 1:
+                self.known[w] = self.segment([w])[0]
+            else:
+                self.learn({p for p in parts if len(p) <= LONG_WORD})
+                self.known[w] = b"".join([self.known.get(p) or self.segment([p])[0] for p in parts])
+        i = long
+        while i < len(new):
+            part = new[i : i + max(1, MATRIX_CHARS // len(new[i]))]
+            self.known.update(zip(part, self.segment(part), strict=True))
+            i += len(part)
 
 
 _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
@@ -266,7 +291,7 @@ def encode_texts(texts: list[str | None], viterbi: Viterbi) -> list[bytes]:
         held.append(_words(text))
         chars += len(text or "")
         if chars >= MATRIX_CHARS or i == len(texts) - 1:
-            viterbi.learn({w for words in held for w in words})
+            viterbi.learn(set().union(*held))
             out += [_joined(words, viterbi) for words in held]
             held, chars = [], 0
     return out
@@ -274,7 +299,7 @@ def encode_texts(texts: list[str | None], viterbi: Viterbi) -> list[bytes]:
 
 def _joined(words: list[str], viterbi: Viterbi) -> bytes:
     try:
-        return b"".join([viterbi.known[w] for w in words])
+        return b"".join(map(viterbi.known.__getitem__, words))
     except KeyError:  # forgotten while the same texts were learned
         for i in range(0, len(words), KEPT_WORDS // 2):
             viterbi.learn(set(words[i : i + KEPT_WORDS // 2]))
