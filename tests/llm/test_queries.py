@@ -294,3 +294,22 @@ def test_joined_pairs_of_one_place():
     want = viterbi._stay_apart(*rows)
     for _ in range(2):
         assert (viterbi._admitted(*rows) == want).all()
+
+
+def test_only_wanted_texts_are_sent(spark):
+    from tideline.llm.ngram_join import _texts_of
+
+    docs = spark.range(4000).selectExpr("if(id % 7 = 0, null, id) AS doc_id", "concat('text ', id) AS text")
+    wanted = docs.where("doc_id % 40 = 1").selectExpr("doc_id AS node", "doc_id AS doc", "cast(text AS binary) AS digest")
+    got = sorted((r.doc, r._text) for r in _texts_of(docs, wanted).collect())
+    assert got == sorted((r.doc, bytes(r.digest).decode()) for r in wanted.collect())
+
+
+def test_table_of_wanted_documents_excludes_most_others(spark):
+    from tideline.llm import ngram_join
+
+    hashes = spark.range(2000).selectExpr("xxhash64(id) AS hash")
+    table = spark.sparkContext.broadcast(ngram_join._wanted_table(hashes))
+    rows = spark.range(20000).selectExpr("id AS doc", "'t' AS _text", "xxhash64(id) AS hash")
+    kept = {r.doc for r in rows.mapInArrow(ngram_join._perhaps_wanted(table), "doc long, _text string").collect()}
+    assert kept >= set(range(2000)) and len(kept) < 4000

@@ -7,6 +7,8 @@
 2. Two linked sets have a number of their first n-grams in common that follows from their
    sizes. A class that shares fewer of them with all other classes together links with
    nothing and takes no further part.
+   A bit table of the documents that stand for the others tells nearly all other rows apart
+   before their texts are sent.
 3. The classes left are grouped by the n-grams they share: each joins the smallest class
    that holds enough of its first n-grams. Each group's sets go into a prefix tree.
 4. A class that shares enough n-grams with classes outside its group, first of its first ones
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.components import components
 from tideline.llm.words import NOT_BLANK, mix, pieces, rolling
-from tideline.session import Scratch, materialise
+from tideline.session import Scratch, discard, materialise
 
 BASE = 0x2545F4914F6CDD1D
 #: Per hundred n-grams, how many more than the shortest sufficient prefix are compared.
@@ -47,6 +49,8 @@ COMMON = 4
 COUNTED = 1 << 22
 #: n-gram bytes of one task of the tree join.
 BLOCK_BYTES = 16 << 20
+#: Bits of the table of wanted documents, for each of them and at most (a power of two).
+WANTED_BITS, WANTED_MOST = 8, 1 << 28
 #: Bytes of the table (n-gram, set) that the tree's walk looks overlaps up in.
 TABLE_BYTES = 32 << 20
 
@@ -176,6 +180,44 @@ def _whole_sets(n: int):
     return run
 
 
+def _wanted_table(hashes: DataFrame) -> np.ndarray:
+    """Two bits for each 64-bit ``hash``, in words of 64; the more hashes beyond the most, the more others pass."""
+    bits = 64
+    while bits < min(WANTED_MOST, WANTED_BITS * hashes.count()):
+        bits *= 2
+    each = hashes.select(F.explode(F.array(F.col("hash"), F.shiftrightunsigned("hash", 32))).alias("hash"))
+    each = each.select(F.col("hash").bitwiseAND(F.lit(bits - 1)).alias("bit"))
+    words = each.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("set"))
+    found = words.toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[found["word"].to_numpy()] = found["set"].to_numpy()
+    return table.view(np.uint64)
+
+
+def _perhaps_wanted(shared):
+    """Rows (doc, _text, hash) that the table does not exclude, without the hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        most = np.uint64(len(table) * 64 - 1)
+        for batch in batches:
+            hashes = batch.column(2).to_numpy().view(np.uint64)
+            stay = np.ones(len(hashes), bool)
+            for at in (hashes & most, hashes >> np.uint64(32) & most):
+                stay &= (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+            yield batch.select([0, 1]).filter(pa.array(stay))
+
+    return run
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, _text, node, digest) of the rows of ``wanted`` (node, doc, digest); other texts are hardly sent."""
+    table = docs.sparkSession.sparkContext.broadcast(_wanted_table(wanted.select(F.xxhash64("doc").alias("hash"))))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").alias("_text")).where("doc IS NOT NULL")
+    some = texts.withColumn("hash", F.xxhash64("doc")).mapInArrow(_perhaps_wanted(table), "doc long, _text string")
+    return some.join(wanted, "doc")
+
+
 def _all_grams(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,16 +363,15 @@ def _enough(postings: DataFrame) -> DataFrame:
     return counts.where("shared >= need").select("node")
 
 
-def _links(docs: DataFrame, base: DataFrame, classes: DataFrame, n: int, threshold: int, shared) -> DataFrame:
-    heads = base.join(classes.select("node", F.col("rep").alias("doc")), ["node", "doc"], "left_semi")
+def _links(docs: DataFrame, sent: DataFrame, classes: DataFrame, n: int, threshold: int, shared) -> DataFrame:
+    """Links of the classes; the table ``sent`` is deleted once its first n-grams are read."""
+    heads = sent.join(classes.select("node", F.col("rep").alias("doc")), ["node", "doc"], "left_semi")
     postings = heads.select("node", "need", F.explode("head").alias("gram"))
     postings = materialise(postings.join(_spans(postings, "node"), "gram"))
     near = materialise(_enough(postings))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").alias("_text"))
-    wanted = heads.join(near, "node", "left_semi").select("node", "doc", "digest").distinct()
-    sets = materialise(
-        texts.join(wanted, "doc").select("node", "_text", "digest").mapInArrow(_whole_sets(n), "node long, n long, grams binary")
-    )
+    wanted = materialise(heads.join(near, "node", "left_semi").select("node", "doc", "digest").distinct())
+    discard(sent)
+    sets = materialise(_texts_of(docs, wanted).select("node", "_text", "digest").mapInArrow(_whole_sets(n), "node long, n long, grams binary"))
     postings = postings.join(near, "node", "left_semi")
     strong = postings.groupBy("node", "center").agg(F.count("*").alias("shared"), F.max("need").alias("need"))
     strong = strong.where("2 * shared >= need").select(F.col("node").alias("a"), F.col("center").alias("b"))
@@ -361,14 +402,15 @@ def near_duplicates(docs: DataFrame, n: int = 3, threshold: int = 90) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(_steps(docs, n))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").alias("_text"))
     sent = rows.mapInArrow(_sets(n, threshold, shared), "doc long, n long, digest binary, need int, head array<long>")
-    base = materialise(sent.withColumn("node", F.when(F.col("doc").isNotNull() & (F.col("n") > 0), F.xxhash64("digest"))))
+    sent = materialise(sent.withColumn("node", F.when(F.col("doc").isNotNull() & (F.col("n") > 0), F.xxhash64("digest"))))
+    base = materialise(sent.select("doc", "n", "node"))
     full = base.where("node IS NOT NULL")
     classes = materialise(full.groupBy("node").agg(F.min("doc").alias("rep")))
     # one doc_id with several texts joins the classes of these texts
     several = full.groupBy("doc").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last")
     bridges = full.join(several, "doc").select(F.col("node").alias("a"), "b")
     with Scratch() as scratch:
-        links = _links(docs, full, classes, n, threshold, shared)
+        links = _links(docs, sent.where("node IS NOT NULL"), classes, n, threshold, shared)
         found = scratch.keep(components(links.union(bridges)))
     parts = classes.join(found, "node", "left").withColumn("part", F.coalesce("component", "node"))
     least = parts.groupBy("part").agg(F.min("rep").alias("label"))
