@@ -296,6 +296,25 @@ def test_joined_pairs_of_one_place():
         assert (viterbi._admitted(*rows) == want).all()
 
 
+def test_sequences_are_written_to_disk_once_on_their_way(spark, documents, tmp_path, monkeypatch):
+    from tideline.llm import training_order
+
+    tables, materialise = [], training_order.materialise
+    monkeypatch.setattr(training_order, "materialise", lambda df: tables.append(df.columns) or materialise(df))
+    ranks = read_ranks(workload.tokenizer("byte_bpe_50k.tiktoken"), workload.SPLIT_PATTERN)
+    layout, written = write_training_order(documents, str(tmp_path / "s"), ranks, 50256, b"k", length=64, shard_bytes=1 << 13)
+    assert all("tokens" not in columns for columns in tables)
+    rows = sorted(written.collect(), key=lambda r: r.slot)
+    slots = list(read_slots(str(tmp_path / "s"), 0, layout.sequences))
+    assert len({r.shard for r in rows}) > 5 and len(slots) == len(rows)
+    import zlib
+
+    for r, slot in zip(rows, slots, strict=True):
+        assert zlib.crc32(slot.tobytes()) == r.crc
+        assert r.slot == layout.first_slots[r.shard] + r.byte_offset // layout.stride
+    assert len({(r.doc_id, r.seq_no) for r in rows}) == len(rows)
+
+
 def test_only_wanted_texts_are_sent(spark):
     from tideline.llm.ngram_join import _texts_of
 

@@ -1,12 +1,13 @@
 """Training-order materialisation: sequences of token ids in shards of fixed stride.
 
 Every document's tokens, closed by an end-of-text token, are cut into sequences of
-``length`` tokens. One pass encodes the texts and writes the sequences with their task and
-number in it, so numbers do not depend on how a later pass splits files. The counts per task
-make them global, and a second pass sends each to the slot that a keyed Feistel permutation
-gives its number; numbers beyond the last slot walk on along their cycle. Ranges of slots are shards: a task sorts its shard and writes it as one file, in
-which a slot stands at (slot - first slot) * stride. Readers go through slots in order and
-can start at any of them.
+``length`` tokens. One pass encodes the texts, numbers the sequences by task and place in it,
+and sends each to the place that a keyed Feistel permutation of PLACES gives its number. Equal
+ranges of places are shards: a task sorts its shard and writes it as one file. A slot is the
+rank of its place among those taken, so slots are contiguous, and how many a place has before
+it follows from the counts of the shards, once they are written. A slot stands at
+(slot - first slot of the shard) * stride. Readers go through slots in order and can start at
+any of them. Tokens are on disk twice, on their way and in their shards.
 
 A shard is written under another name and then renamed, and its bytes depend on the input
 and key only, so a task that runs again after a lost executor writes the same file.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 from hashlib import blake2b
@@ -32,6 +34,8 @@ from tideline.llm.words import mix
 from tideline.session import materialise
 
 ROUNDS = 6
+#: Numbers and places of sequences: a task's number below 2**22, the place in it below 2**40.
+PLACES, IN_TASK = 1 << 62, 1 << 40
 SHARD_BYTES = 64 << 20
 
 
@@ -75,8 +79,9 @@ class Layout:
     sequences: int
     length: int
     token_bytes: int
-    slots_per_shard: int
     end_of_text: int
+    #: First slot of each shard, and the number of slots.
+    first_slots: list[int]
 
     @property
     def stride(self) -> int:
@@ -120,11 +125,17 @@ def read_ranks(path: str, pattern: str) -> dict:
         return {"pattern": pattern, "ranks": {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}}
 
 
-def _cut(shared, stride: int, end_of_text: int, dtype: str, id_type: pa.DataType):
-    """doc_id, text -> sequences with their task (part) and number in it."""
+def _shard(places: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each place: shards are ranges of places, each as long as the others but the last."""
+    return (places // -(-PLACES // shards)).astype(np.int32)
+
+
+def _cut(shared, stride: int, end_of_text: int, dtype: str, id_type: pa.DataType, key: bytes, shards: int):
+    """doc_id, text -> sequences with their shard and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(shared.value).ids
+        order = Feistel(PLACES, key)
         end = np.array([end_of_text], dtype).tobytes()
         part, done = TaskContext.get().partitionId(), 0
         for batch in chain.from_iterable((w.slice(lo, 500) for lo in range(0, w.num_rows, 500)) for w in batches):
@@ -140,37 +151,26 @@ def _cut(shared, stride: int, end_of_text: int, dtype: str, id_type: pa.DataType
                     sizes.append(len(piece) // len(end))
                     tokens.append(piece)
             if ids:
-                numbers = np.arange(done, done + len(ids))
+                numbers = part * IN_TASK + np.arange(done, done + len(ids))
                 done += len(ids)
+                if part * IN_TASK >= PLACES or done > IN_TASK:
+                    raise ValueError(f"no number for sequence {done} of task {part}")
+                at = order.slot(numbers)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(ids), part, np.int32)),
-                        pa.array(numbers),
+                        pa.array(_shard(at, shards)),
+                        pa.array(at),
                         pa.array(ids, id_type),
                         pa.array(places, pa.int64()),
                         pa.array(sizes, pa.int64()),
                         pa.array(tokens, pa.binary()),
                     ],
-                    names=["part", "number", "doc_id", "seq_no", "n_tokens", "tokens"],
+                    names=["shard", "place", "doc_id", "seq_no", "n_tokens", "tokens"],
                 )
 
     return run
 
 
-def _sent(offsets, layout: Layout, key: bytes):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Feistel(layout.sequences, key)
-        for batch in batches:
-            first = np.array([offsets.value[p] for p in batch.column("part").to_pylist()], np.int64)
-            slots = order.slot((first + batch.column("number").to_numpy()).astype(np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((slots // layout.slots_per_shard).astype(np.int32)), pa.array(slots), *batch.columns[2:]],
-                names=["shard", "slot", "doc_id", "seq_no", "n_tokens", "tokens"],
-            )
-
-    return run
-
-
 def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
 
@@ -180,36 +180,33 @@ def shard_name(shard: int) -> str:
 
 
 def _write(path: str, layout: Layout, id_type: pa.DataType):
-    names = ["doc_id", "seq_no", "slot", "shard", "byte_offset", "n_tokens", "crc"]
-    types = [id_type, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["doc_id", "seq_no", "shard", "byte_offset", "n_tokens", "crc"]
+    types = [id_type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _open(path)
-        now, out, part, due = None, None, "", 0
+        now, out, part, last, offset = None, None, "", -1, 0
 
         def close() -> None:
             if out is not None:
                 out.close()
-                if due != min(layout.sequences, (now + 1) * layout.slots_per_shard):
-                    raise ValueError(f"shard {now} ends before slot {due}")
                 store.move(part, f"{root}/{shard_name(now)}")
 
         for batch in batches:
             rows = []
-            for shard, slot, doc, place, size, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, place, doc, seq, size, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if shard != now:
                     close()
-                    now = shard
+                    now, offset = shard, 0
                     part = f"{root}/.{shard_name(shard)}.{np.random.default_rng().integers(1 << 62):x}"
                     out = store.open_output_stream(part)
-                    due = shard * layout.slots_per_shard
-                if slot != due:
-                    raise ValueError(f"slot {slot} of shard {shard} where {due} is due")
-                due += 1
+                if place <= last:
+                    raise ValueError(f"place {place} of shard {shard} after {last}")
+                last = place
                 raw += np.full(layout.length - size, layout.end_of_text, layout.dtype).tobytes()
                 out.write(raw)
-                first = shard * layout.slots_per_shard
-                rows.append((doc, place, slot, shard, (slot - first) * layout.stride, size, zlib.crc32(raw)))
+                rows.append((doc, seq, shard, offset, size, zlib.crc32(raw)))
+                offset += layout.stride
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
         close()
@@ -223,44 +220,41 @@ def write_training_order(
     """Write the shards of ``docs`` below ``path``; returns the layout and one row per sequence.
 
     The rows are doc_id, seq_no (place in the document), slot, shard, byte_offset in the
-    shard's file, n_tokens without the filling, and crc (crc32 of the slot's bytes). The
-    shards are written when the rows are read. A null or empty text has no sequence; a null
-    doc_id and repeated rows are written like others; an empty table writes no shard.
-    ``docs`` is read once, and the sequences are written to the shared folder. Writing fails
-    when a shard's slots are not contiguous.
+    shard's file, n_tokens without the filling, and crc (crc32 of the slot's bytes); they are
+    written to the shared folder. A null or empty text has no sequence; a null doc_id and
+    repeated rows are written like others; an empty table writes no shard. The texts' bytes
+    bound the number of sequences, so that shards have ``shard_bytes`` or fewer on average.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ranks)
     token_bytes = 2 if max(end_of_text, len(ranks["ranks"])) < 1 << 16 else 4
-    layout = Layout(0, length, token_bytes, max(1, shard_bytes // (length * token_bytes)), end_of_text)
+    layout = Layout(0, length, token_bytes, end_of_text, [0])
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_type = docs.select("doc_id").limit(0).toArrow().schema.field(0).type
+    # a token has a byte at least
+    bound = docs.agg(F.sum(F.ceil((F.octet_length("text") + 1) / F.lit(length)))).first()[0] or 0
+    shards = max(1, -(-int(bound) * layout.stride // max(layout.stride, shard_bytes)))
     cut = docs.select("doc_id", "text").mapInArrow(
-        _cut(shared, layout.stride, end_of_text, layout.dtype, id_type),
-        f"part int, number long, doc_id {kind}, seq_no long, n_tokens long, tokens binary",
+        _cut(shared, layout.stride, end_of_text, layout.dtype, id_type, key, shards),
+        f"shard int, place long, doc_id {kind}, seq_no long, n_tokens long, tokens binary",
     )
-    rows = materialise(cut)
-    # one number per task of the first pass: 24 bytes or so for each 128 MB of input
-    parts = sorted((r.part, r.n) for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect())
-    offsets, total = {}, 0
-    for part, n in parts:
-        offsets[part], total = total, total + n
-    layout.sequences = total
     store, root = _open(path)
     store.create_dir(root, recursive=True)
+    dealt = cut.repartition(shards, "shard").sortWithinPartitions("shard", "place")
+    written = materialise(
+        dealt.mapInArrow(_write(path, layout, id_type), f"doc_id {kind}, seq_no long, shard int, byte_offset long, n_tokens long, crc long")
+    )
+    # one number per shard
+    counts = {r.shard: r.n for r in written.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    for shard in range(shards):
+        layout.first_slots.append(layout.first_slots[-1] + counts.get(shard, 0))
+    layout.sequences = layout.first_slots[-1]
     with store.open_output_stream(f"{root}/layout.json") as f:
         f.write(json.dumps(asdict(layout)).encode())
-    sent = rows.mapInArrow(
-        _sent(spark.sparkContext.broadcast(offsets), layout, key),
-        f"shard int, slot long, doc_id {kind}, seq_no long, n_tokens long, tokens binary",
-    )
-    shards = max(1, -(-total // layout.slots_per_shard))
-    dealt = sent.repartition(shards, "shard").sortWithinPartitions("shard", "slot")
-    written = dealt.mapInArrow(
-        _write(path, layout, id_type),
-        f"doc_id {kind}, seq_no long, slot long, shard int, byte_offset long, n_tokens long, crc long",
-    )
-    return layout, written
+    first = spark.createDataFrame([(k, layout.first_slots[k]) for k in sorted(counts)], "shard int, first long")
+    rows = written.join(F.broadcast(first), "shard")
+    slot = F.col("first") + F.expr(f"byte_offset div {layout.stride}")
+    return layout, rows.select("doc_id", "seq_no", slot.alias("slot"), "shard", "byte_offset", "n_tokens", "crc")
 
 
 def read_slots(path: str, first: int, count: int) -> Iterator[np.ndarray]:
@@ -270,9 +264,10 @@ def read_slots(path: str, first: int, count: int) -> Iterator[np.ndarray]:
         layout = Layout(**json.loads(f.read()))
     slot, end = first, min(layout.sequences, first + count)
     while slot < end:
-        shard, at = divmod(slot, layout.slots_per_shard)
+        shard = bisect_right(layout.first_slots, slot) - 1
+        at = slot - layout.first_slots[shard]
         with store.open_input_file(f"{root}/{shard_name(shard)}") as f:
             f.seek(at * layout.stride)
-            for _ in range(min(end - slot, layout.slots_per_shard - at)):
+            for _ in range(min(end, layout.first_slots[shard + 1]) - slot):
                 yield np.frombuffer(f.read(layout.stride), layout.dtype)
                 slot += 1
