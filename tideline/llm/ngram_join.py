@@ -41,7 +41,7 @@ from tideline.session import Scratch, discard, materialise
 
 BASE = 0x2545F4914F6CDD1D
 #: Per hundred n-grams, how many more than the shortest sufficient prefix are compared.
-EXTRA = 5
+EXTRA = 10
 CELL_BITS = 20
 #: Times the mean count from which a cell is common.
 COMMON = 4
@@ -171,10 +171,9 @@ def _whole_sets(n: int):
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).slice(first, end - first).take(pa.array(rows)),
-                            pa.array([at[i + 1] - at[i] for i in rows], pa.int64()),
                             pa.array([grams[at[i] : at[i + 1]].tobytes() for i in rows], pa.binary()),
                         ],
-                        names=["node", "n", "grams"],
+                        names=["row", "grams"],
                     )
 
     return run
@@ -211,18 +210,21 @@ def _perhaps_wanted(shared):
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, _text, node, digest) of the rows of ``wanted`` (node, doc, digest); other texts are hardly sent."""
+    """``wanted`` (doc and others) with the texts as _text; other texts are hardly sent."""
     table = docs.sparkSession.sparkContext.broadcast(_wanted_table(wanted.select(F.xxhash64("doc").alias("hash"))))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").alias("_text")).where("doc IS NOT NULL")
     some = texts.withColumn("hash", F.xxhash64("doc")).mapInArrow(_perhaps_wanted(table), "doc long, _text string")
-    return some.join(wanted, "doc")
+    # a sort-merge join of any size: what follows in Python then has a stage, and workers, of its own
+    return some.join(wanted.hint("merge"), "doc")
 
 
-def _all_grams(threshold: int):
+def _all_grams(n: int, threshold: int):
+    """The n-grams of whole sets, made and dealt out by one worker."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes = batch.column("node").to_numpy()
-            grams = [np.frombuffer(g, np.int64) for g in batch.column("grams").to_pylist()]
+        for batch in _whole_sets(n)(batches):
+            nodes = batch.column(0).to_numpy()
+            grams = [np.frombuffer(g, np.int64) for g in batch.column(1).to_pylist()]
             sizes = np.array([len(g) for g in grams], np.int64)
             needs = -(-threshold * sizes // 100)
             yield pa.RecordBatch.from_arrays(
@@ -330,31 +332,44 @@ def _join_blocks(threshold: int, shared):
     return run
 
 
-def _tree_join(sets: DataFrame, edges: DataFrame, threshold: int, shared) -> tuple[DataFrame, DataFrame]:
-    """(links within the components of ``edges``, the components as node, part)."""
+def _tree_join(docs: DataFrame, wanted: DataFrame, edges: DataFrame, n: int, threshold: int, shared) -> tuple[DataFrame, DataFrame]:
+    """(links within the components of ``edges``, the components as node, part).
+
+    ``wanted`` (node, doc, n, digest) names a text for each node; a set is sent once, to its blocks.
+    """
     found = components(edges)
     parts = found.union(found.select(F.col("component").alias("node"), "component").distinct()).toDF("node", "part")
-    sizes = materialise(sets.select("node", "n").join(parts, "node"))
+    sizes = materialise(wanted.join(parts, "node"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     tasks = max(1, -(-total * 8 // BLOCK_BYTES))
     chunks = sizes.groupBy("part").agg(F.ceil(F.sum("n") * 8 / F.lit(BLOCK_BYTES)).cast("int").alias("chunks"))
+    dealt = materialise(sizes.join(chunks, "part").select("doc", "digest", F.struct("node", "part", "chunks").alias("row")))
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = sizes.join(chunks, "part").select("node", "part", "chunks", own.alias("own"), other.alias("other"))
+    texts = _texts_of(docs, dealt).select("row", "_text", "digest")
+    sets = texts.mapInArrow(_whole_sets(n), "row struct<node: bigint, part: bigint, chunks: int>, grams binary")
+    sets = sets.select("row.*", "grams").select("node", "part", "chunks", "grams", own.alias("own"), other.alias("other"))
     one = F.col("chunks") == 1
     block = F.struct(
         F.when(one, F.pmod(F.xxhash64("part"), F.lit(tasks))).otherwise(F.col("part")).alias("of"),
         F.when(one, -1).otherwise(F.least("own", "other")).alias("i"),
         F.when(one, -1).otherwise(F.greatest("own", "other")).alias("j"),
     )
-    blocks = sets.join(dealt.select("node", "part", block.alias("block")), "node").select("block", "part", "node", "grams")
+    blocks = sets.select(block.alias("block"), "part", "node", "grams")
     return blocks.groupBy("block").applyInArrow(_join_blocks(threshold, shared), "a long, b long"), parts
 
 
-def _spans(postings: DataFrame, label: str) -> DataFrame:
-    """n-grams that more than one label holds, with the smallest of these."""
-    ends = postings.groupBy("gram").agg(F.min(label).alias("center"), F.max(label).alias("last"))
-    return ends.where("center < last").select("gram", "center")
+def _spanned(postings: DataFrame, label: str) -> DataFrame:
+    """Postings of n-grams that more than one label holds, with the smallest of these as ``center``.
+
+    The count and the join both read every column, so that one exchange of the rows serves both.
+    """
+    # the filters that the join would push under its own side only
+    sent = postings.where(F.col("gram").isNotNull() & F.col(label).isNotNull()).repartition("gram")
+    others = [c for c in postings.columns if c not in ("gram", label)]
+    ends = sent.groupBy("gram").agg(F.min(label).alias("center"), F.max(label).alias("last"), *[F.max(c).alias(c) for c in others])
+    spans = ends.where("center < last").where(" AND ".join(["true", *(f"{c} IS NOT NULL" for c in others)]))
+    return sent.join(spans.select("gram", "center"), "gram").where(F.col(label) >= F.col("center"))
 
 
 def _enough(postings: DataFrame) -> DataFrame:
@@ -367,25 +382,24 @@ def _links(docs: DataFrame, sent: DataFrame, classes: DataFrame, n: int, thresho
     """Links of the classes; the table ``sent`` is deleted once its first n-grams are read."""
     heads = sent.join(classes.select("node", F.col("rep").alias("doc")), ["node", "doc"], "left_semi")
     postings = heads.select("node", "need", F.explode("head").alias("gram"))
-    postings = materialise(postings.join(_spans(postings, "node"), "gram"))
+    postings = materialise(_spanned(postings, "node"))
     near = materialise(_enough(postings))
-    wanted = materialise(heads.join(near, "node", "left_semi").select("node", "doc", "digest").distinct())
+    wanted = materialise(heads.join(near, "node", "left_semi").select("node", "doc", "n", "digest").distinct())
     discard(sent)
-    sets = materialise(_texts_of(docs, wanted).select("node", "_text", "digest").mapInArrow(_whole_sets(n), "node long, n long, grams binary"))
     postings = postings.join(near, "node", "left_semi")
     strong = postings.groupBy("node", "center").agg(F.count("*").alias("shared"), F.max("need").alias("need"))
     strong = strong.where("2 * shared >= need").select(F.col("node").alias("a"), F.col("center").alias("b"))
     strong = strong.join(near.select(F.col("node").alias("b")), "b", "left_semi")
-    inside, parts = _tree_join(sets, strong, threshold, shared)
+    inside, parts = _tree_join(docs, wanted, strong, n, threshold, shared)
     labelled = postings.drop("center").join(parts, "node", "left").withColumn("label", F.coalesce("part", "node")).drop("part")
-    far = _enough(labelled.join(_spans(labelled, "label"), "gram"))
+    far = _enough(_spanned(labelled, "label"))
     # the same with all n-grams of what is left, of which a link takes far more
-    whole = sets.join(far, "node", "left_semi").mapInArrow(_all_grams(threshold), "node long, need int, gram long")
+    texts = _texts_of(docs, materialise(wanted.join(far, "node", "left_semi"))).select("node", "_text", "digest")
+    whole = texts.mapInArrow(_all_grams(n, threshold), "node long, need int, gram long")
     whole = materialise(whole.join(parts, "node", "left").withColumn("label", F.coalesce("part", "node")).drop("part"))
-    crossing = whole.join(_spans(whole, "label"), "gram")
-    left = whole.join(_enough(crossing), "node", "left_semi")
-    edges = left.join(_spans(left, "node").withColumnRenamed("center", "least"), "gram")
-    across, _ = _tree_join(sets, edges.select(F.col("node").alias("a"), F.col("least").alias("b")), threshold, shared)
+    left = whole.join(_enough(_spanned(whole, "label")), "node", "left_semi")
+    edges = _spanned(left.select("gram", "node"), "node").select(F.col("node").alias("a"), F.col("center").alias("b"))
+    across, _ = _tree_join(docs, wanted, edges, n, threshold, shared)
     return inside.union(across)
 
 
