@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from tideline.llm.components import components
 from tideline.llm.tables import id_key, text_bytes
-from tideline.session import Scratch, delete_folder, materialise, owned, scratch_path
+from tideline.session import Scratch, delete_folder, discard, materialise, owned, scratch_path, shuffles_freed
 
 BANDS = 10
 ROWS = 3
@@ -49,8 +49,8 @@ _CONSTANTS = [
 ]
 
 
-def _written(docs: DataFrame) -> DataFrame:
-    """The documents as a table in buckets of ``rid``, a hash of id and text."""
+def _written(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The documents as a table in buckets of ``rid``, a hash of id and text, and the number of buckets."""
     spark = docs.sparkSession
     buckets = max(8, -(-text_bytes(docs) // BUCKET_TEXT))
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -63,14 +63,15 @@ def _written(docs: DataFrame) -> DataFrame:
         delete_folder(spark, path)
 
     owned(path, remove)
-    (
-        rows.repartition(buckets, "rid")
-        .write.bucketBy(buckets, "rid")
-        .option("path", path)
-        .option("compression", "zstd")
-        .saveAsTable(name)
-    )
-    return spark.table(name)
+    with shuffles_freed(spark):
+        (
+            rows.repartition(buckets, "rid")
+            .write.bucketBy(buckets, "rid")
+            .option("path", path)
+            .option("compression", "zstd")
+            .saveAsTable(name)
+        )
+    return spark.table(name), buckets
 
 
 def _lines(text: Column) -> Column:
@@ -107,9 +108,16 @@ def _signed(lines: DataFrame) -> DataFrame:
     return signed.select("h", F.array(*band).alias("bands"))
 
 
-def _candidates(signed: DataFrame) -> DataFrame:
+def _shared(signed: DataFrame) -> DataFrame:
+    """(h, band, n) for the bands that n > 1 lines agree on; count and join read one exchange."""
+    rows = signed.select("h", F.explode("bands").alias("band")).where("h IS NOT NULL AND band IS NOT NULL").repartition("band")
+    counts = rows.groupBy("band").agg(F.count("h").alias("n")).where("n > 1")
+    return rows.join(counts, "band").select("h", "band", "n")
+
+
+def _candidates(shared: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of lines that agree on a band: each with the first and those just before it."""
-    rows = signed.select("h", F.explode("bands").alias("band"))
+    rows = shared.select("h", "band")
     band = Window.partitionBy("band").orderBy(F.xxhash64("h", "band"), "h")
     near = [F.lag("h", k).over(band) for k in range(1, NEIGHBOURS + 1)]
     before = rows.select("h", F.array(F.first("h").over(band), *near).alias("near")).where(F.get("near", F.lit(1)).isNotNull())
@@ -117,20 +125,22 @@ def _candidates(signed: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def similar_lines(table: DataFrame, places: DataFrame) -> DataFrame:
+def similar_lines(table: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
     """(a, b): hashes of different lines that are similar, enough of them to give the components."""
     with Scratch() as scratch:
-        return scratch.keep(_all_links(table, places))
+        return scratch.keep(_all_links(table, places, buckets))
 
 
-def _all_links(table: DataFrame, places: DataFrame) -> DataFrame:
+def _all_links(table: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
     first = places.where("h IS NOT NULL").groupBy("h").agg(F.min("rid").alias("rid"))
     named = materialise(first)
     # which lines of a document stand for their copies, in the order of its lines
     chosen = places.join(named.withColumn("chosen", F.lit(True)), ["rid", "h"], "left")
-    flags = _by_document(chosen.select("rid", "pos", F.col("chosen").isNotNull().alias("flag")))
+    flags = _by_document(chosen.select("rid", "pos", F.col("chosen").isNotNull().alias("flag")), buckets)
     signed = materialise(_signed(_picked(table, flags)))
-    pairs = materialise(_candidates(signed))
+    shared = materialise(_shared(signed))
+    discard(signed)
+    pairs = materialise(_candidates(shared))
     ends = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
     wanted = materialise(named.join(ends, "h"))
     chosen = places.join(wanted.withColumn("chosen", F.lit(True)), ["rid", "h"])
@@ -138,11 +148,12 @@ def _all_links(table: DataFrame, places: DataFrame) -> DataFrame:
     flags = _by_document(
         places.join(docs, "rid", "left_semi")
         .join(wanted.withColumn("chosen", F.lit(True)), ["rid", "h"], "left")
-        .select("rid", "pos", F.col("chosen").isNotNull().alias("flag"))
+        .select("rid", "pos", F.col("chosen").isNotNull().alias("flag")),
+        buckets,
     )
     texts = materialise(_picked(table, flags).select("h", "line").distinct())
     links = materialise(_similar(pairs, texts))
-    rest = _rest(_open(signed, components(links)), texts)
+    rest = _rest(_open(shared, components(links)), texts)
     return links.union(materialise(_similar(rest, texts)))
 
 
@@ -164,12 +175,13 @@ def _least_same(x: Column, y: Column) -> Column:
     return F.ceil(SIMILARITY / (1 + SIMILARITY) * (x + y) - 1e-9)
 
 
-def _open(signed: DataFrame, groups: DataFrame) -> DataFrame:
+def _open(shared: DataFrame, groups: DataFrame) -> DataFrame:
     """(h, part) of the lines of bands with pairs that were not compared and lie in two components."""
-    rows = signed.join(groups.select(F.col("node").alias("h"), "component"), "h", "left")
-    rows = rows.select("h", F.coalesce("component", "h").alias("part"), F.explode("bands").alias("band"))
-    bands = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("part").alias("least"), F.max("part").alias("most"))
-    bands = bands.where(F.col("least") != F.col("most")).where(F.col("n") > NEIGHBOURS + 2)
+    large = shared.where(F.col("n") > NEIGHBOURS + 2)
+    rows = large.join(groups.select(F.col("node").alias("h"), "component"), "h", "left")
+    rows = rows.select("h", F.coalesce("component", "h").alias("part"), "band")
+    bands = rows.groupBy("band").agg(F.min("part").alias("least"), F.max("part").alias("most"))
+    bands = bands.where(F.col("least") != F.col("most"))
     return materialise(rows.join(bands.select("band"), "band", "left_semi").select("h", "part").distinct())
 
 
@@ -193,9 +205,9 @@ def _rest(lines: DataFrame, texts: DataFrame) -> DataFrame:
     return materialise(pairs.select(F.least("one.h", "two.h").alias("a"), F.greatest("one.h", "two.h").alias("b")).distinct())
 
 
-def _by_document(flags: DataFrame) -> DataFrame:
-    """(rid, flags): an array with one boolean per line."""
-    each = flags.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("pos", "flag"))).alias("flags"))
+def _by_document(flags: DataFrame, buckets: int) -> DataFrame:
+    """(rid, flags): an array with one boolean per line, dealt as the document table is, so that no text is sent to meet it."""
+    each = flags.repartition(buckets, "rid").groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("pos", "flag"))).alias("flags"))
     return each.select("rid", F.transform("flags", lambda f: f["flag"]).alias("flags"))
 
 
@@ -206,11 +218,11 @@ def _picked(table: DataFrame, flags: DataFrame) -> DataFrame:
     return each.where("z.flag").select("rid", F.xxhash64("z.line").alias("h"), F.col("z.line").alias("line"))
 
 
-def line_decisions(table: DataFrame) -> DataFrame:
+def line_decisions(table: DataFrame, buckets: int) -> DataFrame:
     """(rid, keep): for each document an array with one boolean per line."""
     each = table.select("rid", "key", F.posexplode(_lines(F.col("row.text"))).alias("pos", "line"))
     places = materialise(each.select("rid", "key", "pos", F.when(~_is_blank(F.col("line")), F.xxhash64("line")).alias("h")))
-    groups = components(similar_lines(table, places.select("rid", "pos", "h")))
+    groups = components(similar_lines(table, places.select("rid", "pos", "h"), buckets))
     grouped = places.join(groups.select(F.col("node").alias("h"), "component"), "h", "left").withColumn(
         "part", F.coalesce("component", "h")
     )
@@ -218,12 +230,12 @@ def line_decisions(table: DataFrame) -> DataFrame:
     placed = grouped.join(keepers, "part", "left")
     first = F.min("pos").over(Window.partitionBy("rid", "part"))
     keep = F.col("part").isNull() | ((F.col("key") == F.col("keeper")) & (F.col("pos") == first))
-    return _by_document(placed.select("rid", "pos", keep.alias("flag")))
+    return _by_document(placed.select("rid", "pos", keep.alias("flag")), buckets)
 
 
 def _rebuilt(docs: DataFrame) -> DataFrame:
-    table = _written(docs)
-    both = table.join(line_decisions(table).withColumnRenamed("flags", "keep"), "rid", "left")
+    table, buckets = _written(docs)
+    both = table.join(line_decisions(table, buckets).withColumnRenamed("flags", "keep"), "rid", "left")
     lines = F.arrays_zip(_lines(F.col("row.text")).alias("line"), F.col("keep").alias("keep"))
     rest = F.transform(F.filter(lines, lambda z: z["keep"]), lambda z: z["line"])
     return both.select(
