@@ -274,13 +274,13 @@ def train(features: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> M
     return fit(positive, _sample(seen, max_rows))
 
 
-def _score(shared, column: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = shared.value.score(text_features(batch.column(column)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "score"])
+def _score(shared):
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.array(shared.value.score(text_features(batch)), pa.float64())
 
-    return run
+    return score
 
 
 def _score_features(shared):
@@ -311,7 +311,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> D
     """The rows of ``docs``, all columns, that the classifier accepts."""
     features = materialise(feature_table(docs))
     shared = docs.sparkSession.sparkContext.broadcast(train(features, labels, max_rows))
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("_text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    scored = rows.mapInArrow(_score(shared, 1), f"row {kind}, _text string, score double").where("score >= 0.5")
-    return scored.select(*[F.col(f"row.`{c}`") for c in docs.columns])
+    # only the text goes to Python, and only the score comes back
+    return docs.where(_score(shared)(F.col("text")) >= 0.5)
