@@ -188,8 +188,11 @@ def _open(shared: DataFrame, groups: DataFrame) -> DataFrame:
 def _rest(lines: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of the lines (h, part): all similar ones of different parts are among them."""
     sets = lines.join(texts, "h").select("h", "part", F.explode(F.array(_shingles(F.col("line")))).alias("xs"))
-    each = materialise(sets.select("h", "part", F.size("xs").alias("size"), F.explode("xs").alias("x")))
-    shared = each.groupBy("x").agg(F.count("*").alias("n")).where("n > 1")
+    each = sets.select("h", "part", F.size("xs").alias("size"), F.explode("xs").alias("x"))
+    each = each.where("h IS NOT NULL AND part IS NOT NULL AND x IS NOT NULL").repartition("x")
+    # the count reads every column, as the join does, so that one exchange of the rows serves both
+    counts = each.groupBy("x").agg(F.count("h").alias("n"), F.max("part").alias("p"), F.max("size").alias("s"))
+    shared = counts.where("n > 1 AND p IS NOT NULL AND s IS NOT NULL").select("x", "n")
     # shingles of one line only come first in its order and meet nothing
     known = each.join(shared, "x").groupBy("h", "part", "size").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("xs"))
     own = F.col("size") - F.size("xs")
