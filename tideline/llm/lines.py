@@ -2,26 +2,30 @@
 
 Documents are written once as a table in buckets of their row id, so that the later steps
 read a document's lines without another shuffle of text. Copies of a line meet by a 64-bit
-hash; one occurrence of each different line is signed: the hashes of its character shingles,
-each combined with BANDS * ROWS constants by exclusive or and hashed again, and the minimum
-for each constant (a uniform choice from the union of two sets, of its own for each constant,
-so two lines agree on it with the probability of their Jaccard similarity, short ones too). Lines that agree on a
-whole band are candidates, compared by the exact Jaccard similarity of all their shingles in
-two rounds. First each meets the first and the NEIGHBOURS lines before it, in an order of
-lines that is another one in every band; up to six lines of a band have then all been
-compared. Larger bands whose lines do not lie in one component yet are open, and all lines
-of open bands are joined exactly: with shingles ordered rarest first, two similar lines
-share one among the first fifth of each (prefix filter), at places that leave enough others
-to share (positional filter); pairs of one component are left out. Connected components of
-the similar pairs, with all copies, keep the first occurrence.
-
-With 10 bands of 3 rows a pair of similarity 0.8 meets in a band with probability 0.9992. A
-pair that meets is compared, or its lines are in one component already.
+hash; one occurrence of each different line is signed: the hashes of its character shingles in
+VIEWS rotations, and in each the nearest neighbours, under exclusive or, of constants spread
+evenly: BANDS * ROWS minima, each a uniform choice from the union of two sets, so two lines
+agree on it with the probability of their Jaccard similarity. The minima of a band are of
+different views, so they are close to independent, for sets of few shingles too. Lines that
+agree on a whole band and, by four bits of each, on AGREED of all minima are candidates,
+compared by the exact Jaccard similarity of all their shingles in two rounds. First each
+meets the first and the NEIGHBOURS lines before it, in an order of lines that is another one
+in every band; up to six lines of a band have then all met. Larger bands whose lines do not
+lie in one component yet are open. In those of up to MEET lines each meets each of another
+component. All lines of larger ones are joined exactly: with shingles ordered rarest first,
+two similar lines share one among the first fifth of each (prefix filter), at places that
+leave enough others to share (positional filter). Connected components of the similar pairs,
+with all copies, keep the first occurrence.
+
+With 10 bands of 3 rows a pair of similarity 0.8 meets in a band with probability 0.9992; it
+then misses AGREED with a probability of about 5e-5. A pair that meets and agrees is compared,
+or its lines are in one component already.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -36,16 +40,27 @@ BANDS = 10
 ROWS = 3
 #: Lines before it, in each band, that a line is compared with in the first round.
 NEIGHBOURS = 4
+#: Lines of an open band up to which each meets each, by their minima.
+MEET = 1024
 #: Characters of a shingle.
 SHINGLE = 8
 SIMILARITY = 0.8
 #: Bytes of text in one bucket of the document table.
 BUCKET_TEXT = 24 << 20
 
-#: The constants' leading bits are spread evenly, the others are random.
+#: Consecutive shingles that one row brings to the minima.
+RUN = 8
+#: Rotations of a shingle's hash; each gives BANDS * ROWS / VIEWS minima.
+VIEWS = 5
+_TURNS = [64 * v // VIEWS for v in range(VIEWS)]
+_EACH = BANDS * ROWS // VIEWS
+#: Of BANDS * ROWS minima, those that a pair must agree on to be compared.
+AGREED = 15
+
+#: In each view the constants' leading bits are spread evenly, the others are random.
 _CONSTANTS = [
-    int(np.int64(np.uint64(((i << 59) & (2**64 - 1)) ^ int(x))))
-    for i, x in enumerate(np.random.default_rng(7).integers(0, 2**59, BANDS * ROWS, np.uint64))
+    int(np.uint64(i // VIEWS * (2**64 // _EACH) + int(x)).astype(np.int64))
+    for i, x in enumerate(np.random.default_rng(7).integers(0, 2**64 // _EACH, BANDS * ROWS, np.uint64))
 ]
 
 
@@ -82,47 +97,82 @@ def _is_blank(line: Column) -> Column:
     return F.trim(line) == ""
 
 
-def _shingle(codes: Column, at: Column) -> Column:
-    return F.xxhash64(F.substring(codes, at * 4 + 1, F.lit(4 * SHINGLE)))
+def _shingle(codes: Column, start: Column) -> Column:
+    return F.xxhash64(F.substring(codes, start, F.lit(4 * SHINGLE)))
 
 
-def _places(codes: Column) -> Column:
-    """Starts of the shingles; a shorter line is one shingle."""
-    return F.sequence(F.lit(0), F.greatest(F.octet_length(codes).cast("int") / 4 - SHINGLE, F.lit(0)).cast("int"))
+def _last(codes: Column) -> Column:
+    """First byte, from 1, of the last shingle; a shorter line is one shingle."""
+    return F.greatest(F.octet_length(codes) - (4 * SHINGLE - 1), F.lit(1))
 
 
 def _shingles(line: Column) -> Column:
     # as an element of an array the codes are made once, not for each shingle
-    each = F.transform(F.array(F.encode(line, "UTF-32")), lambda c: F.transform(_places(c), lambda i: _shingle(c, i)))
+    each = F.transform(F.array(F.encode(line, "UTF-32")), lambda c: F.transform(F.sequence(F.lit(1), _last(c), F.lit(4)), lambda i: _shingle(c, i)))
     return F.array_distinct(F.get(each, F.lit(0)))
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    """(h, bands) of lines (rid, h, line) that are dealt by rid."""
+    """(h, bands, s, t) of lines (rid, h, line) that are dealt by rid; s and t hold four bits of each minimum."""
     codes = lines.select("rid", "h", F.encode("line", "UTF-32").alias("codes"))
-    each = codes.select("rid", "h", "codes", F.explode(_places(F.col("codes"))).alias("at"))
-    each = each.select("rid", "h", _shingle(F.col("codes"), F.col("at")).alias("x"))
-    least = [F.min(F.xxhash64(F.col("x").bitwiseXOR(F.lit(c)))).alias(f"m{i}") for i, c in enumerate(_CONSTANTS)]
+    last = _last(F.col("codes"))
+    each = codes.select("rid", "h", "codes", last.alias("last"), F.explode(F.sequence(F.lit(1), last, F.lit(4 * RUN))).alias("at"))
+    # the last row repeats the last shingle, which changes no minimum
+    runs = [_shingle(F.col("codes"), F.least(F.col("at") + 4 * k, F.col("last"))).alias(f"x{k}") for k in range(RUN)]
+    each = each.select("rid", "h", *runs)
+    turned = [_turned(F.col(f"x{k}"), t).alias(f"x{k}_{t}") for k in range(RUN) for t in _TURNS]
+    each = each.select("rid", "h", *turned)
+    least = [
+        F.min(F.least(*[F.col(f"x{k}_{_TURNS[i % VIEWS]}").bitwiseXOR(F.lit(c)) for k in range(RUN)])).alias(f"m{i}")
+        for i, c in enumerate(_CONSTANTS)
+    ]
     signed = each.groupBy("rid", "h").agg(*least)
-    band = [F.xxhash64(F.lit(b), *[F.col(f"m{b + BANDS * r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return signed.select("h", F.array(*band).alias("bands"))
+    # the minima of a band are of different views
+    band = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
+    half = BANDS * ROWS // 2
+    return signed.select("h", F.array(*band).alias("bands"), _bits(range(half)).alias("s"), _bits(range(half, 2 * half)).alias("t"))
+
+
+def _turned(x: Column, bits: int) -> Column:
+    return F.shiftleft(x, bits).bitwiseOR(F.shiftrightunsigned(x, 64 - bits)) if bits else x
+
+
+def _bits(minima: range) -> Column:
+    """The last four bits of each of up to 16 minima, in one number."""
+    return reduce(Column.bitwiseOR, [F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(15)), 4 * k) for k, i in enumerate(minima)])
+
+
+def _agreed(one: str, two: str) -> Column:
+    """Minima that two signed lines agree on, by four bits of each."""
+    unlike = F.lit(0)
+    for c in ("s", "t"):
+        d = F.col(f"{one}.{c}").bitwiseXOR(F.col(f"{two}.{c}"))
+        d = d.bitwiseOR(F.shiftright(d, 1))
+        unlike += F.bit_count(d.bitwiseOR(F.shiftright(d, 2)).bitwiseAND(F.lit(0x0111111111111111)))
+    return F.lit(BANDS * ROWS) - unlike
 
 
 def _shared(signed: DataFrame) -> DataFrame:
-    """(h, band, n) for the bands that n > 1 lines agree on; count and join read one exchange."""
+    """(h, band, n, s, t) for the bands that n > 1 lines agree on; count and join read one exchange."""
     rows = signed.select("h", F.explode("bands").alias("band")).where("h IS NOT NULL AND band IS NOT NULL").repartition("band")
     counts = rows.groupBy("band").agg(F.count("h").alias("n")).where("n > 1")
-    return rows.join(counts, "band").select("h", "band", "n")
+    shared = materialise(rows.join(counts, "band").select("h", "band", "n"))
+    return shared.join(signed.select("h", "s", "t"), "h")
 
 
 def _candidates(shared: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of lines that agree on a band: each with the first and those just before it."""
-    rows = shared.select("h", "band")
-    band = Window.partitionBy("band").orderBy(F.xxhash64("h", "band"), "h")
-    near = [F.lag("h", k).over(band) for k in range(1, NEIGHBOURS + 1)]
-    before = rows.select("h", F.array(F.first("h").over(band), *near).alias("near")).where(F.get("near", F.lit(1)).isNotNull())
-    pairs = before.select(F.col("h").alias("x"), F.explode("near").alias("y")).where("y IS NOT NULL AND x <> y")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rows = shared.select("band", F.struct("h", "s", "t").alias("x"))
+    band = Window.partitionBy("band").orderBy(F.xxhash64("x.h", "band"), "x.h")
+    near = [F.lag("x", k).over(band) for k in range(1, NEIGHBOURS + 1)]
+    before = rows.select("x", F.array(F.first("x").over(band), *near).alias("near")).where(F.get("near", F.lit(1)).isNotNull())
+    return _ends(before.select("x", F.explode("near").alias("y")).where("y IS NOT NULL AND x.h <> y.h"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(a, b), a < b, once each, of pairs (x, y) of signed lines that agree on AGREED minima."""
+    like = pairs.where(_agreed("x", "y") >= AGREED)
+    return like.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct()
 
 
 def similar_lines(table: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
@@ -141,7 +191,8 @@ def _all_links(table: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
     shared = materialise(_shared(signed))
     discard(signed)
     pairs = materialise(_candidates(shared))
-    ends = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+    large = shared.where(F.col("n") > NEIGHBOURS + 2)
+    ends = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).union(large.select("h")).distinct()
     wanted = materialise(named.join(ends, "h"))
     chosen = places.join(wanted.withColumn("chosen", F.lit(True)), ["rid", "h"])
     docs = chosen.select("rid").distinct()
@@ -153,8 +204,13 @@ def _all_links(table: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
     )
     texts = materialise(_picked(table, flags).select("h", "line").distinct())
     links = materialise(_similar(pairs, texts))
-    rest = _rest(_open(shared, components(links)), texts)
-    return links.union(materialise(_similar(rest, texts)))
+    open_bands = _open(large, components(links))
+    met = materialise(_met(open_bands.where(F.col("n") <= MEET)))
+    links = links.union(materialise(_similar(met, texts)))
+    hot = open_bands.where(F.col("n") > MEET).select("h", "part").distinct()
+    if hot.isEmpty():
+        return links
+    return links.union(materialise(_similar(_rest(hot, texts), texts)))
 
 
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -175,14 +231,20 @@ def _least_same(x: Column, y: Column) -> Column:
     return F.ceil(SIMILARITY / (1 + SIMILARITY) * (x + y) - 1e-9)
 
 
-def _open(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """(h, part) of the lines of bands with pairs that were not compared and lie in two components."""
-    large = shared.where(F.col("n") > NEIGHBOURS + 2)
+def _open(large: DataFrame, groups: DataFrame) -> DataFrame:
+    """(h, part, band, n, s, t) of the bands with pairs that were not compared and lie in two components."""
     rows = large.join(groups.select(F.col("node").alias("h"), "component"), "h", "left")
-    rows = rows.select("h", F.coalesce("component", "h").alias("part"), "band")
+    rows = rows.select("h", F.coalesce("component", "h").alias("part"), "band", "n", "s", "t")
     bands = rows.groupBy("band").agg(F.min("part").alias("least"), F.max("part").alias("most"))
     bands = bands.where(F.col("least") != F.col("most"))
-    return materialise(rows.join(bands.select("band"), "band", "left_semi").select("h", "part").distinct())
+    return materialise(rows.join(bands.select("band"), "band", "left_semi"))
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of the lines of a band that are of different parts."""
+    each = rows.select("band", "part", F.struct("h", "s", "t").alias("x"))
+    other = each.select("band", F.col("part").alias("other"), F.col("x").alias("y"))
+    return _ends(each.join(other, "band").where("part < other").select("x", "y"))
 
 
 def _rest(lines: DataFrame, texts: DataFrame) -> DataFrame:
