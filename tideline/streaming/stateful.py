@@ -6,9 +6,11 @@ of one micro-batch are held together, so the source's per-trigger limit
 (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) bounds the memory of a task; for keys too
 large for that, ``tideline.streaming.pieces`` cuts a key's rows of a micro-batch.
 
-Count blocks keep the rows of a key's open block in a typed list state and the block's
-number in a value state. An open block is emitted when its key was silent for a time, by a
-timer; at the end of the input ``open_rows`` reads those left from the checkpoint.
+Count blocks take keys in groups: a call of Python and its trips to the state cost far more than
+a row, so a group's keys share them. A group's state has the rows of its open blocks and their
+numbers, by columns; a micro-batch rewrites the state of the groups it has rows of. An open block
+is emitted when its key was silent for a time, by a timer; at the end of the input ``open_rows``
+reads those left from the checkpoint.
 """
 
 from __future__ import annotations
@@ -25,15 +27,21 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tideline.operators.clean import fill_from_blocks
 from tideline.operators.kalman import PROCESS_NOISE, SENSOR_NOISE
-from tideline.operators.sequence import BLOCK, null_safe_join
+from tideline.operators.sequence import BLOCK
 from tideline.specs import BLOCK_SIZE, HORIZON, REGRESSION_WINDOW
 
-BlockFunction = Callable[[pd.DataFrame], pd.DataFrame]
+# Rows of whole blocks with their ``block``, and which rows are one block: a number from 0 over all keys.
+BlockFunction = Callable[[pd.DataFrame, np.ndarray], pd.DataFrame]
 
 # State with several typed variables and timers needs this store.
 _STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+# Keys are dealt into this many groups, each with one state and one call per micro-batch. A stream
+# keeps it for its life.
+KEY_GROUPS = 1024
+_GROUP, _KEY, _BLOCK, _DEADLINE = "__group", "__key", "__block", "__deadline"
+
 
 def _gather(batches: Iterator[pd.DataFrame], order: Seq[str]) -> pd.DataFrame:
     return pd.concat(list(batches), ignore_index=True).sort_values(list(order), kind="stable")
@@ -54,57 +62,126 @@ def _plain(value, kind: T.DataType | None = None):
     return value.item() if isinstance(value, np.generic) else value
 
 
+def _column(values: pd.Series, kind: T.DataType) -> list:
+    """A pandas column as a state row holds it."""
+    exact = isinstance(kind, T.IntegralType) == (values.dtype.kind == "i")
+    if values.dtype.kind in "if" and exact and not values.hasnans:
+        return values.tolist()
+    return [_plain(v, kind) for v in values]
+
+
 class OpenBlocks(StatefulProcessor):
-    """Emits whole blocks of a key; keeps the rows of the open one and its number."""
+    """Emits whole blocks of the keys of one group; keeps the rows of the open ones and their numbers.
+
+    State is held by columns: ``held`` has the rows of open blocks, a key's rows in their order,
+    and ``place`` the number of the open block of each key that had a whole one or has a deadline.
+    """
 
     def __init__(
-        self, order: Seq[str], size: int, function: BlockFunction, rows: T.StructType, silence_ms: int | None
+        self,
+        keys: Seq[str],
+        order: Seq[str],
+        size: int,
+        function: BlockFunction,
+        rows: T.StructType,
+        silence_ms: int | None,
     ) -> None:
         self.order, self.size, self.function = list(order), size, function
         self.rows, self.silence_ms = rows, silence_ms
+        # the hash keeps apart what pandas does not: null and NaN, whole numbers beside nulls
+        self.key = [_KEY, *keys]
+        number = [T.StructField(_BLOCK, T.LongType())]
+        own = [f for f in rows if f.name not in (_GROUP, _KEY)]
+        self.kinds = {
+            "held": [*own, rows[_KEY], *number],
+            "place": [*(rows[k] for k in self.key), *number, T.StructField(_DEADLINE, T.LongType())],
+        }
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.place = handle.getValueState("place", "block long, deadline long")
-        self.held = handle.getListState("held", self.rows)
-
-    def _held(self) -> pd.DataFrame:
-        return pd.DataFrame([tuple(r) for r in self.held.get()], columns=self.rows.names)
+        self.states = {
+            name: handle.getValueState(name, T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in fields]))
+            for name, fields in self.kinds.items()
+        }
+
+    def _read(self, name: str) -> pd.DataFrame:
+        state, fields = self.states[name], self.kinds[name]
+        columns = state.get() or [[]] * len(fields)
+        types = {f.name: "float64" for f in fields if isinstance(f.dataType, T.FractionalType) and not isinstance(f.dataType, T.DecimalType)}
+        return pd.DataFrame({f.name: pd.Series(c, dtype=types.get(f.name, None if c else object)) for f, c in zip(fields, columns)})
+
+    def _write(self, name: str, rows: pd.DataFrame) -> None:
+        if len(rows):
+            self.states[name].update(tuple(_column(rows[f.name], f.dataType) for f in self.kinds[name]))
+        else:
+            self.states[name].clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        block = self.place.get()[0] if self.place.exists() else 0
         # names that are no Python names do not reach this place
-        named = (r.set_axis(self.rows.names, axis=1) for r in rows)
-        new, held = _gather(named, self.order), self._held()
+        new = pd.concat([r.set_axis(self.rows.names, axis=1) for r in rows], ignore_index=True).drop(columns=_GROUP)
+        place, held = self._read("place"), self._read("held")
         # a missing value of the held rows is None, and takes the column's own type
-        both = pd.concat([held.astype(new.dtypes.to_dict(), errors="ignore"), new], ignore_index=True) if len(held) else new
-        whole = len(both) // self.size
-        ready, rest = both.iloc[: whole * self.size], both.iloc[whole * self.size :]
-        deadline = None
-        if self.silence_ms is not None and len(rest):
-            deadline = timerValues.getCurrentProcessingTimeInMs() + self.silence_ms
-            self.handle.registerTimer(deadline)
-        self.place.update((block + whole, deadline))
-        self._keep(rest)
-        if whole:
-            yield self.function(ready.assign(block=block + np.arange(len(ready)) // self.size))
-
-    def _keep(self, rest: pd.DataFrame) -> None:
-        if len(rest):
-            kinds = [f.dataType for f in self.rows]
-            self.held.put([tuple(map(_plain, r, kinds)) for r in rest.itertuples(index=False, name=None)])
-        else:
-            self.held.clear()
+        held = held.astype({c: t for c, t in new.dtypes.items() if len(held)}, errors="ignore")
+        frames = [f[self.key] for f in (place, held, new) if len(f)]
+        every = pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0]
+        code = every.groupby(self.key, dropna=False, sort=False).ngroup().to_numpy()
+        of_place, of_held, of_new = np.split(code, [len(place), len(place) + len(held)])
+        keys = every.iloc[np.unique(code, return_index=True)[1]]
+
+        block = np.zeros(len(keys), dtype=np.int64)
+        deadline = np.full(len(keys), np.nan)
+        if len(place):
+            block[of_place] = place[_BLOCK].to_numpy(dtype=np.int64)
+            deadline[of_place] = place[_DEADLINE].to_numpy(dtype=float)
+        new = new.assign(**{_BLOCK: of_new}).sort_values([_BLOCK, *self.order], kind="stable")
+        both = pd.concat([held.assign(**{_BLOCK: of_held}), new], ignore_index=True) if len(held) else new
+        both = both.sort_values(_BLOCK, kind="stable")
+        of = both[_BLOCK].to_numpy()
+        count = np.bincount(of, minlength=len(keys))
+        position = np.arange(len(of)) - (np.cumsum(count) - count)[of]
+        whole = count // self.size
+        ready = position < whole[of] * self.size
+        both[_BLOCK] = block[of] + position // self.size
+
+        if self.silence_ms is not None:
+            spoke = np.unique(of_new)
+            now = timerValues.getCurrentProcessingTimeInMs() + self.silence_ms
+            deadline[spoke] = np.where(count[spoke] % self.size > 0, now, np.nan)
+            if (deadline[spoke] == now).any():
+                self.handle.registerTimer(now)
+        self._keep(keys, block + whole, deadline)
+        self._write("held", both[~ready])
+        if ready.any():
+            rows = both if ready.all() else both[ready]
+            yield self._called(rows, np.arange(len(rows)) // self.size)
+
+    def _keep(self, keys: pd.DataFrame, block: np.ndarray, deadline: np.ndarray) -> None:
+        place = keys.assign(**{_BLOCK: block, _DEADLINE: deadline})
+        self._write("place", place[(block > 0) | ~np.isnan(deadline)])
+
+    def _called(self, rows: pd.DataFrame, which: np.ndarray) -> pd.DataFrame:
+        rows = rows.drop(columns=_KEY).rename(columns={_BLOCK: BLOCK})
+        return self.function(rows.reset_index(drop=True), which)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        block, deadline = self.place.get()
-        if deadline != expiredTimerInfo.getExpiryTimeInMs():
+        place, held = self._read("place"), self._read("held")
+        if not len(place):
+            return
+        deadline = place[_DEADLINE].to_numpy(dtype=float)
+        due = deadline == expiredTimerInfo.getExpiryTimeInMs()
+        if not due.any():
             return  # rows came since
-        rows = self._held()
+        both = pd.concat([place[self.key], held[self.key]], ignore_index=True)
+        code = both.groupby(self.key, dropna=False, sort=False).ngroup().to_numpy()
+        of_held = code[len(place) :]
+        out = np.isin(of_held, code[: len(place)][due])
         # the number stays used, so later rows open a block of their own
-        self.place.update((block + 1, None))
-        self.held.clear()
-        yield self.function(rows.assign(block=block))
+        block = place[_BLOCK].to_numpy(dtype=np.int64) + due
+        self._keep(place[self.key], block, np.where(due, np.nan, deadline))
+        self._write("held", held[~out])
+        which = np.unique(of_held[out], return_inverse=True)[1]
+        chosen = np.argsort(which, kind="stable")
+        yield self._called(held[out].iloc[chosen], which[chosen])
 
     def close(self) -> None:
         pass
@@ -121,16 +198,18 @@ def stream_blocks(
 ) -> DataFrame:
     """Apply ``function`` to whole blocks of ``size`` rows of a key.
 
-    The function gets the rows of one or more whole blocks with a ``block`` column
-    and returns rows of ``schema``. An open block waits for its rows; with
-    ``flush_after_ms`` it is emitted as it is once its key was silent that long, and the
-    key's next row opens a new block. Numbers of blocks are never used twice.
+    The function gets the rows of whole blocks of any number of keys, a block's rows side by side,
+    with a ``block`` column and the block that each row is of; it returns rows of ``schema``. An open
+    block waits for its rows; with ``flush_after_ms`` it is emitted as it is once its key was silent
+    that long, and the key's next row opens a new block. Numbers of blocks are never used twice.
     """
     df.sparkSession.conf.set(_STORE_CONF, _STORE)
-    rows = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])
-    processor = OpenBlocks(order, size, function, rows, flush_after_ms)
+    hashed = F.xxhash64(*keys)
+    dealt = df.withColumns({_GROUP: F.pmod(hashed, F.lit(KEY_GROUPS)), _KEY: hashed})
+    rows = T.StructType([T.StructField(f.name, f.dataType) for f in dealt.schema])
+    processor = OpenBlocks(keys, order, size, function, rows, flush_after_ms)
     mode = "None" if flush_after_ms is None else "ProcessingTime"
-    return df.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", mode)
+    return dealt.groupBy(_GROUP).transformWithStateInPandas(processor, schema, "append", mode)
 
 
 def open_rows(spark: SparkSession, checkpoint: str, keys: Seq[str]) -> DataFrame:
@@ -139,15 +218,9 @@ def open_rows(spark: SparkSession, checkpoint: str, keys: Seq[str]) -> DataFrame
     For the end of the input: these rows have not been emitted. A stream that goes on from
     the checkpoint still holds them.
     """
-
-    def state(name: str) -> DataFrame:
-        return spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
-
-    names = [f"__key{i}" for i in range(len(keys))]
-    named = [F.col(f"key.`{k}`").alias(n) for k, n in zip(keys, names)]
-    held = state("held").select(*named, "list_element.*")
-    place = state("place").select(*named, F.col("value.block").alias(BLOCK))
-    return null_safe_join(held, place, names, "inner").drop(*names)
+    held = spark.read.format("statestore").option("stateVarName", "held").load(checkpoint).select("value.*")
+    rows = held.select(F.explode(F.arrays_zip(*[F.col(f"`{c}`") for c in held.columns])).alias("row"))
+    return rows.select("row.*").drop(_KEY).withColumnRenamed(_BLOCK, BLOCK)
 
 
 def stream_interpolate(
@@ -161,8 +234,8 @@ def stream_interpolate(
     """Fill nulls by the block mean, else by 0.0."""
     columns, names = list(columns), list(df.columns)
 
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        means = rows.groupby("block")[columns].transform("mean")
+    def fill(rows: pd.DataFrame, which: np.ndarray) -> pd.DataFrame:
+        means = rows.groupby(which)[columns].transform("mean")
         rows[columns] = rows[columns].fillna(means).fillna(0.0)
         return rows[names]
 
@@ -191,16 +264,15 @@ def stream_block_stats(
     fields += [df.schema[c] for c in order]
     fields += [T.StructField("mean", T.DoubleType()), T.StructField("distinct_values", T.LongType())]
 
-    def summarise(rows: pd.DataFrame) -> pd.DataFrame:
-        mean, distinct = rows[mean_of].fillna(0.0), rows[distinct_of]
-        by = rows.assign(mean=mean, distinct_values=distinct).groupby("block", sort=True)
-        out = by.agg(
-            **{k: (k, "first") for k in keys},
-            rows=("mean", "size"),
-            **{c: (c, "last") for c in order},
-            mean=("mean", "mean"),
-            distinct_values=("distinct_values", lambda s: s.nunique(dropna=False)),
-        ).reset_index()
+    def summarise(rows: pd.DataFrame, which: np.ndarray) -> pd.DataFrame:
+        by = rows.groupby(which, sort=True)
+        counts = np.bincount(which)
+        # a block has one key and one number
+        out = rows[[*keys, BLOCK]].iloc[np.cumsum(counts) - counts].reset_index(drop=True)
+        out["rows"] = counts
+        out[order] = by[order].last()
+        out["mean"] = rows[mean_of].fillna(0.0).groupby(which, sort=True).mean()
+        out["distinct_values"] = by[distinct_of].nunique(dropna=False)
         return out[[f.name for f in fields]]
 
     return stream_blocks(df, keys, order, size, summarise, T.StructType(fields), flush_after_ms)
