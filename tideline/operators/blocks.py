@@ -21,21 +21,22 @@ def block_stats(
     df: DataFrame,
     keys: Seq[str],
     order: Seq[str],
-    mean_of: str | None = None,
+    mean_of: str | Seq[str] | None = None,
     distinct_of: str | None = None,
     size: int = BLOCK_SIZE,
     full_only: bool = False,
 ) -> DataFrame:
     """Per block: row count, last order values, mean (null counts as 0.0), distinct count.
 
+    ``mean_of`` names a column, averaged as ``mean``, or several, each averaged under its own name.
     The distinct count collects a block's values in an array of at most ``size``
     entries rather than ``count(distinct)``, which would shuffle once more.
     """
     numbered = sequence(df, keys, order)
     aggregates = [F.count(F.lit(1)).alias("rows"), F.max(SEQ).alias("last_seq")]
     aggregates += [F.max_by(c, SEQ).alias(c) for c in order]
-    if mean_of is not None:
-        aggregates.append(F.avg(F.coalesce(F.col(mean_of), F.lit(0.0))).alias("mean"))
+    means = {"mean": mean_of} if isinstance(mean_of, str) else {c: c for c in mean_of or ()}
+    aggregates += [F.avg(F.coalesce(F.col(c), F.lit(0.0))).alias(name) for name, c in means.items()]
     if distinct_of is not None:
         aggregates.append(
             (
@@ -77,7 +78,11 @@ def latest_block_mean(numbered: Sequenced, value: str, out: str, size: int = BLO
 
 
 def observations(df: DataFrame, types: Seq[str], keep: Seq[str]) -> DataFrame:
-    """One row per (message, observation type) of a wide row."""
+    """One row per (message, observation type) of a wide row.
+
+    A message has every type, null or not, so the n-th message of a sensor is the n-th observation of
+    each type, and blocks may be formed of wide rows and taken apart when they are summarised.
+    """
     return df.unpivot(list(keep), list(types), "obs_type", "value")
 
 

@@ -404,12 +404,11 @@ def keyed_block_average(spark, sf_dir):
     """,
 )
 def keyed_block_average_taxi(spark, sf_dir):
-    rows = observations(
-        taxi_rides(spark, sf_dir), TAXI.averaged_types, ["taxi_identifier", *TAXI_ORDER]
-    )
-    means = block_stats(
-        rows, ["taxi_identifier", "obs_type"], TAXI_ORDER, mean_of="value", full_only=True
-    )
+    """Blocks are numbered and averaged by ride, and taken apart by type with a fifth of the rows."""
+    types = TAXI.averaged_types
+    rides = taxi_rides(spark, sf_dir).select("taxi_identifier", *TAXI_ORDER, *types)
+    blocks = block_stats(rides, ["taxi_identifier"], TAXI_ORDER, mean_of=types, full_only=True)
+    means = observations(blocks, types, ["taxi_identifier", "block"]).withColumnRenamed("value", "mean")
     return rounded(means.select("taxi_identifier", "obs_type", "block", "mean"), 8)
 
 
